@@ -30,6 +30,7 @@ _STATE = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no space set aside ahead
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     "spark.sql.streaming.minBatchesToRetain": "2",
 }
