@@ -2,11 +2,11 @@
 
 Documents are range-partitioned by identifier and sorted; each task encodes its documents, appends
 the end id, and packs the ids, document after document, into sequences of SEQ ids.  A file is an
-Arrow IPC file of record batches with two fixed-size-list columns: ids (unsigned 32-bit) and mask
-(1 for an id, 0 for the padding after the last id of the file).  A fixed-size list has no offsets
-and no padding between rows, so sequence k of a batch is bytes [4 k SEQ, 4 (k + 1) SEQ) of one
-buffer: any sequence is reached without copying or decoding.  A second file beside it lists its
-documents (doc_id, start within the file, n_tokens).
+Arrow IPC file of record batches with two fixed-size-list columns: ids (unsigned, 16 bits if the
+vocabulary fits, else 32) and mask (one bit an id: set, or clear for the padding after the last id of
+the file).  A fixed-size list has no offsets and no padding between rows, so sequence k of a batch of
+16-bit ids is bytes [2 k SEQ, 2 (k + 1) SEQ) of one buffer: any sequence is reached without copying or
+decoding.  A second file beside it lists its documents (doc_id, start within the file, n_tokens).
 
 Encoding splits a text before each space that follows no white space or precedes none; no pre-token
 of a byte-level tokenizer crosses such a place, so pieces can be encoded one by one and remembered.
@@ -39,7 +39,7 @@ from .common import documents, scratch, stored
 SEQ, BATCH_SEQS, END_ID, REMEMBER = 2048, 64, 2, 1_000_000
 _MARKS = ".,;:!?"
 _UNSAFE = re.compile(r"\s (?:\s|$)")
-_SCHEMA = lambda seq: pa.schema([("ids", pa.list_(pa.uint32(), seq)), ("mask", pa.list_(pa.uint8(), seq))])
+_SCHEMA = lambda seq, ids: pa.schema([("ids", pa.list_(ids, seq)), ("mask", pa.list_(pa.bool_(), seq))])
 _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -109,8 +109,9 @@ def encoder(path: str) -> Encoder:
 class SequenceWriter:
     """Packs ids into fixed-length sequences; holds one record batch at most."""
 
-    def __init__(self, sink, seq: int) -> None:  # noqa: ANN001
-        self.schema, self.seq, self.held, self.n = _SCHEMA(seq), seq, [], 0
+    def __init__(self, sink, seq: int, vocabulary: int = 1 << 32) -> None:  # noqa: ANN001
+        self.type = np.uint16 if vocabulary <= 1 << 16 else np.uint32
+        self.schema, self.seq, self.held, self.n = _SCHEMA(seq, pa.from_numpy_dtype(self.type)), seq, [], 0
         self.writer = pa.ipc.new_file(sink, self.schema)
 
     def add(self, ids: bytes) -> None:
@@ -127,8 +128,8 @@ class SequenceWriter:
     def _write(self, ids: bytes) -> None:
         n = len(ids) // 4
         rows = -(-n // self.seq)
-        full, mask = np.zeros(rows * self.seq, np.uint32), np.zeros(rows * self.seq, np.uint8)
-        full[:n], mask[:n] = np.frombuffer(ids, "<u4"), 1
+        full, mask = np.zeros(rows * self.seq, self.type), np.zeros(rows * self.seq, bool)
+        full[:n], mask[:n] = np.frombuffer(ids, "<u4"), True
         cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq) for x in (full, mask)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(cols, schema=self.schema))
 
@@ -150,18 +151,17 @@ class SequenceFile:
     def batches(self) -> int:
         return self.reader.num_record_batches
 
-    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and mask of sequence k."""
+    def __getitem__(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """ids and mask of sequence k, views of the file's buffers."""
         b = self.reader.get_batch(k // BATCH_SEQS)
-        lo = k % BATCH_SEQS * self.seq
-        return tuple(b.column(i).flatten().to_numpy(zero_copy_only=True)[lo : lo + self.seq] for i in (0, 1))
+        ids, mask = (b.column(i).flatten().slice(k % BATCH_SEQS * self.seq, self.seq) for i in (0, 1))
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def stream(self) -> Iterator[np.ndarray]:
         """The ids of each batch in turn, without padding."""
         for i in range(self.batches()):
             b = self.reader.get_batch(i)
-            ids, mask = (b.column(j).flatten().to_numpy(zero_copy_only=True) for j in (0, 1))
-            yield ids[: int(mask.sum(dtype=np.int64))]
+            yield b.column(0).flatten().to_numpy(zero_copy_only=True)[: b.column(1).flatten().true_count]
 
     def close(self) -> None:
         self.source.close()
@@ -181,7 +181,7 @@ def _write_files(model: str, folder: str, seq: int, end_id: int):  # noqa: ANN20
                 fs, path = pafs.FileSystem.from_uri(name)
                 fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 sink, listing = fs.open_output_stream(path + ".ids.arrow"), fs.open_output_stream(path + ".docs.arrow")
-                writer, docs = SequenceWriter(sink, seq), pa.ipc.new_file(listing, _DOCS)
+                writer, docs = SequenceWriter(sink, seq, max(end_id + 1, enc.tokenizer.get_vocab_size())), pa.ipc.new_file(listing, _DOCS)
             ids = [enc.encode(t or "") for t in b.column(1).to_pylist()]
             counts = np.array([len(x) // 4 + 1 for x in ids], np.int64)
             for x in ids:
@@ -216,7 +216,7 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             file = SequenceFile(name + ".ids.arrow")
             fs, path = pafs.FileSystem.from_uri(name)
             with fs.open_input_file(path + ".docs.arrow") as listing:
-                reader, stream, held = pa.ipc.open_file(listing), file.stream(), np.empty(0, np.uint32)
+                reader, stream, held = pa.ipc.open_file(listing), file.stream(), np.empty(0, np.uint16)
                 for i in range(reader.num_record_batches):
                     docs, sums = reader.get_batch(i), []
                     for n in docs.column(2).to_pylist():
@@ -225,7 +225,7 @@ def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             if not held.size:
                                 held = next(stream)
                             got, held = held[:n], held[n:]
-                            crc, n = zlib.crc32(got.astype("<u4", copy=False), crc), n - got.size
+                            crc, n = zlib.crc32(got.astype("<u4"), crc), n - got.size
                         sums.append(crc)
                     starts = pa.array(docs.column(1).to_numpy() + base)
                     yield pa.RecordBatch.from_arrays([docs.column(0), starts, docs.column(2), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
