@@ -156,11 +156,11 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc.alias("doc"), F.shiftrightunsigned(F.xxhash64(text), 33).cast("int").alias("mark"), text.alias("text"))
 
 
-def _meet(rows: DataFrame, lists: DataFrame, how: str, *cols: str) -> DataFrame:
-    """Rows with their document's lists: broadcast if these are small, by shuffle if not."""
-    n = lists.agg(F.count(F.lit(1)), F.sum(sum((F.size(c) for c in cols), F.lit(0)))).first()
-    side = F.broadcast(lists) if n[0] * 64 + (n[1] or 0) * 4 <= BROADCAST_BYTES else lists
-    return rows.join(side, ["doc", "mark"], how)
+def _with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """Rows with their document's spans: broadcast if these are small, by shuffle if not."""
+    n = spans.agg(F.count(F.lit(1)), F.sum(F.size("starts"))).first()
+    side = F.broadcast(spans) if n[0] * 64 + (n[1] or 0) * 8 <= BROADCAST_BYTES else spans
+    return rows.join(side, ["doc", "mark"], "left")
 
 
 def duplicate_spans(docs: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     spans = spans.unionByName(many.filter("later").select("doc", "mark", *whole))
 
     places = stored(many.filter("not later").groupBy("doc", "mark").agg(F.collect_list("pos").alias("places")), "boundaries")
-    edge = stored(_meet(rows, places, "inner", "places").select("doc", "mark", "text", "places").mapInArrow(_window_rows, "w1 long, w2 long, doc long, mark int, start int, own boolean"), "windows")
+    edge = stored(rows.join(places, ["doc", "mark"]).select("doc", "mark", "text", "places").mapInArrow(_window_rows, "w1 long, w2 long, doc long, mark int, start int, own boolean"), "windows")
     first = edge.filter("not own").groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("holders")).filter("holders > 1")
     later = edge.filter("not own").join(first, ["w1", "w2"]).filter("doc > least").select("doc", "mark", "start").unionByName(edge.filter("own").select("doc", "mark", "start"))
     spans = spans.unionByName(later.select("doc", "mark", "start", (F.col("start") + WINDOW).alias("end")))
@@ -190,7 +190,7 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by single spaces) for every row of docs (doc_id, text)."""
-    rows = _meet(_rows(docs), duplicate_spans(docs), "left", "starts", "ends")
+    rows = _with_spans(_rows(docs), duplicate_spans(docs))
     return rows.select("doc_id", "text", "starts", "ends").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept string")
 
 
