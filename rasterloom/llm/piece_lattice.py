@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding over a lattice of pieces, by a max-plus parallel scan.
 
 A text becomes "▁" + text with each space as "▁" (an empty text stays empty).  Its pieces are the
-path of the greatest sum of piece scores, as in SentencePiece's unigram model; a character that is no
+path of the greatest sum of piece scores; a character that is no
 piece costs UNKNOWN below the least score and is spelled in byte pieces.  Of equal sums the path
 whose last piece is longest wins, then the one before it, and so on.  Scores and pieces come from the
 model file, which is never changed or trained.
