@@ -14,7 +14,8 @@ to the driver but the fitting sample.
 
 Defined results.  Vectors that are null, of zero length, zero, holding null or non-finite components,
 or not of the table's most common length (the shorter of equals) take no part, nor do rows with a null
-identifier.  Ties go to the smaller identifier, in the shortlist too.  Rows that repeat an identifier are
+identifier.  Ties go to the smaller identifier, and of equal vectors the
+smaller identifiers are shortlisted first.  Rows that repeat an identifier are
 candidates each; a query's own are all rows of its identifier.  Fewer candidates than K: all of them.
 An empty table, or one without queries, gives no rows.  Extra columns are not read.
 """
