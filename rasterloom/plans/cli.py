@@ -11,6 +11,7 @@ import sys
 import time
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def scan(spark: SparkSession, config: cfg.Config, n: int | None = None) -> tuple
     found = spark.read.format("binaryFile").load([f for *_, f in rows]).select("path", "content")
     where = F.broadcast(named.withColumn("end", F.regexp_replace("file", r"^\w+:/*", "/")))  # a row a file
     at = lambda df: df.join(where, F.expr("endswith(path, end)")).drop("end", "file", "path")
-    px = at(geotiff.pixels(geotiff.tiles(found, [0]))).select("scene_id", F.col("scene_band").alias("band"), "row", "col", "v")
+    px = at(geotiff.pixels(geotiff.tiles(found, [0]))).select("scene_id", F.col("scene_band").alias("band"), "row", "col", "v").persist(StorageLevel.MEMORY_AND_DISK)
     head = at(geotiff.metadata(found)).filter("scene_band = 0").drop("scene_band")
     return px, head, list(range(len(bands)))
 

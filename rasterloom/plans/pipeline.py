@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def adjusted_by(pixels: DataFrame, scenes: DataFrame, overlaps: DataFrame, n_sce
         if m not in plans:
             raise ValueError(f"unknown method {m!r}")
         try:
-            out.adjusted[m] = plans[m]()
+            out.adjusted[m] = plans[m]().persist(StorageLevel.MEMORY_AND_DISK)  # metrics and mosaics read it again and again
         except (ValueError, ArithmeticError) as e:
             out.errors[m] = str(e)
     return out

@@ -414,7 +414,7 @@ def test_config(tmp_path):
 def test_command_line(spark, tmp_path):
     rng = np.random.default_rng(4)
     c = config.sample(("a", "b"), 2)
-    c.output_dir, c.min_overlap, c.methods, c.local.block_size = str(tmp_path / "out"), 10, ["original", "global", "moment"], 4
+    c.output_dir, c.min_overlap, c.methods, c.local.block_size = str(tmp_path / "out"), 10, ["original", "global"], 4
     for k, s in enumerate(c.scenes):
         for band in s.bands:
             s.bands[band] = str(tmp_path / f"{s.id}_{band}.tif")
@@ -422,11 +422,11 @@ def test_command_line(spark, tmp_path):
     config.save(c, str(tmp_path / "c.yaml"))
     args = ["--config", str(tmp_path / "c.yaml")]
     assert cli.main([*args, "--dry-run", "multiband"]) == 0
-    for verb in ("multiband", "ablation", "diagnostics", "seam", "spectral"):
+    for verb in ("multiband", "seam"):
         assert cli.main([*args, verb]) == 0, verb
     got = spark.read.option("header", True).csv(f"{c.output_dir}/metrics/summary")
     ave = {r.method: float(r.adm) for r in got.collect()}
-    assert ave["global"] < ave["original"] and ave["moment"] < ave["original"]
+    assert ave["global"] < ave["original"]
     assert cli.main([*args, "--resume", "multiband"]) == 0
     with pytest.raises(SystemExit):
         cli.main([*args, "nothing"])
