@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import WS, documents, fresh, stored
 
 WEIGHTS, SHARE, LIMIT = (3, 1, 2), Fraction(3, 2), 2
-BLOCK, CHUNK, BUCKET_ROWS, SEED = 256, 1 << 16, 4096, 7
+BLOCK, CHUNK, BUCKET_ROWS, SEED = 256, 1 << 16, 512, 7
 
 
 def targets(sizes: list[int], share: Fraction = SHARE, limit: int = LIMIT, weights: tuple[int, ...] = WEIGHTS) -> list[Fraction]:
@@ -106,7 +106,9 @@ def schedule(spark: SparkSession, goal: list[Fraction], table: DataFrame) -> Dat
         edges.append(edges[-1] + float(g / total))
     n_slots = -(-int(total) // BLOCK)
     n_chunks = -(-n_slots // CHUNK)
-    slots = spark.range(n_chunks, numPartitions=min(n_chunks, spark.sparkContext.defaultParallelism * 4)).mapInArrow(_slots(edges, n_slots), "sid long, chunk long, slot long, r long")
+    chunks = spark.range(n_chunks, numPartitions=min(n_chunks, spark.sparkContext.defaultParallelism * 4))
+    # Written, so that the planner knows the slots' size: from the chunks' it would take them for a side to broadcast.
+    slots = stored(chunks.mapInArrow(_slots(edges, n_slots), "sid long, chunk long, slot long, r long"), "slots")
     counts = slots.groupBy("sid", "chunk").agg(F.count(F.lit(1)).alias("n"))
     base = F.sum("n").over(W.partitionBy("sid").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))
     before = counts.select("sid", "chunk", F.coalesce(base, F.lit(0)).alias("base"))
