@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, stored
 
-GIANT, CHUNK, UNKNOWN, REMEMBER = 1 << 16, 1 << 15, 10.0, 300_000
+GIANT, CHUNK, UNKNOWN, REMEMBER = 1 << 16, 1 << 15, 10.0, 250_000
 NORMAL, UNK, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 SPACE = "▁"
 _LOW = -1e300
@@ -348,31 +348,50 @@ def _small(model: str):  # noqa: ANN202
     return run
 
 
+def _parted(docs: DataFrame, giant: int) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) of texts up to giant characters, and the written table (doc_id, text, uid) of longer ones, if any."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    giants = stored(rows.filter(F.length("text") > giant).withColumn("uid", F.monotonically_increasing_id()), "giants")
+    return rows.filter(F.coalesce(F.length("text"), F.lit(0)) <= giant), None if giants.isEmpty() else giants
+
+
+def _giant_rows(giants: DataFrame, model: str) -> DataFrame:
+    return giants.join(giant_pieces(giants, model), "uid").select("doc_id", "text", "ids", "score")
+
+
 def encode_pieces(docs: DataFrame, model: str, giant: int = GIANT) -> DataFrame:
     """doc_id, text, ids (little-endian 32-bit words), score for every row of docs (doc_id, text)."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    small = rows.filter(F.coalesce(F.length("text"), F.lit(0)) <= giant)
+    small, giants = _parted(docs, giant)
     out = small.mapInArrow(_small(model), "doc_id long, text string, ids binary, score double")
-    giants = stored(rows.filter(F.length("text") > giant).withColumn("uid", F.monotonically_increasing_id()), "giants")
-    if giants.isEmpty():
-        return out
-    return out.unionByName(giants.join(giant_pieces(giants, model), "uid").select("doc_id", "text", "ids", "score"))
+    return out if giants is None else out.unionByName(_giant_rows(giants, model))
+
+
+REPORT = "doc_id long, n_pieces long, ids_crc32 long, score double, round_trip boolean"
+
 
+def _summed(model: str, encoded: bool):  # noqa: ANN202
+    """The report of texts that have their ids, or of texts alone, encoded on the way and forgotten one by one."""
 
-def _summed(model: str):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocab.load(model)
         for b in batches:
-            ids, texts = b.column("ids").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()
-            cols = {"n_pieces": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64()), "score": b.column("score"), "round_trip": pa.array([v.decode_bytes(x) == (t or b"") for x, t in zip(ids, texts)])}
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols.values()], ["doc_id", *cols])
+            rows = []
+            for k, t in enumerate(b.column(1)):
+                text = t.as_py() or ""
+                ids, score = (b.column(2)[k].as_py(), b.column(3)[k].as_py()) if encoded else v.encode(text)
+                rows.append((len(ids) // 4, zlib.crc32(ids), score, v.decode_bytes(ids) == text.encode()))
+            cols = zip(*rows) if rows else [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, kind) for c, kind in zip(cols, kinds)]], [x.split()[0] for x in REPORT.split(", ")])
 
     return run
 
 
 def piece_report(docs: DataFrame, model: str, giant: int = GIANT) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, score, round_trip (decoding gives the text back)."""
-    return encode_pieces(docs, model, giant).mapInArrow(_summed(model), "doc_id long, n_pieces long, ids_crc32 long, score double, round_trip boolean")
+    small, giants = _parted(docs, giant)
+    out = small.mapInArrow(_summed(model, False), REPORT)
+    return out if giants is None else out.unionByName(_giant_rows(giants, model).mapInArrow(_summed(model, True), REPORT))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:

@@ -14,8 +14,9 @@ sum p exp(lambda s) = 1 over the clean background, K is its maximum-likelihood v
 calibration documents.  Segments of E <= E_MAX are significant.  A document's evidence is the sum of
 -ln E over them; a logistic curve fitted on the calibration documents turns it into a score.
 
-Calibration reads a bounded sample: at most CALIBRATION labelled training documents, those of the
-smallest hash.  All else covers all rows, and each document is scored over its whole text.
+Calibration reads a bounded sample: the labelled training documents whose hash falls in the share
+that makes CALIBRATION of them on average.  All else covers all rows, and each document is scored over
+its whole text.
 
 Defined results.  Null and empty texts have no segment and get the score of no evidence.  Labels
 with a null doc_id or toxic are ignored; of repeated labels the largest counts; a doc_id that repeats
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, small
+from .common import documents, fresh, small, stored
 
 PRIOR, SHRINK, DRIFT, LEXICON, E_MAX, CALIBRATION, CUT = 0.1, 2.0, -0.5, 100_000, 0.05, 20_000, 0.3
 _TOKEN = re.compile(r"[^\W_]+")
@@ -151,6 +152,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     known = known.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     labelled = docs.select("doc_id", "text").join(small(known, 16), F.col("doc_id") == F.col("label_id"))
     counts = labelled.select("text", "toxic").mapInArrow(_counts, "token string, y1 long, y0 long").groupBy("token").agg(F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
+    counts = stored(counts, "token-counts")
     model = Model()
 
     def listed(counts: DataFrame, n1: float, n0: float) -> DataFrame:
@@ -178,7 +180,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         model.drift = min(DRIFT, -2 * max(0.0, float(probs @ scores)) / max(rest, 1e-9))
         model.lam = _lambda(np.append(probs, rest), np.append(scores, model.drift)) if (scores > 0).any() else 1.0
 
-    shown = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION).select("text", "toxic")
+    # A share of the labels by hash, chosen before any text is read.
+    share = min(1.0, CALIBRATION / max(1, known.count()))
+    chosen = known.filter(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    shown = docs.select("doc_id", "text").join(small(chosen, 16), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
     raw = [(r["n"], list(zip(r["a"], r["b"], r["s"])), r["toxic"]) for r in shown.mapInArrow(_raw(model), "n long, a array<long>, b array<long>, s array<double>, toxic int").collect()]
     clean = [(n, max((s for *_, s in segs), default=0.0)) for n, segs, y in raw if not y and n]
     weight = sum(n * math.exp(-model.lam * m) for n, m in clean)
