@@ -5,8 +5,11 @@ before left over, on at most SAMPLE vectors (those of the smallest hash; a docum
 every vector is encoded by a beam search that keeps BEAM partial sums a stage, and stored as STAGES
 bytes beside its norm and the norm of its approximation.  Search: a query's inner products with all
 codewords fill a lookup table; a candidate's estimate is the sum of its STAGES entries times the ratio
-of the stored norms.  The RERANK best estimates of each block are reranked by exact inner products in
-double precision, added in the order of the components; blocks' best K meet in one ranking.
+of the stored norms.  The RERANK best estimates of each block are scored exactly: inner products in
+double precision, added in the order of the components.  Their K-th best is a threshold; one matrix
+product over the whole block, with its rounding bound as slack, finds every other row that could reach
+it, and those are scored exactly too.  So no row is lost to the codes, whatever the block's size, and
+the result doesn't depend on blocks or cores.  Blocks' best K meet in one ranking.
 
 The stated query set meets all rows in blocks: each task holds one block of candidates and streams the
 written query table past it in pieces, so memory is bounded by block and piece, and nothing is sent
@@ -108,6 +111,31 @@ def inner_products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return out
 
 
+def best(q: np.ndarray, v: np.ndarray, reach: float, known: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Places and scores of each query's k best of all v outside lo:hi, the first of equals.
+
+    known holds scores of some of them, of norm reach at most: no row under the k-th of these is needed.
+    """
+    least = -np.partition(-known, k - 1, axis=1)[:, k - 1] if known.shape[1] >= k else np.full(len(q), -np.inf)
+    # Either sum is off by at most d roundings of the norms' product.
+    least = least - 4 * (q.shape[1] + 2) * np.finfo(float).eps * np.linalg.norm(q, axis=1) * reach
+    found, score = [], []
+    for at in range(0, len(q), 32):  # bounds the pairs held at once where many rows tie
+        may = q[at : at + 32] @ v.T >= least[at : at + 32, None]
+        for i, row in enumerate(may, at):
+            row[lo[i] : hi[i]] = False
+        who, place = np.nonzero(may)
+        exact = np.zeros(who.size)
+        for c in range(q.shape[1]):
+            exact += q[at + who, c] * v[place, c]
+        ends = np.searchsorted(who, np.arange(len(may) + 1))
+        for a, b in zip(ends, ends[1:]):
+            order = np.argsort(-exact[a:b], kind="stable")[:k]
+            found.append(place[a:b][order])
+            score.append(exact[a:b][order])
+    return found, score
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
@@ -140,19 +168,18 @@ def _search(books: Codebooks, dim: int, uris: list[str], k: int, rerank: int):
         ids, v = t["vec_id"].to_numpy(), _matrix(t["v"].combine_chunks(), dim).astype(np.float64)
         codes = np.frombuffer(b"".join(t["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
         scale = (t["norm"].to_numpy() / np.maximum(t["short"].to_numpy(), 1e-30)).astype(np.float32)
+        reach = float(np.linalg.norm(v, axis=1).max())
         for qid, q in _pieces(uris, dim):
             est = books.estimates(q.astype(np.float32), codes, scale)
             lo, hi = np.searchsorted(ids, qid), np.searchsorted(ids, qid, side="right")
             for i in np.flatnonzero(lo < hi):
                 est[i, lo[i] : hi[i]] = -np.inf
-            top = np.sort(shortlist(est, rerank), axis=1)
-            exact = inner_products(q, v[top])
-            exact[ids[top] == qid[:, None]] = -np.inf
-            order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-            found, score = np.take_along_axis(top, order, 1), np.take_along_axis(exact, order, 1)
-            who = np.repeat(qid, order.shape[1])
-            real = np.isfinite(score).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(who[real]), pa.array(ids[found].ravel()[real]), pa.array(score.ravel()[real])], ["query_id", "vec_id", "score"])
+            top = shortlist(est, rerank)
+            known = inner_products(q, v[top])
+            known[ids[top] == qid[:, None]] = -np.inf
+            found, score = best(q, v, reach, known, lo, hi, k)
+            who = np.repeat(qid, [x.size for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(ids[np.concatenate(found)]), pa.array(np.concatenate(score))], ["query_id", "vec_id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0

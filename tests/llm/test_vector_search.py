@@ -1,7 +1,9 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from rasterloom.llm.vector_search import Codebooks, fit, nearest, op5_nearest_vectors, shortlist
+from rasterloom.llm.vector_search import BLOCK, RERANK, Codebooks, _encode, _search, fit, nearest, op5_nearest_vectors, shortlist
 
 
 def plain(rows, step=20, k=20):
@@ -64,3 +66,16 @@ def test_defined_cases(spark):
     assert nearest(df.filter("false")).count() == 0
     assert nearest(df.filter("vec_id % 20 <> 0")).count() == 0
     assert nearest(df.filter(F.col("vec_id") == 0)).count() == 0
+
+
+def test_full_block_is_exact(tmp_path):
+    """One block of BLOCK Gaussian vectors, where RERANK is a small share: nothing is missed."""
+    x = np.random.default_rng(2).normal(size=(BLOCK, 64)).astype(np.float32)
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(BLOCK)), pa.array(list(x), pa.list_(pa.float32()))], ["vec_id", "v"])
+    pq.write_table(pa.Table.from_batches([rows]).filter(pa.array(np.arange(BLOCK) % 512 == 0)), tmp_path / "q.parquet")
+    index = _encode(fit(x[:4096], rounds=3), 64)(rows.slice(k, 1000) for k in range(0, BLOCK, 1000))
+    got = {}
+    for b in _search(fit(x[:4096], rounds=3), 64, [f"file://{tmp_path}/q.parquet"], 20, RERANK)(index):
+        for q, i, s in zip(*(c.to_pylist() for c in b.columns)):
+            got.setdefault(q, []).append((i, s))
+    assert got == plain(list(enumerate(x)), step=512)
