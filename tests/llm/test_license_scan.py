@@ -46,3 +46,19 @@ def test_defined_cases(spark):
     got = sorted((r.doc_id or 0, r.license or "", r.dice) for r in license_scan(df).collect())
     assert got == [(0, "", 0.0), (1, "", 0.0), (2, "", 0.0), (3, "MIT text", 1.0), (3, "MIT text", 1.0), (4, "MIT text", 1.0), (5, "", 0.0), (6, "MIT", 1.0)]
     assert license_scan(df.filter("false")).count() == 0
+
+
+def test_notices_across_and_inside_units(spark):
+    """Licence texts over several paragraphs of a source file, and notices within longer lines."""
+    mit, bsd, code = TEMPLATES["MIT text"], TEMPLATES["BSD-3-Clause"], "\n".join(f"def f{k}(x): return x * {k} + g{k}(x)" for k in range(200))
+    for cut in ("The above copyright", "THE SOFTWARE IS PROVIDED"):
+        mit = mit.replace(cut, "\n\n" + cut)
+    bsd = bsd.replace("Redistributions", "\n\n * Redistributions").replace("THIS SOFTWARE", "\n\nTHIS SOFTWARE")
+    mixed = TEMPLATES["Zlib"].replace(". ", ".\n")
+    prose = "We wrote this tool over many years and it is released under the MIT License so that all can use it freely at home or at work."
+    rows = [(1, f"Copyright 2020 A. Author\n\n{mit}\n\n{code}"), (2, f"{code}\n\n{bsd}\n\n{code}"), (3, f"{code}\n{mixed}\n{code}"), (4, prose), (5, code)]
+    for k, name in enumerate(("AGPL header", "LGPL header", "BSD-2-Clause"), 6):
+        rows.append((k, TEMPLATES[name] + "\n" + code))
+    got = {r.doc_id: (r.license, r.dice) for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {1: "MIT text", 2: "BSD-3-Clause", 3: "Zlib", 4: "MIT", 6: "AGPL header", 7: "LGPL header", 8: "BSD-2-Clause"}
+    assert got == {5: (None, 0.0)} | {k: (n, 1.0) for k, n in want.items()}
