@@ -4,8 +4,9 @@ Training.  For each token, the number of toxic and of clean labelled documents t
 log-odds ratio under an informative Dirichlet prior (the tokens' overall counts, PRIOR times their
 weight) and its standard error.  A token scores what is left of its log-odds after SHRINK standard
 errors towards 0; tokens with nothing left are not in the lexicon and score DRIFT, a small negative
-number.  Counts cover every labelled training document.  The lexicon keeps at most LEXICON tokens,
-those farthest from 0 in standard errors: the model's size.
+number.  Counts cover every labelled training document, and the lexicon holds every token with
+something left.  Where it outgrows a broadcast, the model carries what it says of the most frequent
+tokens, and the rest is a written table that documents' other tokens are joined with.
 
 Scoring.  A document is one pass of Ruzzo and Tompa's scan, which finds all maximal segments in time
 linear in its length; runs of unlisted tokens count as one gap.  A segment of score S in a document
@@ -31,16 +32,16 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, small, stored
+from .common import BROADCAST_BYTES, documents, fresh, small, stored
 
-PRIOR, SHRINK, DRIFT, LEXICON, E_MAX, CALIBRATION, CUT = 0.1, 2.0, -0.5, 100_000, 0.05, 20_000, 0.3
+PRIOR, SHRINK, DRIFT, TOKEN_BYTES, E_MAX, CALIBRATION, CUT = 0.1, 2.0, -0.5, 48, 0.05, 20_000, 0.3
 _TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -57,6 +58,9 @@ class Model:
     slope: float = 1.0
     base: float = -50.0
     trained: bool = False
+    #: If the lexicon isn't broadcast: frequent tokens that it doesn't list, and (token, s) of the rarer ones that it does.
+    plain: frozenset[str] = frozenset()
+    rest: DataFrame | None = None
 
 
 def maximal_segments(places: list[int], values: list[float], drift: float) -> list[tuple[int, int, float]]:
@@ -88,10 +92,13 @@ def maximal_segments(places: list[int], values: list[float], drift: float) -> li
     return [(a, b, r - l) for a, b, l, r, _ in stack]
 
 
-def segments(text: str, model: Model) -> tuple[int, list[tuple[int, int, float]]]:
-    """Number of tokens and the maximal segments of a text."""
+def segments(text: str, model: Model, more: list[dict] | None = None) -> tuple[int, list[tuple[int, int, float]]]:
+    """Number of tokens and the maximal segments of a text; more lists its tokens that model.rest scores."""
     words = tokens(text)
     get = model.scores.get
+    if more:
+        rare = {x["token"]: x["s"] for x in more}
+        get = lambda w: model.scores.get(w, rare.get(w))
     listed = [(i, s) for i, s in enumerate(map(get, words)) if s is not None]
     return len(words), maximal_segments([i for i, _ in listed], [s for _, s in listed], model.drift) if listed else []
 
@@ -146,8 +153,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on labels (doc_id, toxic) outside the held-out quarter and the documents they name."""
+def train(docs: DataFrame, labels: DataFrame, limit: int = BROADCAST_BYTES) -> Model:
+    """Fit on labels (doc_id, toxic) outside the held-out quarter and the documents they name; limit bounds what is broadcast."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").filter(~is_held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     labelled = docs.select("doc_id", "text").join(small(known, 16), F.col("doc_id") == F.col("label_id"))
@@ -171,8 +178,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     n1, n0 = float(by[False]["y1"]), float(by[False]["y0"])
     if not n1 or not n0:
         return model
-    rows = listed(counts.filter("token <> ''"), n1, n0).orderBy(F.abs("z").desc(), "token").limit(LEXICON).collect()
-    model.scores = {r["token"]: r["s"] for r in rows}
+    words = counts.filter("token <> ''")
+    lexicon = listed(words, n1, n0)
+    if lexicon.count() * TOKEN_BYTES <= limit:
+        rows = lexicon.orderBy(F.abs("z").desc(), "token").collect()
+        model.scores = {r["token"]: r["s"] for r in rows}
+    else:
+        often = stored(words.orderBy((F.col("y1") + F.col("y0")).desc(), "token").limit(limit // TOKEN_BYTES).select("token"), "frequent-tokens")
+        said = often.join(lexicon, "token", "left").select("token", "s").collect()
+        model.scores = {r["token"]: r["s"] for r in said if r["s"] is not None}
+        model.plain = frozenset(r["token"] for r in said if r["s"] is None)
+        model.rest = stored(lexicon.join(often, "token", "left_anti").select("token", "s"), "lexicon")
+        rows = lexicon.groupBy("s").agg(F.sum("p").alias("p")).orderBy("s").collect()  # as many as there are different pairs of counts
     scores, probs = np.array([r["s"] for r in rows]), np.array([r["p"] for r in rows])
     rest = max(0.0, 1.0 - float(probs.sum()))
     # The walk must drift down over clean text.
@@ -183,8 +200,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     # A share of the labels by hash, chosen before any text is read.
     share = min(1.0, CALIBRATION / max(1, known.count()))
     chosen = known.filter(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    shown = docs.select("doc_id", "text").join(small(chosen, 16), F.col("doc_id") == F.col("label_id")).select("text", "toxic")
-    raw = [(r["n"], list(zip(r["a"], r["b"], r["s"])), r["toxic"]) for r in shown.mapInArrow(_raw(model), "n long, a array<long>, b array<long>, s array<double>, toxic int").collect()]
+    shown = docs.select("doc_id", "text").join(small(chosen, 16), F.col("doc_id") == F.col("label_id")).select(F.col("text").cast("string").alias("t"), F.col("toxic"))
+    raw = [(r["n"], list(zip(r["a"], r["b"], r["s"])), r["toxic"]) for r in _with_rare(shown, model).mapInArrow(_raw(model), "n long, a array<long>, b array<long>, s array<double>, toxic int").collect()]
     clean = [(n, max((s for *_, s in segs), default=0.0)) for n, segs, y in raw if not y and n]
     weight = sum(n * math.exp(-model.lam * m) for n, m in clean)
     model.k = min(1.0, max(1e-9, len(clean) / weight)) if weight else 1.0
@@ -197,30 +214,58 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
+def _unlisted(known: Model):  # noqa: ANN202
+    """(row, t) to (row, token): the tokens of each text that the model itself says nothing of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = [w for w in {*tokens(t or "")} if w not in known.scores and w not in known.plain]
+                for k in range(0, len(words), 10_000):
+                    part = words[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(part), pa.int64()), pa.array(part, pa.string())], ["row", "token"])
+
+    return run
+
+
+def _with_rare(rows: DataFrame, model: Model) -> DataFrame:
+    """rows (t and others) as t, more, others: more has the tokens of t that model.rest scores."""
+    others, kind = rows.columns[1:], "array<struct<token: string, s: double>>"
+    if model.rest is None:
+        return rows.select("t", F.lit(None).cast(kind).alias("more"), *others)
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "toxicity-rows")
+    asked = rows.select("row", "t").mapInArrow(_unlisted(replace(model, rest=None)), "row long, token string")
+    more = asked.join(model.rest, "token").groupBy("row").agg(F.collect_list(F.struct("token", "s")).alias("more"))
+    return rows.join(more, "row", "left").select("t", "more", *others)
+
+
 def _raw(model: Model):  # noqa: ANN202
+    model = replace(model, rest=None)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [segments(t or "", model) for t in b.column(0).to_pylist()]
+            got = [segments(t or "", model, more) for t, more in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             cols = [pa.array([n for n, _ in got], pa.int64())]
             cols += [pa.array([[x[i] for x in segs] for _, segs in got], pa.list_(kind)) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*cols, b.column(1).cast(pa.int32())], ["n", "a", "b", "s", "toxic"])
+            yield pa.RecordBatch.from_arrays([*cols, b.column(2).cast(pa.int32())], ["n", "a", "b", "s", "toxic"])
 
     return run
 
 
 def _score(model: Model):  # noqa: ANN202
+    model = replace(model, rest=None)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("e_value", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             scores, found = [], []
-            for t in b.column(0).to_pylist():
-                n, segs = segments(t or "", model)
+            for t, more in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n, segs = segments(t or "", model, more)
                 sig = significant(n, segs, model) if segs else []
                 x = model.base + model.slope * evidence(sig)
                 scores.append(1 / (1 + math.exp(-max(-60.0, min(60.0, x)))) if model.trained else 0.0)
                 found.append([{"start": a, "end": e, "score": s, "e_value": v} for a, e, s, v in sig])
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(scores, pa.float64()), pa.array(found, spans)], [*b.schema.names[1:], "score", "passages"])
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(scores, pa.float64()), pa.array(found, spans)], [*b.schema.names[2:], "score", "passages"])
 
     return run
 
@@ -231,7 +276,7 @@ def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     rows = docs.select(F.col("text").cast("string").alias("t"), *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, names)])
     kinds = ", ".join(f"{k} {docs.schema[c].dataType.simpleString()}" for c, k in zip(keep, names))
     span = "array<struct<start: long, end: long, score: double, e_value: double>>"
-    out = rows.mapInArrow(_score(model), f"{kinds}{', ' * bool(kinds)}score double, passages {span}")
+    out = _with_rare(rows, model).mapInArrow(_score(model), f"{kinds}{', ' * bool(kinds)}score double, passages {span}")
     (score, spans) = fresh(docs.select(*[F.col(f"`{c}`") for c in keep]), "score", "passages")
     return out.toDF(*keep, score, spans)
 

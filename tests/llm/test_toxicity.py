@@ -62,3 +62,17 @@ def test_defined_cases(spark):
     kept = keep_clean(df, nothing)
     assert kept.count() == 4 and kept.columns == df.columns
     assert keep_clean(df.filter("false"), nothing).count() == 0
+
+
+def test_lexicon_without_limit(spark):
+    """A lexicon that is joined as a table holds the same tokens and gives the same scores as one that is broadcast."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    whole, cut = train(docs, labels), train(docs, labels, limit=48 * 30)
+    rest = {r.token: r.s for r in cut.rest.collect()}
+    assert whole.rest is None and len(cut.scores) + len(cut.plain) == 30 and rest
+    assert {**cut.scores, **rest} == whole.scores
+    a, b = ({r.doc_id: r for r in scored(docs, m, "doc_id").collect()} for m in (whole, cut))
+    assert set(a) == set(b) and all(abs(a[k].score - b[k].score) < 1e-9 for k in a)
+    assert [[x[:2] for x in a[k].passages] for k in a] == [[x[:2] for x in b[k].passages] for k in a]
+    assert any(r.passages for r in b.values())
