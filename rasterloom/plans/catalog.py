@@ -332,6 +332,12 @@ def spectral_structure(spark, d):
     return rounded(spectral.frobenius(spectral.correlation_matrices(px)))
 
 
+@query()
+def spectral_structure_all(spark, d):
+    """Change of the correlations between all bands."""
+    return rounded(spectral.frobenius(spectral.correlation_matrices(spectral.usable(vr.spectra(spark, d)).select("pixel_id", "o", "n"))))
+
+
 @query()
 def spectral_sample(spark, d):
     px = vr.spectra(spark, d)
