@@ -50,15 +50,17 @@ def length(mask: DataFrame, pixel: float = 1.0) -> DataFrame:
     return mask.agg((F.count_if(F.col("on")) * pixel).alias("length"))
 
 
-def transition_width(px: DataFrame, seam: DataFrame, reach: int = 50, share: float = 0.1, farthest_peak: bool = False) -> DataFrame:
+def transition_width(px: DataFrame, seam: DataFrame, reach: int | None = None, share: float = 0.1, farthest_peak: bool = False) -> DataFrame:
     """row, width: how many pixels on either side of the seam keep a gradient of at least share of the row's peak.
 
-    The peak is the greatest gradient within reach of the seam; with farthest_peak it is that of the
+    The peak is the greatest gradient within reach of the seam, by default half the image's width; with farthest_peak it is that of the
     farthest left pixel.  Runs are gaps and islands: the count up to the first smaller gradient.
     """
     w = W.partitionBy("row").orderBy("col")
     grad = px.withColumn("g", F.abs(F.lead("v").over(w) - F.lag("v").over(w)) / 2)
-    near = grad.join(small(seam), "row").withColumn("d", F.col("col") - F.col("sc")).filter(f"abs(d) <= {reach} AND g IS NOT NULL")
+    near = grad.join(small(seam), "row").withColumn("d", F.col("col") - F.col("sc"))
+    half = px.agg(F.floor((F.max("col") - F.min("col") + 1) / 2).alias("most")) if reach is None else px.sparkSession.range(1).select(F.lit(reach).alias("most"))
+    near = near.crossJoin(F.broadcast(half)).filter("abs(d) <= most AND g IS NOT NULL").drop("most")
     peak = F.max_by("g", -F.col("d")) if farthest_peak else F.max("g")
     held = near.join(near.groupBy("row").agg(peak.alias("peak")), "row").withColumn("low", F.col("g") < share * F.col("peak"))
     first = held.groupBy("row").agg(F.min(F.when(F.col("low") & (F.col("d") >= 0), F.col("d"))).alias("right"), F.max(F.when(F.col("low") & (F.col("d") < 0), F.col("d"))).alias("left"), F.max("d").alias("dr"), F.min("d").alias("dl"))

@@ -432,6 +432,13 @@ def test_command_line(spark, tmp_path):
         cli.main([*args, "nothing"])
 
 
+def test_wide_transition(spark):
+    """A ramp of 160 columns is measured whole, not cut at 50 columns on either side."""
+    px = spark.createDataFrame([(0, k, float(min(max(k - 120, 0), 160))) for k in range(400)], "row int, col int, v double")
+    width = seams.transition_width(px, seams.middle(px, 400)).first().width
+    assert 155 <= width <= 165
+
+
 def test_features(spark):
     import json
 
