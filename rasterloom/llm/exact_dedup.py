@@ -1,10 +1,11 @@
 """Exact deduplication by a stateful stream.
 
 Each document's digest goes through a streaming aggregation whose keyed state lives on disk
-(RocksDB), never expires, and keeps for each digest the smallest identifier, the file that holds
-that row, and a count.  The state is then read as a table.  Digests seen more than once are hits:
-their full bytes are compared by grouping on the whole normalised text, so that a digest collision
-separates texts instead of merging them.  Only SQL functions run on the executors.
+(RocksDB), never expires, and keeps for each digest the smallest identifier, that row's place (file
+and row: the content locator), and a count.  The state is then read as a table.  Digests seen more
+than once are hits: their full bytes are read again at their places and compared by grouping on the
+whole normalised text, so that a digest collision separates texts (by their SHA-256) instead of
+merging them.  The state can be kept for later batches.  Only SQL functions run on the executors.
 
 Skew: copies of one text are combined before every shuffle, so a text that fills a third of the
 table reaches the state as one row from each task; the last join carries only ids and digests.
@@ -17,9 +18,12 @@ stays.  An empty table gives no rows.  Extra columns are not read, whatever thei
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,13 +45,13 @@ def sha256(norm: Column) -> Column:
 
 
 def stream_state(digests: DataFrame, checkpoint: str) -> None:
-    """Feed a streaming (doc_id, digest, file) frame into the keyed state at checkpoint; may be called again with more."""
+    """Feed a streaming (doc_id, digest, file, place) frame into the keyed state at checkpoint; may be called again with more."""
     spark = digests.sparkSession
     before = {k: spark.conf.get(k, None) for k in _STATE}
     for k, v in _STATE.items():
         spark.conf.set(k, v)
     try:
-        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file"))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "place"))
         kept = digests.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
         query = kept.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
@@ -57,38 +61,69 @@ def stream_state(digests: DataFrame, checkpoint: str) -> None:
 
 
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """The state as a table: digest, keep_id, file (the content locator), n."""
+    """The state as a table: digest, keep_id, file and place (the content locator), n."""
     state = spark.read.format("statestore").load(checkpoint)
     first, n = (f"value.`{f.name}`" for f in state.schema["value"].dataType.fields)
-    return state.select(F.col("key.digest").alias("digest"), F.col(f"{first}.doc_id").alias("keep_id"), F.col(f"{first}.file").alias("file"), F.col(n).alias("n"))
+    return state.select(F.col("key.digest").alias("digest"), F.col(f"{first}.doc_id").alias("keep_id"), F.col(f"{first}.file").alias("file"), F.col(f"{first}.place").alias("place"), F.col(n).alias("n"))
 
 
-def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs (doc_id, text)."""
+def _located(docs: DataFrame) -> DataFrame:
+    """doc_id, text, file, place: where each row's text can be read again.  Rows that don't come straight from files are written first."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", one_spaced(F.col("text")).alias("norm"), F.input_file_name().alias("file"))
-    rows = rows.select("doc_id", "norm", digest(F.col("norm")).alias("digest"), "file")
-    at, checkpoint = scratch(spark, "digests"), scratch(spark, "dedup-state")
-    table = rows.select("doc_id", "digest", (F.col("digest") if digest is sha256 else sha256(F.col("norm"))).alias("sha"), "file")
-    table.write.option("compression", "zstd").parquet(at)
-    stream_state(spark.readStream.schema(table.schema).option("maxBytesPerTrigger", str(64 << 30)).parquet(at), checkpoint)
-    table = spark.read.schema(table.schema).parquet(at)
+    try:
+        rows = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+        rows.schema  # noqa: B018
+    except AnalysisException:
+        rows = stored(docs.select("doc_id", "text"), "dedup-texts").select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    return rows.select("doc_id", F.col("text").cast("string").alias("text"), "file", "place")
+
+
+def _texts_at(spark: SparkSession, places: DataFrame) -> DataFrame:
+    """digest, norm of the written places (digest, file, place): only files that are named are read, and only rows at these places normalised."""
+    files = [r["file"] for r in places.select("file").distinct().collect()]  # names of input files, as any scan lists them on the driver
+    if not files:
+        return places.select("digest", F.lit("").alias("norm")).filter("false")
+    there = spark.read.parquet(*files).select("text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    return there.join(small(places, 256), ["file", "place"]).select("digest", one_spaced(F.col("text").cast("string")).alias("norm"))
+
+
+def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, state: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs (doc_id, text).
+
+    With state, a folder, the keyed state and the digests stay there, and a later call with the same
+    folder judges its docs against all rows seen so far; the files of these must still be there.
+    """
+    spark = docs.sparkSession
+    folder = state.rstrip("/") if state else scratch(spark, "dedup")
+    seen, checkpoint, batch = f"{folder}/digests", f"{folder}/state", uuid.uuid4().hex[:12]
+    rows = _located(docs).select("doc_id", one_spaced(F.col("text")).alias("norm"), "file", "place")
+    rows = rows.select("doc_id", digest(F.col("norm")).alias("digest"), "norm", "file", "place")
+    table = rows.select("doc_id", "digest", (F.col("digest") if digest is sha256 else sha256(F.col("norm"))).alias("sha"), "file", "place")
+    table.write.option("compression", "zstd").parquet(f"{seen}/batch={batch}")
+    kept = T.StructType(table.schema.fields + [T.StructField("batch", T.StringType())])
+    stream_state(spark.readStream.schema(kept).option("maxBytesPerTrigger", str(64 << 30)).parquet(seen), checkpoint)
+    every = spark.read.schema(kept).parquet(seen)
+    table = every.filter(F.col("batch") == batch).drop("batch")
     groups = stored(read_state(spark, checkpoint), "dedup-groups")
-    forget(spark, checkpoint)
+    if state is None:
+        forget(spark, checkpoint)
 
-    # Full bytes on hits: one class for each different text under a digest.
+    # Full bytes on hits, read at their places: one class for each different text under a digest.
     hits = groups.filter("n > 1").select("digest")
-    texts = rows.join(small(hits, 64), "digest", "left_semi").groupBy("digest", "norm")
+    places = stored(every.join(small(hits, 64), "digest", "left_semi").select("digest", "file", "place"), "dedup-places")
+    texts = _texts_at(spark, places).groupBy("digest", "norm")
     clashes = stored(texts.agg(F.lit(1).alias("one")).groupBy("digest").count().filter("count > 1").select("digest"), "dedup-clashes")
     out = table.join(groups.select("digest", "keep_id", "n"), "digest")
     if not clashes.isEmpty():
         out = out.join(clashes, "digest", "left_anti")
-        apart = rows.join(clashes, "digest", "left_semi")
-        classes = apart.groupBy("digest", "norm").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id"))["doc_id"].alias("keep_id"), F.count(F.lit(1)).alias("n"))
-        out = out.unionByName(apart.join(classes, ["digest", "norm"]).select("digest", "doc_id", sha256(F.col("norm")).alias("sha"), "file", "keep_id", "n"))
+        apart = every.join(clashes, "digest", "left_semi")
+        classes = apart.groupBy("digest", "sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id"))["doc_id"].alias("keep_id"), F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(apart.filter(F.col("batch") == batch).drop("batch").join(classes, ["digest", "sha"]).select(*out.columns))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    if not table.groupBy("doc_id", "digest").count().filter("count > 1").isEmpty():
-        out = out.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", "sha").orderBy("file")))
+    if not every.groupBy("doc_id", "digest").count().filter("count > 1").isEmpty():
+        first = F.row_number().over(W.partitionBy("doc_id", "sha").orderBy("file", "place"))
+        nth = every.withColumn("nth", first).filter(F.col("batch") == batch).select("file", "place", "nth") if state else None
+        out = out.withColumn("nth", first) if nth is None else out.join(nth, ["file", "place"])
         kept = kept & (F.col("nth") == 1)
     return out.select("doc_id", "keep_id", F.col("n").alias("group_size"), kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WS, documents, fresh, stored
+from .common import WS, documents, fresh, small, stored
 
 WEIGHTS, SHARE, LIMIT = (3, 1, 2), Fraction(3, 2), 2
 BLOCK, CHUNK, BUCKET_ROWS, SEED = 256, 1 << 16, 512, 7
@@ -134,13 +134,13 @@ def mix(sized: DataFrame) -> DataFrame:
     """uid, doc_id, source, size, sid, source_size, target, taken for a written table (uid, doc_id, source, size, h, mark)."""
     spark = sized.sparkSession
     table, goal, _ = _sources(spark, sized)
-    rows = sized.withColumnRenamed("source", "own").join(F.broadcast(table), F.col("own").eqNullSafe(F.col("source"))).drop("own")
+    rows = sized.withColumnRenamed("source", "own").join(small(table, 96), F.col("own").eqNullSafe(F.col("source"))).drop("own")
     placed = streams(rows, sized.count())
     ends = F.sequence(F.expr(f"off div {BLOCK}"), F.expr(f"(off + size - 1) div {BLOCK}"))
     pieces = placed.filter("size > 0").select("uid", "sid", "off", "size", F.explode(ends).alias("block"))
     pieces = pieces.select("uid", "sid", "block", F.greatest(F.lit(0), F.expr(f"off - block * {BLOCK}")).alias("a"), F.least(F.lit(BLOCK), F.expr(f"off + size - block * {BLOCK}")).alias("b"))
     quotas = table.filter("quota > 0")
-    turns = schedule(spark, goal, quotas).join(F.broadcast(quotas), "sid")
+    turns = schedule(spark, goal, quotas).join(small(quotas, 96), "sid")
     turns = turns.withColumns({"block": F.expr("rank % blocks"), "done": F.expr(f"(rank div blocks) * source_size + (rank % blocks) * {BLOCK}")})
     takes = turns.select("sid", "block", F.least(F.expr("quota - done"), F.expr(f"source_size - block * {BLOCK}"), F.lit(BLOCK)).alias("w")).filter("w > 0")
     taken = pieces.join(takes, ["sid", "block"]).groupBy("uid").agg(F.sum(F.greatest(F.lit(0), F.least(F.col("w"), F.col("b")) - F.col("a"))).alias("taken"))

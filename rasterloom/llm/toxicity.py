@@ -31,7 +31,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -201,11 +201,14 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = BROADCAST_BYTES) -> M
     share = min(1.0, CALIBRATION / max(1, known.count()))
     chosen = known.filter(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     shown = docs.select("doc_id", "text").join(small(chosen, 16), F.col("doc_id") == F.col("label_id")).select(F.col("text").cast("string").alias("t"), F.col("toxic"))
-    raw = [(r["n"], list(zip(r["a"], r["b"], r["s"])), r["toxic"]) for r in _with_rare(shown, model).mapInArrow(_raw(model), "n long, a array<long>, b array<long>, s array<double>, toxic int").collect()]
-    clean = [(n, max((s for *_, s in segs), default=0.0)) for n, segs, y in raw if not y and n]
+    shown = stored(_with_rare(shown, model), "calibration")
+    best = [tuple(r) for r in shown.mapInArrow(_summed(model, lambda n, segs: max((s for *_, s in segs), default=0.0)), "n long, x double, toxic int").collect()]
+    clean = [(n, m) for n, m, y in best if not y and n]
     weight = sum(n * math.exp(-model.lam * m) for n, m in clean)
     model.k = min(1.0, max(1e-9, len(clean) / weight)) if weight else 1.0
-    x = np.array([evidence(significant(n, segs, model)) if n else 0.0 for n, segs, _ in raw])
+    bare = replace(model, rest=None)
+    raw = [tuple(r) for r in shown.mapInArrow(_summed(model, lambda n, segs: evidence(significant(n, segs, bare)) if n else 0.0), "n long, x double, toxic int").collect()]
+    x = np.array([e for _, e, _ in raw])
     y = np.array([float(y) for *_, y in raw])
     if y.any() and not y.all():
         model.slope, model.base = _logistic(x, y)
@@ -239,15 +242,14 @@ def _with_rare(rows: DataFrame, model: Model) -> DataFrame:
     return rows.join(more, "row", "left").select("t", "more", *others)
 
 
-def _raw(model: Model):  # noqa: ANN202
+def _summed(model: Model, value: Callable[[int, list[tuple[int, int, float]]], float]):  # noqa: ANN202
+    """(t, more, toxic) to (n, x, toxic): the number of tokens and what value makes of the segments."""
     model = replace(model, rest=None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [segments(t or "", model, more) for t, more in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            cols = [pa.array([n for n, _ in got], pa.int64())]
-            cols += [pa.array([[x[i] for x in segs] for _, segs in got], pa.list_(kind)) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*cols, b.column(2).cast(pa.int32())], ["n", "a", "b", "s", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([value(*x) for x in got], pa.float64()), b.column(2).cast(pa.int32())], ["n", "x", "toxic"])
 
     return run
 

@@ -203,8 +203,9 @@ def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
     sized = vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0")
     common = sized.groupBy(F.size("embedding").alias("d")).count().orderBy(F.col("count").desc(), "d").first()
     dim = common["d"] if common else 1
+    kind = "double" if vectors.schema["embedding"].dataType.elementType.simpleString() in ("double", "bigint", "int") else "float"
     rows = sized.filter((F.size("embedding") == dim) & finite & F.exists("embedding", lambda x: x != 0))
-    return rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>").alias("v")), dim
+    return rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{kind}>").alias("v")), dim
 
 
 def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = K, rerank: int = RERANK) -> DataFrame:
@@ -219,7 +220,7 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = K, re
     asked = stored(rows.filter(queries), "queries")
     uris = [u if "://" in u or not u.startswith("file:") else "file://" + u[5:] for u in asked.inputFiles()]
     n_blocks = max(2 * spark.sparkContext.defaultParallelism, -(-rows.count() // BLOCK))
-    index = stored(rows.repartition(n_blocks).mapInArrow(_encode(books, dim), "vec_id long, v array<float>, codes binary, norm double, short double"), "vector-index")
+    index = stored(rows.repartition(n_blocks).mapInArrow(_encode(books, dim), f"vec_id long, {rows.schema['v'].simpleString().replace(':', ' ')}, codes binary, norm double, short double"), "vector-index")
     found = index.mapInArrow(_search(books, dim, uris, k, rerank), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

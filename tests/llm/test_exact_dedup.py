@@ -24,6 +24,14 @@ def test_defined_cases(spark):
         assert sum(r.kept for r in found) == len(plain(ROWS))
 
 
+def test_state_is_kept_for_later_batches(spark, tmp_path):
+    state = f"file://{tmp_path}/state"
+    first = exact_dedup(spark.createDataFrame([(5, "a b"), (6, "c")], "doc_id long, text string"), state=state).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in first) == [(5, 5, 1, True), (6, 6, 1, True)]
+    later = exact_dedup(spark.createDataFrame([(7, "a  b"), (4, "c"), (8, "d"), (8, "d"), (6, "c")], "doc_id long, text string"), state=state).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in later) == [(4, 4, 3, True), (6, 4, 3, False), (7, 5, 2, False), (8, 8, 2, False), (8, 8, 2, True)]
+
+
 def test_keep_first(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     kept = keep_first(df)

@@ -79,3 +79,11 @@ def test_full_block_is_exact(tmp_path):
         for q, i, s in zip(*(c.to_pylist() for c in b.columns)):
             got.setdefault(q, []).append((i, s))
     assert got == plain(list(enumerate(x)), step=512)
+
+
+def test_doubles_keep_their_digits(spark):
+    rows = [(k, [1.0 + k * 1e-12, 1.0, -1.0]) for k in range(60)] + [(60, [1e200, 0.0, 0.0]), (20, [2.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(df).filter("query_id = 0").orderBy("rank").collect()
+    want = sorted(((sum(a * b for a, b in zip(rows[0][1], v)), i) for i, v in rows if i != 0), key=lambda x: (-x[0], x[1]))[:20]
+    assert [(r.score, r.vec_id) for r in got] == want
