@@ -36,32 +36,29 @@ def parents(edges: list[tuple[int, int]], n: int, root: int = 0) -> dict[int, in
 
 
 def tree_levels(edges: DataFrame, root: int = 0) -> DataFrame:
-    """parent, child, level as a plan: recursive SQL reaches all nodes, the first parent by level, then number, wins."""
-    spark = edges.sparkSession
-    edges.select("i", "j").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"))).createOrReplaceTempView("rl_edges")
-    n = edges.select(F.explode(F.array("i", "j")).alias("n")).distinct().count()
-    return spark.sql(f"""
-        WITH RECURSIVE walk(node, parent, level) AS (
-          SELECT {root}, CAST(NULL AS INT), 0
-          UNION ALL SELECT e.j, e.i, w.level + 1 FROM walk w JOIN rl_edges e ON e.i = w.node WHERE w.level < {max(1, n - 1)} AND (w.parent IS NULL OR e.j <> w.parent))
-        SELECT min_by(parent, struct(level, parent)) AS parent, node AS child, min(level) AS level FROM walk WHERE node <> {root} GROUP BY node""")
-
-
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 50) -> DataFrame:
+    """parent, child, level of the breadth-first tree over edges (i, j) in their order; the edges are a row a pair of scenes."""
+    level, rows = {root: 0}, []
+    for p, c in spanning_tree([(r["i"], r["j"]) for r in edges.select("i", "j").orderBy("i", "j").collect()], root):
+        level[c] = level[p] + 1
+        rows.append((p, c, level[c]))
+    return edges.sparkSession.createDataFrame(rows, "parent int, child int, level int")
+
+
+def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """node, component (its least node): minima spread along edges and jump to the label's label until nothing moves."""
     both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).unionByName(edges.select(F.col(dst).alias("a"), F.col(src).alias("b")))
     both = both.distinct().persist()
     label = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("c")).withColumnRenamed("a", "node")
-    for _ in range(rounds):
+    while True:
         seen = label.withColumnsRenamed({"node": "b", "c": "cb"})
         spread = both.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("cb").alias("m"))
         new = label.join(spread, "node").select("node", F.least("c", "m").alias("c"))
         jump = new.select(F.col("node").alias("c"), F.col("c").alias("cc"))
         new = new.join(jump, "c").select("node", F.least("c", "cc").alias("c"))
         new = new.checkpoint() if new.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else new.persist()
-        moved = new.join(label.withColumnRenamed("c", "was"), "node").filter("c <> was").isEmpty()
+        still = new.join(label.withColumnRenamed("c", "was"), "node").filter("c <> was").isEmpty()
         label = new
-        if moved:
+        if still:
             break
     return label.select("node", F.col("c").alias("component"))
 

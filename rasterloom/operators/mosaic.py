@@ -91,6 +91,12 @@ def edt(cells: DataFrame) -> DataFrame:
     return down.groupBy("scene_id", "gr").applyInPandas(_row_distance, "scene_id int, gr int, gc int, w double")
 
 
+def weight_map(cells: DataFrame) -> DataFrame:
+    """scene_id, gr, gc, w: the distance as a share of its scene's greatest."""
+    w = edt(cells)
+    return w.join(small(w.groupBy("scene_id").agg(F.max("w").alias("most"))), "scene_id").select("scene_id", "gr", "gc", (F.col("w") / F.col("most")).alias("w"))
+
+
 def weighted(px: DataFrame, weights: DataFrame) -> DataFrame:
     """band, gr, gc, v: sum(w v) / sum(w), w the distance plus a little."""
     w = F.col("w") + TINY
@@ -116,15 +122,26 @@ def seam_pairs(labels: DataFrame) -> DataFrame:
     return found[0].unionByName(found[1]).distinct()
 
 
+def _sobel_parts(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Absolute 3 x 3 Sobel derivatives along columns and along rows, borders repeated."""
+    p = np.pad(m, 1, mode="edge")
+    d, s = p[:, 2:] - p[:, :-2], p[2:] - p[:-2]
+    return np.abs(d[:-2] + 2 * d[1:-1] + d[2:]), np.abs(s[:, :-2] + 2 * s[:, 1:-1] + s[:, 2:])
+
+
 def min_cost_seam(a: np.ndarray, b: np.ndarray, ok_a: np.ndarray, ok_b: np.ndarray, diff: float = 1.0, grad: float = 0.5) -> np.ndarray:
-    """One column a row: the path of least summed |a - b| + grad |change of gradient|, one column aside at most; the leftmost of equals."""
+    """One column a row: the path of least summed |a - b| + grad |Sobel a - Sobel b|, one column aside at most; the leftmost of equals.
+
+    The gradients' difference is the length of that of their absolute parts, axis by axis.  With fewer
+    jointly valid pixels than rows, the seam is the column that has most of them.
+    """
     both = ok_a & ok_b
     x, y = np.where(ok_a, a, 0.0), np.where(ok_b, b, 0.0)
-    slope = lambda m: np.hypot(*np.gradient(m)) if min(m.shape) > 1 else np.zeros(m.shape)
-    cost = np.where(both, diff * np.abs(x - y) + grad * np.abs(slope(x) - slope(y)), 1e10)
-    h, w = cost.shape
+    h, w = x.shape
     if both.sum() < h:
-        return np.full(h, int(cost.sum(0).argmin()))
+        return np.full(h, int(both.sum(0).argmax()))
+    (ax, ay), (bx, by) = _sobel_parts(x), _sobel_parts(y)
+    cost = np.where(both, diff * np.abs(x - y) + grad * np.hypot(ax - bx, ay - by), 1e10)
     total, back = cost[0].copy(), np.zeros((h, w), int)
     for r in range(1, h):
         three = np.stack([np.append(np.inf, total[:-1]), total, np.append(total[1:], np.inf)])

@@ -21,11 +21,11 @@ MATCH = "i int, j int, br int, bc int, ref_x double, ref_y double, tgt_x double,
 
 
 def structural(img: np.ndarray, ok: np.ndarray) -> np.ndarray:
-    """Sobel magnitude of the image stretched between its 2nd and 98th percentiles and smoothed; raw under 100 valid pixels."""
+    """Sobel magnitude of the image stretched between its 2nd and 98th percentiles and smoothed, 0 where invalid; raw under 100 valid pixels."""
     if ok.sum() < 100:
         return np.where(ok, img, 0.0)
     lo, hi = np.percentile(img[ok], [2, 98])
-    x = np.clip((np.where(ok, img, lo) - lo) / max(hi - lo, 1e-12), 0, 1)
+    x = np.clip((np.where(ok, img, lo) - lo) / max(hi - lo, 1e-8), 0, 1)
     k = np.exp(-0.5 * np.arange(-4, 5) ** 2)
     k /= k.sum()
     for axis in (0, 1):
@@ -33,7 +33,7 @@ def structural(img: np.ndarray, ok: np.ndarray) -> np.ndarray:
         x = sum(w * np.take(p, range(i, i + x.shape[axis]), axis) for i, w in enumerate(k))
     p = np.pad(x, 1, mode="symmetric")
     d, s = p[:, 2:] - p[:, :-2], p[2:] - p[:-2]
-    return np.hypot(d[:-2] + 2 * d[1:-1] + d[2:], s[:, :-2] + 2 * s[:, 1:-1] + s[:, 2:])
+    return np.where(ok, np.hypot(d[:-2] + 2 * d[1:-1] + d[2:], s[:, :-2] + 2 * s[:, 1:-1] + s[:, 2:]), 0.0)
 
 
 def _upsampled(product: np.ndarray, peak: tuple[float, float], factor: int) -> tuple[float, float]:
@@ -106,7 +106,7 @@ def phase_shift(ref: np.ndarray, tgt: np.ndarray, factor: int = 50) -> tuple[flo
     return (float(best[0]), float(best[1]), max(0.0, best[2])) if best[2] > -1 else (0.0, 0.0, 0.0)
 
 
-def _match(g: pd.DataFrame) -> pd.DataFrame:
+def match_block(g: pd.DataFrame) -> pd.DataFrame:
     r0, c0 = g["r"].min(), g["c"].min()
     h, w = int(g["r"].max() - r0 + 1), int(g["c"].max() - c0 + 1)
     ref, tgt = (np.full((h, w), np.nan) for _ in "rt")
@@ -125,7 +125,7 @@ def block_matches(joint: DataFrame, block: int = 512) -> DataFrame:
     spread = joint.withColumns({"br": cell("r"), "bc": cell("c")})
     for k in ("br", "bc"):
         spread = spread.withColumn(k, F.explode(F.when(F.col(k) > 0, F.array(F.col(k), F.col(k) - 1)).otherwise(F.array(k))))
-    return spread.groupBy("i", "j", "br", "bc").applyInPandas(_match, MATCH)
+    return spread.groupBy("i", "j", "br", "bc").applyInPandas(match_block, MATCH)
 
 
 def screened(matches: DataFrame, confidence: float = 0.5, max_shift: float = 40.0, global_sd: DataFrame | None = None) -> DataFrame:

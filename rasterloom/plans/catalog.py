@@ -8,11 +8,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pixels import rounded_to
-from ..operators import adjust, blocks, diagnostics, graph, mosaic, overlap, quality, register, render, seams, spectral, stencil
+from ..operators import adjust, blocks, diagnostics, graph, mosaic, overlap, quality, refine, register, render, seams, spectral, stencil
 from ..sources import virtual as vr
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,10 +67,18 @@ def scan_wide(spark, d):
     return rounded(vr.wide(spark, d).select("scene_id", "row", "col", *[F.get("s", F.lit(k)).alias(f"b{k}") for k in range(4)]))
 
 
-@query("SELECT scene_id, count(v) AS n_valid, CAST(count(*) - count(v) AS BIGINT) AS n_nodata, CAST(0 AS BIGINT) AS n_nan, CAST(0 AS BIGINT) AS n_inf, true AS passed FROM grid GROUP BY scene_id", GRID)
+_RAW = "CASE WHEN v IS NULL THEN -9999 WHEN (row + col) % 13 = 0 THEN CAST('nan' AS DOUBLE) WHEN (row * col) % 29 = 28 THEN CAST('inf' AS DOUBLE) ELSE v END"
+
+
+@query(
+    f"""raw AS (SELECT scene_id, {_RAW} AS x FROM grid), k AS (SELECT scene_id, count(*) FILTER (isnan(x)) AS n_nan, count(*) FILTER (isinf(x)) AS n_inf, count(*) FILTER (x = -9999) AS n_nodata, count(*) FILTER (isfinite(x) AND x <> -9999) AS n_valid FROM raw GROUP BY scene_id)
+    SELECT *, n_nan = 0 AND n_inf = 0 AS passed FROM k""",
+    GRID,
+)
 def data_quality(spark, d):
-    raw = vr.grid(spark, d).withColumns({"v": F.coalesce("v", F.lit(-9999.0)), "nodata": F.lit(-9999.0)})
-    return quality.data_quality(raw)
+    g = vr.grid(spark, d)
+    v = F.when(F.col("v").isNull(), -9999.0).when((F.col("row") + F.col("col")) % 13 == 0, float("nan")).when((F.col("row") * F.col("col")) % 29 == 28, float("inf")).otherwise(F.col("v"))
+    return quality.data_quality(g.withColumns({"v": v, "nodata": F.lit(-9999.0)}))
 
 
 @query("SELECT scene_id, CAST(6.0 * scene_id AS DOUBLE) AS l, CAST(0 AS DOUBLE) AS bt, CAST(6.0 * scene_id + 24 AS DOUBLE) AS r, CAST(30 AS DOUBLE) AS t FROM kinds", GRID)
@@ -261,19 +271,34 @@ def gradient_energy(spark, d):
     return stencil.gradient_energy(vr.grid(spark, d)).select("scene_id", rounded_to("energy", 2).alias("energy"))
 
 
+def _mirrored(x: str, k: str, last: int) -> str:
+    return f"CASE WHEN {x} + {k} < 0 THEN -1 - {x} - {k} WHEN {x} + {k} > {last} THEN {2 * last + 1} - {x} - {k} ELSE {x} + {k} END"
+
+
+def _window_sql(src: str, name: str, aggs: str, offsets: str = "o") -> str:
+    """Aggregates over each pixel's window, borders mirrored: f is the pixel, n its neighbour, a and b the offsets."""
+    return f"{name} AS (SELECT f.scene_id, f.row, f.col, {aggs} FROM {src} f CROSS JOIN {offsets} a CROSS JOIN {offsets} b JOIN {src} n ON n.scene_id = f.scene_id AND n.row = {_mirrored('f.row', 'a.k', 29)} AND n.col = {_mirrored('f.col', 'b.k', 23)} GROUP BY ALL)"
+
+
+_SEVEN = "o AS (SELECT unnest(range(-3, 4)) AS k)"
+
+
+@query(f"{_FILLED}, {_SEVEN}, {_window_sql('fl', 's', 'avg(n.v) AS m1, avg(n.v * n.v) AS m2')} SELECT scene_id, row, col, round(sqrt(greatest(0, m2 - m1 * m1)), 4) + 0.0 AS sd FROM s", GRID)
+def local_deviation(spark, d):
+    """The 7 x 7 deviation that texture loss is made of."""
+    one = stencil.box_std(stencil.filled_with_mean(vr.grid(spark, d)).select("scene_id", "band", "row", "col", "f"), 7)
+    return one.select("scene_id", "row", "col", rounded_to("sd", 4).alias("sd"))
+
+
 @query(
-    f"""{_FILLED}, o AS (SELECT unnest(range(-3, 4)) AS k), m AS (
-      SELECT f.scene_id, f.row, f.col, CASE WHEN f.row + a.k < 0 THEN -1 - f.row - a.k WHEN f.row + a.k > 29 THEN 59 - f.row - a.k ELSE f.row + a.k END AS r,
-             CASE WHEN f.col + b.k < 0 THEN -1 - f.col - b.k WHEN f.col + b.k > 23 THEN 47 - f.col - b.k ELSE f.col + b.k END AS c
-      FROM fl f CROSS JOIN o a CROSS JOIN o b WHERE f.scene_id = 0),
-    s AS (SELECT m.row, m.col, avg(v) AS m1, avg(v * v) AS m2 FROM m JOIN fl ON fl.scene_id = 0 AND fl.row = m.r AND fl.col = m.c GROUP BY m.row, m.col)
-    SELECT row, col, round(sqrt(greatest(0, m2 - m1 * m1)), 4) + 0.0 AS sd FROM s""",
+    f"""{_AFTER}, {_FILLED}, fa AS (SELECT scene_id, row, col, coalesce(v, avg(v) OVER (PARTITION BY scene_id)) AS v FROM aft), {_SEVEN},
+    {_window_sql('fl', 's0', 'sqrt(greatest(0, avg(n.v * n.v) - avg(n.v) * avg(n.v))) AS sd')}, {_window_sql('fa', 's1', 'sqrt(greatest(0, avg(n.v * n.v) - avg(n.v) * avg(n.v))) AS sd')}
+    SELECT scene_id, round(1 - avg(s1.sd) / avg(s0.sd), 6) + 0.0 AS loss FROM s0 JOIN s1 USING (scene_id, row, col) JOIN grid USING (scene_id, row, col) WHERE v IS NOT NULL AND col < 12 GROUP BY scene_id""",
     GRID,
 )
-def local_deviation(spark, d):
-    """The 7 x 7 deviation that texture loss is made of."""
-    one = stencil.box_std(stencil.filled_with_mean(_scene(spark, d, 0)).select("scene_id", "band", "row", "col", "f"), 7)
-    return one.select("row", "col", rounded_to("sd", 4).alias("sd"))
+def texture_loss(spark, d):
+    g = vr.grid(spark, d).select("scene_id", "band", "row", "col", "v")
+    return rounded(stencil.texture_loss(g, g.withColumn("v", F.col("v") * (1 + 0.1 * F.col("row"))), g.filter("col < 12").select("scene_id", "row", "col")).drop("band"))
 
 
 # -- spectra
@@ -322,18 +347,11 @@ def spectral_correlation(spark, d):
 
 
 @query(
-    """c AS (SELECT a.k AS p, b.k AS q, corr(a.o, b.o) AS c0, corr(a.n, b.n) AS c1 FROM sp a JOIN sp b ON a.pixel_id = b.pixel_id WHERE a.k <= 8 AND b.k <= 8 GROUP BY a.k, b.k)
+    """c AS (SELECT a.k AS p, b.k AS q, corr(a.o, b.o) AS c0, corr(a.n, b.n) AS c1 FROM sp a JOIN sp b ON a.pixel_id = b.pixel_id GROUP BY a.k, b.k)
     SELECT round(sqrt(sum((c1 - c0) * (c1 - c0))), 6) + 0.0 AS frobenius FROM c""",
     SPEC,
 )
 def spectral_structure(spark, d):
-    """Change of the correlations between the first eight bands."""
-    px = spectral.usable(vr.spectra(spark, d)).select("pixel_id", F.slice("o", 1, 8).alias("o"), F.slice("n", 1, 8).alias("n"))
-    return rounded(spectral.frobenius(spectral.correlation_matrices(px)))
-
-
-@query()
-def spectral_structure_all(spark, d):
     """Change of the correlations between all bands."""
     return rounded(spectral.frobenius(spectral.correlation_matrices(spectral.usable(vr.spectra(spark, d)).select("pixel_id", "o", "n"))))
 
@@ -453,6 +471,19 @@ def saturation_change(spark, d):
     return rounded(diagnostics.saturation_change(g, g.withColumn("v", F.col("v") * (1 + 0.1 * F.col("row"))), 20.0, 400.0).drop("band"))
 
 
+@query(
+    f"""{_CD}, s AS (SELECT avg(adm) AS adm, avg(adsd) AS adsd, sum((n_i + n_j) * cd) / sum(n_i + n_j) AS cd FROM p), {_AFTER},
+    t0 AS (WITH {_SOBEL.format(src='grid')} SELECT scene_id, row, col, v, atan2(abs(gy), abs(gx)) AS t FROM g), t1 AS (WITH {_SOBEL.format(src='aft')} SELECT scene_id, row, col, atan2(abs(gy), abs(gx)) AS t FROM g),
+    l AS (SELECT avg(d) AS gl FROM (SELECT scene_id, avg(abs(t1.t - t0.t)) AS d FROM t0 JOIN t1 USING (scene_id, row, col) WHERE v IS NOT NULL GROUP BY scene_id))
+    SELECT round(adm, 6) + 0.0 AS adm, round(adsd, 6) + 0.0 AS adsd, round(cd, 6) + 0.0 AS cd, round((adm + adsd + cd) / 3, 6) + 0.0 AS rdoa, round(gl, 6) + 0.0 AS gl, round((adm + adsd + cd + gl) / 4, 6) + 0.0 AS ave FROM s, l""",
+    GRID,
+)
+def metrics_ave(spark, d):
+    g = vr.grid(spark, d)
+    after = g.withColumn("v", F.col("v") * (1 + 0.1 * F.col("row")))
+    return rounded(quality.with_ave(quality.summary(quality.per_pair_band(_sides(spark, d)), 1), stencil.gl(g, after)))
+
+
 # -- blocks and the local stage's parts
 
 _BLOCKS = """bp AS (SELECT scene_id, CAST(row // 6 AS INT) AS gm, CAST(gcol // 6 AS INT) AS gn, v FROM grid),
@@ -505,7 +536,31 @@ def coefficient_steps(spark, d):
     return rounded(diagnostics.neighbour_steps(b.select("band", "block_id", F.col("mu").alias("a")), b.select("block_id", "gm", "gn")))
 
 
-@query()
+def _relaxed(values: dict[str, str], n: int = 5, rounds: int = 600) -> str:
+    """Weighed least squares over a graph with node 0 held at 0, by relaxation.
+
+    From e (p, q, w, and for each value its difference from q to p) to th, with a list x_<value> over the nodes.
+    """
+    cols = ", ".join(f"coalesce(w * {e}, 0) / sum(coalesce(w, 0)) OVER (PARTITION BY a.k) AS t_{v}" for v, e in values.items())
+    sums = ", ".join(f"CASE WHEN p = 0 THEN 0 ELSE sum(t_{v}) END AS c_{v}" for v in values)
+    lists = ", ".join(f"list(c_{v} ORDER BY p) AS c_{v}" for v in values)
+    zero, names = "[" + ", ".join(["CAST(0 AS DOUBLE)"] * n) + "]", ", ".join(f"x_{v}" for v in values)
+    step = ", ".join(f"list_transform(range(1, {n + 1}), lambda k: c_{v}[k] + list_inner_product(mt[k], x_{v}))" for v in values)
+    return f"""nd AS (SELECT CAST(i AS INT) AS k FROM range({n}) r(i)),
+    fu AS (SELECT a.k AS p, b.k AS q, coalesce(w, 0) / sum(coalesce(w, 0)) OVER (PARTITION BY a.k) AS c, {cols} FROM nd a CROSS JOIN nd b LEFT JOIN e ON e.p = a.k AND e.q = b.k),
+    rw AS (SELECT p, list(CASE WHEN p = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(c AS DOUBLE) END ORDER BY q) AS r, {sums} FROM fu GROUP BY p),
+    sy AS (SELECT list(r ORDER BY p) AS mt, {lists} FROM rw),
+    th AS (WITH RECURSIVE it(n, {names}) AS (SELECT 0, {", ".join([zero] * len(values))} UNION ALL SELECT n + 1, {step} FROM it, sy WHERE n < {rounds}) SELECT {names} FROM it WHERE n = {rounds})"""
+
+
+@query(
+    f"""{_MOMENTS}, ar AS (SELECT m.*, 30 * (hi2 - lo2) AS w FROM m JOIN (SELECT i, j, lo AS lo2, hi AS hi2 FROM pairs) USING (i, j)),
+    e AS (SELECT i AS p, j AS q, w, mu_j - mu_i AS dm, sd_j - sd_i AS ds FROM ar UNION ALL SELECT j, i, w, mu_i - mu_j, sd_i - sd_j FROM ar), {_relaxed({'m': 'dm', 's': 'ds'})},
+    ow AS (SELECT scene_id, avg(v) AS mu, stddev_pop(v) AS sg FROM grid GROUP BY scene_id),
+    pl AS (SELECT scene_id, mu, x_m[scene_id + 1] AS tm, CASE WHEN sg < 1e-12 OR sg + x_s[scene_id + 1] < 1e-12 THEN 1 ELSE (sg + x_s[scene_id + 1]) / sg END AS k FROM ow, th)
+    SELECT scene_id, band, row, col, round(k * v + (mu + tm - k * mu), 6) + 0.0 AS v FROM grid JOIN pl USING (scene_id)""",
+    GRID,
+)
 def adjust_global(spark, d):
     px, o = vr.grid(spark, d).select("scene_id", "band", "row", "col", "v"), _overlaps(spark, d)
     return rounded(adjust.adjust_global(px, o, 5)[0])
@@ -544,15 +599,29 @@ def histogram_baseline(spark, d):
     return rounded(adjust.histogram_baseline(vr.grid(spark, d).select("scene_id", "band", "row", "col", "v"), o, edges, bins=4096))
 
 
-@query()
+@query(
+    f"""{_MOMENTS}, gl AS (SELECT avg(CASE WHEN n_i > 5 THEN mu_i END) AS tm, avg(CASE WHEN n_i > 5 THEN sd_i END) AS ts FROM m WHERE i = 0),
+    o AS (SELECT k, ex / sum(ex) OVER () AS w FROM (SELECT k, exp(-(k * k) / CAST(4.5 AS DOUBLE)) AS ex FROM (SELECT unnest(range(-4, 5)) AS k))),
+    {_window_sql('grid', 's', 'sum(a.w * b.w * CAST(n.v IS NOT NULL AS DOUBLE)) AS w, sum(a.w * b.w * coalesce(n.v, 0)) AS x, sum(a.w * b.w * coalesce(n.v * n.v, 0)) AS xx')},
+    u AS (SELECT scene_id, row, col, x / greatest(w, 1e-12) AS mm, sqrt(greatest(0, xx / greatest(w, 1e-12) - (x / greatest(w, 1e-12)) * (x / greatest(w, 1e-12)))) AS sd FROM s)
+    SELECT scene_id, band, row, col, round(CASE WHEN scene_id = 0 THEN v ELSE (v - mm) * ts / (sd + 1e-12) + tm END, 4) + 0.0 AS v FROM grid JOIN u USING (scene_id, row, col), gl""",
+    GRID,
+)
 def wallis_baseline(spark, d):
-    return rounded(adjust.wallis_baseline(vr.grid(spark, d).select("scene_id", "band", "row", "col", "v"), _overlaps(spark, d), window=9))
+    out = adjust.wallis_baseline(vr.grid(spark, d).select("scene_id", "band", "row", "col", "v"), _overlaps(spark, d), window=9)
+    return out.withColumn("v", rounded_to("v", 4))
 
 
 # -- graphs
 
 
-@query("SELECT parent, child, level FROM (VALUES (0, 1, 1), (0, 2, 1), (0, 3, 1), (1, 4, 2)) t(parent, child, level)")
+@query(
+    """b AS (SELECT i, j FROM pairs UNION ALL SELECT j, i FROM pairs),
+    wk AS (WITH RECURSIVE walk(node, parent, path) AS (SELECT 0, CAST(NULL AS INT), [0] UNION ALL SELECT b.j, b.i, list_append(path, b.j) FROM walk JOIN b ON b.i = node WHERE NOT list_contains(path, b.j)) SELECT * FROM walk WHERE node <> 0),
+    fi AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY len(path), path) AS k FROM wk)
+    SELECT CAST(parent AS INT) AS parent, CAST(node AS INT) AS child, CAST(len(path) - 1 AS INT) AS level FROM fi WHERE k = 1""",
+    GRID,
+)
 def spanning_tree(spark, d):
     return graph.tree_levels(_overlaps(spark, d).select("i", "j"))
 
@@ -615,6 +684,23 @@ def mosaic_seam_pairs(spark, d):
     return mosaic.seam_pairs(mosaic.sources(mosaic.edt(_canvas_pixels(spark, d).select("scene_id", "gr", "gc").distinct())))
 
 
+@query(f"{_EDT} SELECT scene_id, CAST(gr AS INT) AS gr, CAST(gc AS INT) AS gc, round(w / max(w) OVER (PARTITION BY scene_id), 6) + 0.0 AS w FROM w", GRID)
+def weight_map(spark, d):
+    return rounded(mosaic.weight_map(_canvas_pixels(spark, d).select("scene_id", "gr", "gc").distinct()))
+
+
+@query(
+    f"""{_EDT}, b AS (SELECT 0 AS band, gr, gc, w, v FROM w UNION ALL SELECT 1, gr, gc, w, 2 * v FROM w WHERE (gr + gc) % 5 <> 0), m AS (SELECT band, gr, gc, sum((w + 1e-6) * v) / sum(w + 1e-6) AS v FROM b GROUP BY band, gr, gc)
+    SELECT band, CAST(gr AS INT) AS gr, CAST(gc AS INT) AS gc, round(CASE WHEN count(*) OVER (PARTITION BY gr, gc) = 2 THEN v ELSE -1 END, 6) + 0.0 AS v FROM m""",
+    GRID,
+)
+def mosaic_nodata(spark, d):
+    """Two bands, the second with holes: a cell that lacks a band is nodata in both."""
+    px = _canvas_pixels(spark, d)
+    two = px.unionByName(px.filter("(gr + gc) % 5 <> 0").withColumns({"band": F.lit(1), "v": 2 * F.col("v")}))
+    return rounded(mosaic.with_nodata(mosaic.make(two), 2, -1.0))
+
+
 @query()
 def mosaic_narrow_feather(spark, d):
     return rounded(mosaic.make(_canvas_pixels(spark, d), "narrow_feather", 4))
@@ -709,3 +795,175 @@ def edge_grades(spark, d):
 def sweep_report(spark, d):
     runs = vr.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("param"), "l_linenumber").agg(F.avg("l_extendedprice").alias("v"))
     return rounded(quality.best_of(runs, "l_linenumber", "v", "param"))
+
+
+_PAIRED = """mp AS (SELECT * FROM (SELECT CAST(o_orderkey % 4 AS INT) AS i, CAST(o_orderkey % 4 + 1 AS INT) AS j, o_orderkey AS k, (o_orderkey % 7) / CAST(10 AS DOUBLE) AS dx, (o_orderkey % 5) / CAST(10 AS DOUBLE) AS dy,
+  (o_orderkey % 101) / CAST(CASE WHEN o_orderkey % 4 = 2 THEN 200 ELSE 100 END AS DOUBLE) AS confidence, CAST(o_orderkey % 997 AS DOUBLE) AS ref_x, CAST(o_orderkey % 1009 AS DOUBLE) AS ref_y FROM orders)
+  WHERE i IN (0, 2) OR (i = 1 AND k % 211 < 2) OR (i = 3 AND k % 997 = 3))"""
+
+
+def _paired(spark: SparkSession, d: str) -> DataFrame:
+    """Made-up matches of four pairs: many, few, none sure of themselves, next to none."""
+    k = F.col("o_orderkey")
+    m = vr.table(spark, d, "orders").select((k % 4).cast("int").alias("i"), (k % 4 + 1).cast("int").alias("j"), k.alias("k"), ((k % 7) / 10.0).alias("dx"), ((k % 5) / 10.0).alias("dy"), ((k % 101) / F.when(k % 4 == 2, 200.0).otherwise(100.0)).alias("confidence"), (k % 997).cast("double").alias("ref_x"), (k % 1009).cast("double").alias("ref_y"))
+    m = m.withColumns({"tgt_x": F.col("ref_x") - F.col("dx"), "tgt_y": F.col("ref_y") - F.col("dy"), "valid_share": F.lit(1.0), "texture": F.lit(1.0)})
+    return m.filter("i IN (0, 2) OR (i = 1 AND k % 211 < 2) OR (i = 3 AND k % 997 = 3)")
+
+
+_PASS = """p{k} AS (SELECT i, j, sum(confidence * dx) / sum(confidence) AS mx, sum(confidence * dy) / sum(confidence) AS my FROM mp WHERE confidence > {c} GROUP BY i, j),
+q{k} AS (SELECT i, j, any_value(mx) AS dx, any_value(my) AS dy, avg(confidence) AS confidence, sqrt(avg((dx - mx) * (dx - mx) + (dy - my) * (dy - my))) AS rmse, count(*) AS n_blocks, CAST({c} AS DOUBLE) AS used FROM mp JOIN p{k} USING (i, j) WHERE confidence > {c} GROUP BY i, j HAVING count(*) >= 5)"""
+
+
+@query(
+    f"""{_PASS.format(k=1, c=0.5)}, {_PASS.format(k=2, c=0.4)}, ch AS (SELECT i, j, CASE WHEN q1.used IS NULL THEN 0.4 WHEN q2.used IS NULL OR q1.n_blocks >= 20 THEN 0.5 WHEN q2.n_blocks > q1.n_blocks AND q2.rmse / greatest(q1.rmse, 1e-10) < 1.5 THEN 0.4 ELSE 0.5 END AS used FROM q1 FULL JOIN q2 USING (i, j)),
+    al AS (SELECT * FROM q1 UNION ALL SELECT * FROM q2)
+    SELECT i, j, round(dx, 6) + 0.0 AS dx, round(dy, 6) + 0.0 AS dy, round(confidence, 6) + 0.0 AS confidence, round(rmse, 6) + 0.0 AS rmse, n_blocks, al.used FROM al JOIN ch USING (i, j) WHERE abs(al.used - ch.used) < 0.01""",
+    _PAIRED,
+)
+def rematch_choice(spark, d):
+    return rounded(refine.rematch(_paired(spark, d)))
+
+
+@query(
+    """md AS (SELECT i, j, median(dx) AS cx, median(dy) AS cy FROM mp GROUP BY i, j), ma AS (SELECT i, j, any_value(cx) AS cx, any_value(cy) AS cy, median(abs(dx - cx)) AS ax, median(abs(dy - cy)) AS ay FROM mp JOIN md USING (i, j) GROUP BY i, j),
+    he AS (SELECT mp.* FROM mp JOIN ma USING (i, j) WHERE abs(dx - cx) < greatest(3 * ax, 0.3) AND abs(dy - cy) < greatest(3 * ay, 0.3)),
+    me AS (SELECT i, j, sum(confidence * dx) / sum(confidence) AS mx, sum(confidence * dy) / sum(confidence) AS my FROM he GROUP BY i, j)
+    SELECT i, j, round(any_value(mx), 6) + 0.0 AS dx, round(any_value(my), 6) + 0.0 AS dy, round(sqrt(any_value(mx) * any_value(mx) + any_value(my) * any_value(my)), 6) + 0.0 AS magnitude, round(sqrt(avg((dx - mx) * (dx - mx) + (dy - my) * (dy - my))), 6) + 0.0 AS rmse,
+      round(quantile_cont(sqrt((dx - mx) * (dx - mx) + (dy - my) * (dy - my)), 0.95), 6) + 0.0 AS p95, count(*) AS n_blocks, round(avg(confidence), 6) + 0.0 AS confidence FROM he JOIN me USING (i, j) GROUP BY i, j HAVING count(*) >= 3""",
+    _PAIRED,
+)
+def pair_shifts(spark, d):
+    return rounded(refine.edge_quality(_paired(spark, d)))
+
+
+@query(
+    """c AS (SELECT i, j, ref_x AS x, ref_y AS y, dx - 0.25 AS rdx, dy - 0.1 AS rdy, confidence AS conf, sqrt((dx - 0.25) * (dx - 0.25) + (dy - 0.1) * (dy - 0.1)) AS n FROM mp WHERE confidence >= 0.75),
+    md AS (SELECT i, j, median(n) AS med FROM c GROUP BY i, j), ma AS (SELECT i, j, any_value(med) AS med, CASE WHEN count(*) < 2 THEN 0 ELSE median(abs(n - med)) END AS mad FROM c JOIN md USING (i, j) GROUP BY i, j)
+    SELECT i, j, x, y, round(rdx, 6) + 0.0 AS rdx, round(rdy, 6) + 0.0 AS rdy, round(conf, 6) + 0.0 AS conf FROM c JOIN ma USING (i, j) WHERE n <= med + 3 * mad""",
+    _PAIRED,
+)
+def residual_controls(spark, d):
+    return rounded(register.residual_controls(_paired(spark, d), 0.25, 0.1).select("i", "j", "x", "y", "rdx", "rdy", "conf"))
+
+
+@query(
+    """tr(parent, child) AS (VALUES (2, 1), (1, 0), (2, 3), (3, 4)),
+    bo AS (SELECT parent, child, ref_x - dx AS x, ref_y - dy AS y, dx, dy, confidence FROM mp JOIN tr ON i = parent AND j = child UNION ALL SELECT parent, child, ref_x, ref_y, -dx, -dy, confidence FROM mp JOIN tr ON j = parent AND i = child),
+    re AS (SELECT child AS scene_id, x, y, dx - (child - parent) / CAST(10 AS DOUBLE) AS rdx, dy + (child - parent) / CAST(20 AS DOUBLE) AS rdy, confidence AS conf FROM bo WHERE confidence >= 0.5),
+    en AS (SELECT *, sqrt(rdx * rdx + rdy * rdy) AS n FROM re WHERE scene_id IN (SELECT scene_id FROM re GROUP BY scene_id HAVING count(*) >= 10)),
+    md AS (SELECT scene_id, median(n) AS med FROM en GROUP BY scene_id), ma AS (SELECT scene_id, any_value(med) AS med, median(abs(n - med)) AS mad FROM en JOIN md USING (scene_id) GROUP BY scene_id)
+    SELECT CAST(scene_id AS INT) AS scene_id, count(*) AS n, round(sum(x), 4) + 0.0 AS x, round(sum(y), 4) + 0.0 AS y, round(avg(rdx), 6) + 0.0 AS rdx, round(avg(rdy), 6) + 0.0 AS rdy, round(avg(conf), 6) + 0.0 AS conf FROM en JOIN ma USING (scene_id) WHERE n <= med + 3 * mad + 1e-9 GROUP BY scene_id""",
+    _PAIRED,
+)
+def parent_controls(spark, d):
+    """Both directions of a match; a scene's sums tell its points."""
+    tree = spark.createDataFrame([(2, 1), (1, 0), (2, 3), (3, 4)], "parent int, child int")
+    shifts = spark.createDataFrame([(k, k / 10, -k / 20) for k in range(5)], "scene_id int, dx double, dy double")
+    c = refine.parent_controls(_paired(spark, d), tree, shifts)
+    out = c.groupBy("scene_id").agg(F.count(F.lit(1)).alias("n"), rounded_to(F.sum("x"), 4).alias("x"), rounded_to(F.sum("y"), 4).alias("y"), *[rounded_to(F.avg(k)).alias(k) for k in ("rdx", "rdy", "conf")])
+    return out
+
+
+_CANDIDATES = """ca AS (SELECT l_linenumber / CAST(10 AS DOUBLE) AS smoothing, CASE WHEN l_returnflag = 'A' THEN 0 ELSE 1 END AS edge, avg(l_discount) * 3 AS magnitude, avg(l_tax) * 12 AS rmse, avg(l_quantity) / 25 AS p95 FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL)"""
+
+
+@query(
+    """ok AS (SELECT *, CASE WHEN edge = 0 THEN magnitude <= 0.3 AND rmse <= 0.75 AND p95 <= least(1.2, 1.0 + 0.2) ELSE magnitude <= least(0.5, 0.152) AND rmse <= 1 AND p95 <= 1.5 END AS held FROM ca),
+    sc AS (SELECT smoothing, sum(magnitude) + sum(rmse) + 0.5 * sum(p95) AS score, bool_and(held) AS passed FROM ok GROUP BY smoothing)
+    SELECT smoothing, round(score, 6) + 0.0 AS score, passed, passed AND row_number() OVER (ORDER BY passed DESC, score, smoothing) = 1 AS chosen FROM sc""",
+    _CANDIDATES,
+)
+def smoothing_choice(spark, d):
+    lines = vr.table(spark, d, "lineitem").filter("l_returnflag <> 'N'")
+    c = lines.groupBy((F.col("l_linenumber") / 10.0).alias("smoothing"), F.when(F.col("l_returnflag") == "A", 0).otherwise(1).alias("edge")).agg((F.avg("l_discount") * 3).alias("magnitude"), (F.avg("l_tax") * 12).alias("rmse"), (F.avg("l_quantity") / 25).alias("p95"))
+    return rounded(refine.smoothing_choice(c.withColumns({"magnitude0": F.lit(0.152), "p950": F.lit(1.0)})), "smoothing")
+
+
+_LEFT = "ed AS (SELECT CAST(l_linenumber AS INT) AS i, CAST(10 + l_suppkey % 3 AS INT) AS j, avg(l_discount) AS dx, -avg(l_tax) AS dy, avg(l_tax) * 5 AS rmse, count(*) AS n_blocks, avg(l_discount) * 10 AS confidence FROM lineitem GROUP BY ALL)"
+
+
+def _left(spark: SparkSession, d: str) -> DataFrame:
+    lines = vr.table(spark, d, "lineitem")
+    return lines.groupBy(F.col("l_linenumber").cast("int").alias("i"), (10 + F.col("l_suppkey") % 3).cast("int").alias("j")).agg(F.avg("l_discount").alias("dx"), (-F.avg("l_tax")).alias("dy"), (F.avg("l_tax") * 5).alias("rmse"), F.count(F.lit(1)).alias("n_blocks"), (F.avg("l_discount") * 10).alias("confidence"))
+
+
+@query("SELECT j, round(sum(w * dx) / sum(w), 6) + 0.0 AS dx, round(sum(w * dy) / sum(w), 6) + 0.0 AS dy FROM (SELECT *, confidence * n_blocks / greatest(rmse, 0.1) AS w FROM ed) GROUP BY j HAVING count(*) >= 2", _LEFT)
+def two_edge_correction(spark, d):
+    return rounded(refine.two_edge_correction(_left(spark, d)))
+
+
+@query("SELECT j, max(m1) < max(m0) AND sum(r1) < sum(r0) AND bool_and(p1 <= 1.1 * p0) AS improves FROM (SELECT j, dx AS m0, rmse AS r0, confidence AS p0, dx * (0.9 + j / 100.0) AS m1, rmse * 0.99 AS r1, confidence * (i / 6.5) AS p1 FROM ed) GROUP BY j", _LEFT)
+def correction_improves(spark, d):
+    e = _left(spark, d)
+    before = e.select("i", "j", F.col("dx").alias("magnitude"), "rmse", F.col("confidence").alias("p95"))
+    after = e.select("i", "j", (F.col("dx") * (0.9 + F.col("j") / 100.0)).alias("magnitude"), (F.col("rmse") * 0.99).alias("rmse"), (F.col("confidence") * (F.col("i") / 6.5)).alias("p95"))
+    return refine.correction_improves(before, after)
+
+
+_SHIFTED = "CAST(j * j - i + 0.25 * i AS DOUBLE) AS dx, CAST(j - i + 0.1 * i * j AS DOUBLE) AS dy, (0.5 + 0.1 * i) * (5 + j) / greatest(0.2 * i, 0.1) AS w FROM pairs"
+
+
+@query(f"e AS (SELECT j AS p, i AS q, w, dx, dy FROM (SELECT i, j, {_SHIFTED}) UNION ALL SELECT i, j, w, -dx, -dy FROM (SELECT i, j, {_SHIFTED})), {_relaxed({'m': 'dx', 's': 'dy'}, rounds=3000)} SELECT k AS scene_id, round(x_m[k + 1], 6) + 0.0 AS dx, round(x_s[k + 1], 6) + 0.0 AS dy FROM nd, th", GRID)
+def network_shifts(spark, d):
+    """Shifts of five scenes from nine measured ones that don't agree."""
+    rows = _overlaps(spark, d).select("i", "j").orderBy("i", "j").collect()
+    found = [{"i": i, "j": j, "dx": j * j - i + 0.25 * i, "dy": j - i + 0.1 * i * j, "confidence": 0.5 + 0.1 * i, "n_blocks": 5 + j, "rmse": 0.2 * i} for i, j in rows]
+    x, _ = graph.network_adjustment(found, 5)
+    return rounded(spark.createDataFrame([(k, float(x[k, 0]), float(x[k, 1])) for k in range(5)], "scene_id int, dx double, dy double"))
+
+
+@query("SELECT scene_id, row, col, round(greatest(0, 1 - sqrt(greatest(0, 4 - col, col - 18) * greatest(0, 4 - col, col - 18) + greatest(0, 5 - row, row - 22) * greatest(0, 5 - row, row - 22)) / CAST(6 AS DOUBLE)), 6) + 0.0 AS fade FROM grid", GRID)
+def hull_fade(spark, d):
+    corners = np.array([[4.0, 5.0], [18.0, 5.0], [18.0, 22.0], [4.0, 22.0]])
+    return rounded(register.hull_fade(vr.grid(spark, d).select("scene_id", "row", "col"), corners, 6.0))
+
+
+@query(
+    """fl AS (SELECT scene_id, row, col, v FROM grid WHERE v IS NOT NULL), ab AS (SELECT CAST(1.02 AS DOUBLE) AS a, CAST(0.01 AS DOUBLE) AS b, CAST(0.5 AS DOUBLE) AS c, CAST(-0.01 AS DOUBLE) AS d, CAST(0.98 AS DOUBLE) AS e, CAST(0.25 AS DOUBLE) AS f),
+    atp AS (SELECT scene_id, row, col, (a * (row - f) - d * (col - c)) / (a * e - b * d) AS fr, (e * (col - c) - b * (row - f)) / (a * e - b * d) AS fc FROM grid, ab),
+    hd AS (SELECT a.* FROM atp a JOIN fl n ON n.scene_id = a.scene_id AND n.row = round_even(fr, 0) AND n.col = round_even(fc, 0)),
+    nb AS (SELECT h.scene_id, h.row, h.col, f.v, (1 - abs(fr - f.row)) * (1 - abs(fc - f.col)) AS w FROM hd h JOIN fl f ON f.scene_id = h.scene_id AND abs(fr - f.row) < 1 AND abs(fc - f.col) < 1),
+    o AS (SELECT scene_id, row, col, sum(w * v) / sum(w) AS v FROM nb WHERE w > 1e-12 GROUP BY ALL)
+    SELECT g.scene_id, g.row, g.col, round(o.v, 6) + 0.0 AS v FROM grid g LEFT JOIN o USING (scene_id, row, col)""",
+    GRID,
+)
+def warp_affine(spark, d):
+    scenes = vr.grid_scenes(spark, d)
+    model = scenes.select("scene_id", *[F.lit(x).alias(k) for k, x in zip("abcdef", (1.02, 0.01, 0.5, -0.01, 0.98, 0.25))])
+    return rounded(register.warp(vr.grid(spark, d).select("scene_id", "band", "row", "col", "v"), refine.affine_field(scenes, model)).drop("band"))
+
+
+@query("SELECT ok, count(*) AS n FROM (SELECT k % 40 >= 20 AND (k % 11) / 10.0 >= 0.6 AND k % 7 BETWEEN 1 AND 5 AND k % 3 < 2 AND abs(k % 5 - 2) <= 1 AS ok FROM mt) GROUP BY ok", _MATCH)
+def affine_gate(spark, d):
+    k = F.col("k")
+    s = _matches(spark, d).select((k % 40).alias("inliers"), ((k % 11) / 10.0).alias("inlier_ratio"), F.element_at(F.array(*map(F.lit, (0.97, 0.98, 0.99, 1.0, 1.01, 1.02, 1.03))), (k % 7 + 1).cast("int")).alias("scale_x"), F.lit(1.0).alias("scale_y"), (k % 3).alias("rotation"), (k % 5 - 2).alias("shear"))
+    return register.affine_valid(s).groupBy("ok").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """j AS (SELECT p.i, p.j, a.row, a.gcol, a.v AS vi, b.v AS vj FROM pairs p JOIN grid a ON a.scene_id = p.i AND a.gcol >= lo AND a.gcol < hi JOIN grid b ON b.scene_id = p.j AND b.row = a.row AND b.gcol = a.gcol),
+    x AS (SELECT a.i, a.j, s.k AS shift, a.vi - b.vj AS x FROM j a CROSS JOIN (SELECT unnest(range(-2, 3)) AS k) s JOIN j b ON a.i = b.i AND a.j = b.j AND a.row = b.row AND b.gcol + s.k = a.gcol)
+    SELECT i, j, CAST(shift AS INT) AS shift, round(avg(x), 6) + 0.0 AS mean, round(stddev_pop(x), 6) + 0.0 AS sd, round(abs(avg(x)), 6) + 0.0 AS adm FROM x GROUP BY i, j, shift""",
+    GRID,
+)
+def difference_by_shift(spark, d):
+    return rounded(refine.difference_by_shift(overlap.joint(vr.grid(spark, d), _overlaps(spark, d)), range(-2, 3)).drop("band"))
+
+
+@query()
+def block_matches(spark, d):
+    """Phase correlation of neighbours' overlaps, block by block."""
+    return rounded(register.block_matches(overlap.joint(vr.grid(spark, d), _overlaps(spark, d)), 16))
+
+
+@query()
+def independent_grid(spark, d):
+    joint = overlap.joint(vr.grid(spark, d), _overlaps(spark, d))
+    training = _overlaps(spark, d).select("i", "j", F.lit(3.0).alias("x"), F.lit(3.0).alias("y"))
+    return rounded(refine.independent_grid(joint, training, 12, 6, 1, 8.0).drop("band"))
+
+
+@query()
+def spline_field(spark, d):
+    c = pd.DataFrame([(x, y, x / 40, -y / 60) for x in (2.0, 9.0, 20.0) for y in (3.0, 14.0, 27.0)], columns=["x", "y", "rdx", "rdy"])
+    return rounded(register.field(vr.grid(spark, d).select("scene_id", "row", "col"), c, 0.1))

@@ -7,6 +7,7 @@ scale (the first n scenes), diagnostics (block coefficients), seam (feather swee
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 import time
 from collections.abc import Callable
@@ -15,7 +16,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import adjust, diagnostics, overlap, quality, seams, spectral
+from ..operators import adjust, diagnostics, overlap, quality, seams, spectral, stencil
+from ..operators.mosaic import canvas
 from ..sources import geotiff, sinks
 from . import config as cfg
 from . import pipeline
@@ -26,24 +28,43 @@ def scan(spark: SparkSession, config: cfg.Config, n: int | None = None) -> tuple
     bands, scenes = cfg.common_bands(config), config.scenes[:n]
     rows = [(k, b, cfg.band_path(s, name)) for k, s in enumerate(scenes) for b, name in enumerate(bands)]
     named = spark.createDataFrame(rows, "scene_id int, scene_band int, file string")
-    found = spark.read.format("binaryFile").load([f for *_, f in rows]).select("path", "content")
-    where = F.broadcast(named.withColumn("end", F.regexp_replace("file", r"^\w+:/*", "/")))  # a row a file
-    at = lambda df: df.join(where, F.expr("endswith(path, end)")).drop("end", "file", "path")
-    px = at(geotiff.pixels(geotiff.tiles(found, [0]))).select("scene_id", F.col("scene_band").alias("band"), "row", "col", "v").persist(StorageLevel.MEMORY_AND_DISK)
+    named = spark.createDataFrame([(k, b, _absolute(p)) for k, b, p in rows], "scene_id int, scene_band int, path string")
+    at = lambda df: df.join(F.broadcast(named), "path").drop("path")  # noqa: E731  a row a file
+    found = named.select("path").distinct()
+    px = at(geotiff.pixels(geotiff.window_tiles(found, [0]))).select("scene_id", F.col("scene_band").alias("band"), "row", "col", "v").persist(StorageLevel.MEMORY_AND_DISK)
     head = at(geotiff.metadata(found)).filter("scene_band = 0").drop("scene_band")
     return px, head, list(range(len(bands)))
 
 
+def _absolute(path: str) -> str:
+    return path if "://" in path else os.path.abspath(path)
+
+
+def written(mosaic: DataFrame, head: DataFrame, name: str, folder: str) -> DataFrame:
+    """A mosaic as one GeoTIFF on the canvas of its scenes; it must fit a task, as any such file must.  Parquet has no such bound."""
+    grid = canvas(head).select(F.lit(0).alias("scene_id"), F.lit(name).alias("name"), "n_rows", "n_cols", F.col("res").alias("a"), F.lit(0.0).alias("b"), F.col("left").alias("c"), F.lit(0.0).alias("d"), (-F.col("res")).alias("e"), F.col("top").alias("f"))
+    first = head.orderBy("scene_id").limit(1).select("crs", "nodata")
+    px = mosaic.select(F.lit(0).alias("scene_id"), "band", F.col("gr").alias("row"), F.col("gc").alias("col"), "v")
+    return geotiff.write(px, grid.join(F.broadcast(first)), folder)  # either is one row
+
+
 def multiband(spark: SparkSession, c: cfg.Config, a: argparse.Namespace) -> dict:
-    if a.resume and pipeline.done(c.output_dir, "multiband"):
+    """Registration on the configured band, adjustment, data quality, metrics, spectral distances and mosaics, step by step."""
+    log, steps = sinks.logger(c.output_dir), pipeline.Steps(spark, _absolute(c.output_dir), a.resume)
+    if a.resume and steps.done("multiband"):
         return {"status": "done before"}
     px, head, bands = scan(spark, c)
-    result = pipeline.run(px, head, len(c.scenes), bands, c)
-    sinks.metrics_csv({"summary": result.metrics}, f"{c.output_dir}/metrics")
+    names = cfg.common_bands(c)
+    band = names.index(c.registration_band) if c.registration_band in names and not a.registered else None
+    log.info("%d scenes, %d bands, registration on %s", len(c.scenes), len(bands), c.registration_band if band is not None else "none")
+    result = pipeline.run(px, head, len(c.scenes), bands, c, band, steps)
+    sinks.metrics_csv({"summary": result.metrics, "quality": result.quality, **_spectral_tables(result)}, f"{c.output_dir}/metrics")
     for (m, mode, width), df in result.mosaics.items():
-        df.write.mode("overwrite").parquet(f"{c.output_dir}/mosaic/{m}_{mode}_{width}")
-    pipeline.mark_done(c.output_dir, "multiband")
-    return {"status": result.status, "errors": result.errors}
+        written(df, head, f"{m}_{mode}_{width}", f"file://{_absolute(c.output_dir)}/mosaic" if "://" not in c.output_dir else f"{c.output_dir}/mosaic").collect()  # a row a file
+        log.info("mosaic %s %s %s", m, mode, width)
+    steps.mark("multiband")
+    failed = [r["method"] for r in result.quality.filter("NOT passed").select("method").distinct().collect()]  # a row a method
+    return {"status": result.status, "errors": result.errors, "quality_failed": failed}
 
 
 def ablation(spark: SparkSession, c: cfg.Config, a: argparse.Namespace) -> dict:
@@ -54,14 +75,13 @@ def ablation(spark: SparkSession, c: cfg.Config, a: argparse.Namespace) -> dict:
     return {"status": result.status, "errors": result.errors}
 
 
-SWEEP = {"block_size": (100, 200, 400), "lambda_param": (0.1, 0.5, 1.0), "rho": (0.5, 1.0, 2.0)}
 
 
 def sensitivity(spark: SparkSession, c: cfg.Config, a: argparse.Namespace) -> dict:
     """One parameter at a time around the configured values; the best is that of the least rdoa."""
     px, head, bands = scan(spark, c)
     overlaps, runs = overlap.detect(head, c.min_overlap), None
-    for param, values in SWEEP.items():
+    for param, values in c.sweep.items():
         for v in values:
             local = cfg.Local(**{**c.local.__dict__, param: v})
             one = pipeline.adjusted_by(px, head, overlaps, len(c.scenes), len(bands), cfg.Config(methods=["global_local"], local=local, control_scene=c.control_scene))
@@ -98,21 +118,51 @@ def seam(spark: SparkSession, c: cfg.Config, a: argparse.Namespace) -> dict:
     one, two = (both.select(F.lit(0).alias("band"), F.col("r").alias("row"), F.col("c").alias("col"), F.col(v).alias("v")) for v in ("vi", "vj"))
     n = o.filter("i = 0 AND j = 1").select((F.col("i_c1") - F.col("i_c0")).alias("n")).first()["n"]
     line = seams.middle(one, n)
-    sinks.metrics_csv({"jump": seams.reported(seams.jump(one, two, line, 10, n), "jump"), "sweep": seams.feathered(one, two, line, c.mosaic.feather_widths).groupBy("width").agg(F.avg("v").alias("mean"))}, c.output_dir)
+    reports = {"jump": seams.reported(seams.jump(one, two, line, 10, n), "jump"), "gradient": seams.reported(seams.gradient_break(one, two, line), "gap"), "colour": seams.reported(seams.colour_distance(one, two, line), "distance")}
+    filled = stencil.filled_with_mean(one.withColumn("scene_id", F.lit(0)))
+    reports["transition"] = seams.reported(seams.transition_width(filled.withColumn("v", F.col("f")), line), "width")
+    reports["length"] = seams.length(one.join(line, "row").withColumn("on", F.col("col") == F.col("sc")))
+    both_sides = one.withColumn("scene_id", F.lit(0)).unionByName(two.withColumn("scene_id", F.lit(1)))
+    for kind in ("tenengrad", "laplacian"):
+        reports[f"sharpness_{kind}"] = stencil.sharpness(both_sides, kind)
+    blends = seams.feathered(one, two, line, c.mosaic.feather_widths)
+    reports["sweep"] = blends.groupBy("width").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.count("v").alias("n"))
+    losses = None
+    for w in c.mosaic.feather_widths:
+        mixed = blends.filter(F.col("width") == w).select(F.lit(0).alias("scene_id"), F.lit(0).alias("band"), "row", "col", "v")
+        zone = one.join(line, "row").filter(F.abs(F.col("col") - F.col("sc")) <= w).select(F.lit(0).alias("scene_id"), "row", "col")
+        lost = stencil.texture_loss(one.withColumn("scene_id", F.lit(0)), mixed, zone).withColumn("width", F.lit(w))
+        losses = lost if losses is None else losses.unionByName(lost)
+    if losses is not None:
+        reports["texture_loss"] = losses
+    sinks.metrics_csv(reports, c.output_dir)
     return {"status": "ok"}
 
 
+def _spectral_tables(result: pipeline.Result) -> dict[str, DataFrame]:
+    """All spectral distances of each method from the original, where the run has it."""
+    vector = lambda df, n: df.groupBy("scene_id", "row", "col").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", F.coalesce("v", F.lit(float("nan"))).alias("v")))), lambda x: x["v"]).alias(n))
+    tables, first = {}, result.adjusted.get("original")
+    for m, df in result.adjusted.items() if first is not None else ():
+        if m == "original":
+            continue
+        pair = spectral.usable(vector(first, "o").join(vector(df, "n"), ["scene_id", "row", "col"])).withColumn("pixel_id", F.struct("scene_id", "row", "col"))
+        tables[f"sam_{m}"] = spectral.described(spectral.sam(pair), "sam", "scene_id")
+        tables[f"rmse_{m}"] = spectral.described(spectral.rmse(pair), "rmse", "scene_id")
+        tables[f"relative_rmse_{m}"] = spectral.described(spectral.relative_rmse(pair), "rel", "scene_id")
+        tables[f"correlation_{m}"] = spectral.band_correlation(pair)
+        n_bands = pair.select(F.size("o").alias("n")).limit(1).collect()
+        if n_bands and n_bands[0]["n"] > 1:
+            ratios = [(k, k + 1) for k in range(n_bands[0]["n"] - 1)]
+            tables[f"band_ratio_{m}"] = spectral.described(spectral.band_ratio_error(pair, ratios), "err", "a", "b")
+            tables[f"structure_{m}"] = spectral.frobenius(spectral.correlation_matrices(pair.select("pixel_id", "o", "n")))
+    return tables
+
+
 def spectra(spark: SparkSession, c: cfg.Config, a: argparse.Namespace) -> dict:
     px, head, bands = scan(spark, c)
     result = pipeline.adjusted_by(px, head, overlap.detect(head, c.min_overlap), len(c.scenes), len(bands), c)
-    vector = lambda df, n: df.groupBy("scene_id", "row", "col").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", F.coalesce("v", F.lit(float("nan"))).alias("v")))), lambda x: x["v"]).alias(n))
-    tables = {}
-    for m, df in result.adjusted.items():
-        if m != "original":
-            pair = spectral.usable(vector(px, "o").join(vector(df, "n"), ["scene_id", "row", "col"]))
-            tables[f"sam_{m}"] = spectral.described(spectral.sam(pair), "sam", "scene_id")
-            tables[f"rmse_{m}"] = spectral.described(spectral.rmse(pair), "rmse", "scene_id")
-    sinks.metrics_csv(tables, c.output_dir)
+    sinks.metrics_csv(_spectral_tables(result), c.output_dir)
     return {"status": result.status}
 
 
@@ -127,7 +177,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output-dir")
     p.add_argument("--methods", help="names, separated by commas")
     p.add_argument("--dry-run", action="store_true", help="validate only")
-    p.add_argument("--resume", action="store_true")
+    p.add_argument("--resume", action="store_true", help="read what an earlier run wrote, step by step")
+    p.add_argument("--registered", action="store_true", help="the scenes lie on each other already: no registration")
     p.add_argument("verb", choices=list(VERBS))
     return p
 

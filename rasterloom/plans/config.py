@@ -20,9 +20,13 @@ class Scene:
     bands: dict[str, str] = field(default_factory=dict)
 
 
+#: Values that the sensitivity verb tries, one parameter at a time.
+SWEEP = {"block_size": (200, 400, 600), "lambda_param": (0.1, 0.3, 0.5, 0.7, 0.9), "rho": (0.5, 1.0, 2.0)}
+
+
 @dataclass
 class Local:
-    block_size: int = 200
+    block_size: int = 400
     lambda_param: float = 0.5
     rho: float = 1.0
     max_iter: int = 200
@@ -49,6 +53,7 @@ class Config:
     scenes: list[Scene] = field(default_factory=list)
     local: Local = field(default_factory=Local)
     mosaic: Mosaic = field(default_factory=Mosaic)
+    sweep: dict[str, list[float]] = field(default_factory=lambda: {k: list(v) for k, v in SWEEP.items()})
 
 
 def _filled(kind: type, raw: dict | None):  # noqa: ANN202

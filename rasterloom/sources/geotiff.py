@@ -1,7 +1,8 @@
 """GeoTIFF files as tables: a scan into tiles or pixels, header-only metadata, and a writer.
 
-Files are listed and read by Spark's binaryFile source, so any store that Spark reads will do; a task
-decodes one file at a time.  Tiles bound what a row holds.
+Files are listed by Spark's binaryFile source.  Where a table has their content, a task decodes one
+file at a time; where it has paths alone, headers, bands and row windows are fetched by ranges, a task
+at a time for each window, so a file of any size spreads over the cluster.  Tiles bound what a row holds.
 """
 
 from __future__ import annotations
@@ -23,17 +24,33 @@ HEAD = "path string, n_rows int, n_cols int, n_bands int, a double, b double, c
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """path, content of every TIFF below a folder, each path once."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{tif,tiff,TIF,TIFF}").load(folder).select("path", "content").dropDuplicates(["path"])
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{tif,tiff,TIF,TIFF}").load(folder).select("path", "content")
+
+
+def paths(spark: SparkSession, folder: str) -> DataFrame:
+    """path of every TIFF below a folder, without its bytes."""
+    return files(spark, folder).select("path")
+
+
+def _source(path: str, content: bytes | None = None) -> bytes | tiff.Ranged:
+    import pyarrow.fs as pafs
+
+    if content is not None:
+        return bytes(content)
+    if "://" not in path:
+        return tiff.Ranged(pafs.LocalFileSystem().open_input_file(path.removeprefix("file:")))
+    fs, at = pafs.FileSystem.from_uri(path)
+    return tiff.Ranged(fs.open_input_file(at))
 
 
 def metadata(found: DataFrame) -> DataFrame:
-    """One row a file, from its header."""
+    """One row a file (path, and content or not), from its header."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in batches:
             rows = []
-            for path, content in zip(g["path"], g["content"]):
-                _, t = tiff.tags(bytes(content))
+            for path, content in zip(g["path"], g["content"] if "content" in g else [None] * len(g)):
+                _, t = tiff.tags(_source(path, content))
                 rows.append((path, t[tiff.LENGTH][0], t[tiff.WIDTH][0], t.get(tiff.SAMPLES, (1,))[0], *tiff.affine_of(t), tiff.crs_of(t), tiff.nodata_of(t)))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in HEAD.split(", ")])
 
@@ -41,7 +58,7 @@ def metadata(found: DataFrame) -> DataFrame:
 
 
 def tiles(found: DataFrame, bands: list[int] | None = None, size: int = TILE) -> DataFrame:
-    """Tiles of all bands, or of those named (from 0)."""
+    """Tiles of all bands, or of those named (from 0), of files given with their content."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in batches:
@@ -57,6 +74,22 @@ def tiles(found: DataFrame, bands: list[int] | None = None, size: int = TILE) ->
     return found.mapInPandas(run, TILES)
 
 
+def window_tiles(found: DataFrame, bands: list[int] | None = None, size: int = TILE) -> DataFrame:
+    """The same from paths alone: a row window of a file is a task's unit, and only its strips of these bands are read."""
+    heads = metadata(found.select("path")).select("path", "n_bands", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1, F.lit(size))).alias("r0"), F.least(F.lit(size), F.col("n_rows")).alias("h"), "n_rows")
+    spread = heads.withColumn("band", F.explode(F.array(*map(F.lit, bands)) if bands is not None else F.sequence(F.lit(0), F.col("n_bands") - 1)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            for path, r0, n_rows, band in zip(g["path"], g["r0"], g["n_rows"], g["band"]):
+                r = tiff.read(_source(path), [band], (int(r0), int(min(r0 + size, n_rows))))
+                for c0 in range(0, r.data.shape[2], size):
+                    part = r.data[0, :, c0 : c0 + size].astype(float)
+                    yield pd.DataFrame({"path": [path], "band": band, "r0": r0, "c0": c0, "h": part.shape[0], "w": part.shape[1], "nodata": r.nodata, "data": [part.ravel()]})
+
+    return spread.repartition("path", "r0", "band").mapInPandas(run, TILES)
+
+
 def pixels(tile_rows: DataFrame) -> DataFrame:
     """path, band, row, col, v: tiles as pixels, invalid ones null."""
     flat = tile_rows.select("path", "band", "r0", "c0", "w", "nodata", F.posexplode("data").alias("k", "x"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import logging
+import math
 import platform
 import sys
 from pathlib import Path
@@ -48,7 +50,36 @@ def environment() -> dict:
 def record(folder: str, name: str, content: dict) -> None:
     """A small JSON record on the driver: environment, summary, run log."""
     Path(folder).mkdir(parents=True, exist_ok=True)
-    (Path(folder) / f"{name}.json").write_text(json.dumps(content, indent=2, default=str))
+    (Path(folder) / f"{name}.json").write_text(json.dumps(finite(content), indent=2, default=str, allow_nan=False))
+
+
+def finite(x):  # noqa: ANN001, ANN201
+    """x with NaN and infinities as null and numpy numbers as plain ones, as JSON has neither."""
+    if isinstance(x, dict):
+        return {str(k): finite(v) for k, v in x.items()}
+    if isinstance(x, (list, tuple)):
+        return [finite(v) for v in x]
+    x = x.item() if hasattr(x, "item") and getattr(x, "ndim", 1) == 0 else x
+    return None if isinstance(x, float) and not math.isfinite(x) else x
+
+
+def logger(folder: str, name: str = "rasterloom", level: int = logging.INFO) -> logging.Logger:
+    """A logger to the folder's run.log and to the console; one handler each, however often it is asked for."""
+    out = logging.getLogger(name)
+    out.setLevel(level)
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    file = str((Path(folder) / "run.log").resolve())
+    for h in [h for h in out.handlers if isinstance(h, logging.FileHandler) and h.baseFilename != file]:
+        out.removeHandler(h)
+        h.close()
+    form = logging.Formatter("%(asctime)s %(levelname)s %(message)s")
+    if not any(isinstance(h, logging.FileHandler) for h in out.handlers):
+        out.addHandler(logging.FileHandler(file))
+    if not any(type(h) is logging.StreamHandler for h in out.handlers):
+        out.addHandler(logging.StreamHandler())
+    for h in out.handlers:
+        h.setFormatter(form)
+    return out
 
 
 def log_text(folder: str, content: dict) -> None:

@@ -90,7 +90,18 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def tags(data: bytes) -> tuple[str, dict[int, tuple]]:
+class Ranged:
+    """A file read by ranges: data[a:b] fetches these bytes and no others."""
+
+    def __init__(self, file) -> None:  # noqa: ANN001
+        self.file = file
+
+    def __getitem__(self, part: slice) -> bytes:
+        self.file.seek(part.start or 0)
+        return self.file.read(part.stop - (part.start or 0))
+
+
+def tags(data: bytes | Ranged) -> tuple[str, dict[int, tuple]]:
     """Byte order and the first directory's fields."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
@@ -110,8 +121,8 @@ def tags(data: bytes) -> tuple[str, dict[int, tuple]]:
     return order, out
 
 
-def read(data: bytes, bands: list[int] | None = None) -> Raster:
-    """A raster, or the named bands (from 0) of it."""
+def read(data: bytes | Ranged, bands: list[int] | None = None, rows: tuple[int, int] | None = None) -> Raster:
+    """A raster, or the named bands (from 0) and rows (first, end) of it; strips and tiles without any of these are not read."""
     order, t = tags(data)
     w, h, n = t[WIDTH][0], t[LENGTH][0], t.get(SAMPLES, (1,))[0]
     kind = np.dtype(f"{order}{KIND[t.get(SAMPLE_FORMAT, (1,))[0]]}{t[BITS][0] // 8}")
@@ -121,22 +132,26 @@ def read(data: bytes, bands: list[int] | None = None) -> Raster:
     at, sizes = (t[TILE_AT], t[TILE_BYTES]) if tiled else (t[STRIP_AT], t[STRIP_BYTES])
     across, down = -(-w // cw), -(-h // ch)
     wanted = list(range(n)) if bands is None else bands
-    out = np.zeros((len(wanted), h, w), kind.newbyteorder("="))
+    top, low = rows or (0, h)
+    out = np.zeros((len(wanted), low - top, w), kind.newbyteorder("="))
     for k in range(len(at)):
         plane, cell = divmod(k, across * down)
         if apart and n > 1 and plane not in wanted:
             continue
         r, c = cell // across * ch, cell % across * cw
+        if r + ch <= top or r >= low:
+            continue
         raw = data[at[k] : at[k] + sizes[k]]
         method = t.get(COMPRESSION, (1,))[0]
         raw = raw if method == NONE else lzw_decode(raw) if method == LZW else zlib.decompress(raw) if method in (DEFLATE, OLD_DEFLATE) else None
         if raw is None:
             raise ValueError(f"compression {method} is not read")
-        rows = ch if tiled else min(ch, h - r)
-        block = np.frombuffer(raw, kind, rows * cw * (1 if apart else n)).reshape(rows, cw, -1)
+        held = ch if tiled else min(ch, h - r)
+        block = np.frombuffer(raw, kind, held * cw * (1 if apart else n)).reshape(held, cw, -1)
         if t.get(PREDICTOR, (1,))[0] == 2:
             block = np.cumsum(block, axis=1, dtype=block.dtype)
-        part = block[: h - r, : w - c]
+        part = block[max(0, top - r) : min(h, low) - r, : w - c]
+        r = max(r, top) - top
         for i, b in enumerate(wanted):
             if not apart:
                 out[i, r : r + part.shape[0], c : c + part.shape[1]] = part[:, :, b]

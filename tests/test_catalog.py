@@ -24,5 +24,5 @@ def test_structure_has_all_bands(spark):
     o, n = (np.array([r[k] for r in rows], float) for k in (0, 1))
     assert o.shape[1] == 64
     want = np.sqrt(((np.corrcoef(n.T) - np.corrcoef(o.T)) ** 2).sum())
-    got = catalog.QUERIES["spectral_structure_all"](spark, d).first()["frobenius"]
+    got = catalog.QUERIES["spectral_structure"](spark, d).first()["frobenius"]
     assert abs(got - want) < 1e-5

@@ -422,7 +422,8 @@ def test_command_line(spark, tmp_path):
     config.save(c, str(tmp_path / "c.yaml"))
     args = ["--config", str(tmp_path / "c.yaml")]
     assert cli.main([*args, "--dry-run", "multiband"]) == 0
-    for verb in ("multiband", "seam"):
+    args += ["--registered"]
+    for verb in ("multiband", "seam", "spectral"):
         assert cli.main([*args, verb]) == 0, verb
     got = spark.read.option("header", True).csv(f"{c.output_dir}/metrics/summary")
     ave = {r.method: float(r.adm) for r in got.collect()}
