@@ -6,12 +6,14 @@ blocks: the equations' size, not the rasters'.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pixels import percentiles, small
+from ..functions.pixels import SMALL_BYTES, percentiles, small
 from . import blocks as blk
 from .overlap import sides as overlap_sides
 from .quality import pair_moments, solver_moments
@@ -23,14 +25,43 @@ TINY = 1e-12
 # -- global stage
 
 
+class Sparse:
+    """A matrix as its entries: products only."""
+
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, shape: tuple[int, int]) -> None:
+        self.rows, self.cols, self.vals, self.shape = rows, cols, vals, shape
+
+    def __matmul__(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, self.vals * x[self.cols], self.shape[0])
+
+    @property
+    def T(self) -> Sparse:  # noqa: N802
+        return Sparse(self.cols, self.rows, self.vals, self.shape[::-1])
+
+
+def conjugate_gradients(product: Callable[[np.ndarray], np.ndarray], rhs: np.ndarray, x: np.ndarray, rtol: float = 1e-6, most: int = 500) -> np.ndarray:
+    """x of product(x) = rhs for a symmetric product without negative curvature; from 0 it has the least norm."""
+    left = rhs - product(x)
+    way, size, goal = left, left @ left, (rtol * np.linalg.norm(rhs)) ** 2
+    for _ in range(most):
+        if size <= goal:
+            break
+        bent = product(way)
+        curve = way @ bent
+        if curve <= 0:
+            break
+        x, left = x + size / curve * way, left - size / curve * bent
+        size, before = left @ left, size
+        way = left + size / before * way
+    return x
+
+
 def solve_compensation(n: int, i: np.ndarray, j: np.ndarray, vi: np.ndarray, vj: np.ndarray, area: np.ndarray, control: int) -> np.ndarray:
     """theta of least squares: theta_i - theta_j = v_j - v_i weighed by shares of area, theta_control = 0; least norm where free."""
-    w = area / area.sum() if area.sum() > 0 else np.full(len(area), 1 / max(1, len(area)))
-    rows = np.zeros((len(i) + 1, n))
-    k = np.arange(len(i))
-    rows[k, i], rows[k, j] = np.sqrt(w), -np.sqrt(w)
-    rows[-1, control] = 1.0
-    return np.linalg.lstsq(rows, np.append(np.sqrt(w) * (vj - vi), 0.0), rcond=None)[0]
+    w = np.sqrt(area / area.sum() if area.sum() > 0 else np.full(len(area), 1 / max(1, len(area))))
+    k, m = np.arange(len(i)), len(i)
+    system = Sparse(np.concatenate([k, k, [m]]), np.concatenate([i, j, [control]]), np.concatenate([w, -w, [1.0]]), (m + 1, n))
+    return conjugate_gradients(lambda x: system.T @ (system @ x), system.T @ np.append(w * (vj - vi), 0.0), np.zeros(n), 1e-15, 20 * n)
 
 
 def compensation(moments: pd.DataFrame, n: int, control: int = 0) -> pd.DataFrame:
@@ -78,54 +109,31 @@ def scaling(pixels: DataFrame) -> DataFrame:
     return q.select("band", F.get("q", F.lit(0)).alias("vmin"), F.when(span < 1e-10, 1.0).otherwise(span).alias("scale"))
 
 
-def block_system(mu: np.ndarray, sigma: np.ndarray, bi: np.ndarray, bj: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_system(mu: np.ndarray, sigma: np.ndarray, bi: np.ndarray, bj: np.ndarray) -> tuple[Sparse, Sparse, np.ndarray]:
     """B (two rows a pair), A (two rows a block) and A's right side, on unknowns a_0, b_0, a_1, ..."""
     t, m = len(mu), len(bi)
-    big, own, rhs = np.zeros((2 * m, 2 * t)), np.zeros((2 * t, 2 * t)), np.zeros(2 * t)
-    k, b = np.arange(m), np.arange(t)
-    big[2 * k, 2 * bi], big[2 * k, 2 * bi + 1], big[2 * k, 2 * bj], big[2 * k, 2 * bj + 1] = mu[bi], 1, -mu[bj], -1
-    big[2 * k + 1, 2 * bi], big[2 * k + 1, 2 * bj] = sigma[bi], -sigma[bj]
-    own[2 * b, 2 * b], own[2 * b, 2 * b + 1], own[2 * b + 1, 2 * b] = mu, 1, sigma
-    rhs[2 * b], rhs[2 * b + 1] = mu, sigma
-    return big, own, rhs
+    k, b, one = np.arange(m), np.arange(t), np.ones
+    big = Sparse(np.concatenate([2 * k] * 4 + [2 * k + 1] * 2), np.concatenate([2 * bi, 2 * bi + 1, 2 * bj, 2 * bj + 1, 2 * bi, 2 * bj]), np.concatenate([mu[bi], one(m), -mu[bj], -one(m), sigma[bi], -sigma[bj]]), (2 * m, 2 * t))
+    own = Sparse(np.concatenate([2 * b, 2 * b, 2 * b + 1]), np.concatenate([2 * b, 2 * b + 1, 2 * b]), np.concatenate([mu, one(t), sigma]), (2 * t, 2 * t))
+    return big, own, np.column_stack([mu, sigma]).ravel()
 
 
 def soft(x: np.ndarray, k: float) -> np.ndarray:
     return np.sign(x) * np.maximum(np.abs(x) - k, 0)
 
 
-def conjugate_gradients(m: np.ndarray, rhs: np.ndarray, x: np.ndarray, rtol: float = 1e-6, most: int = 500) -> np.ndarray:
-    r = rhs - m @ x
-    p, rr, goal = r.copy(), r @ r, rtol * np.linalg.norm(rhs)
-    for _ in range(most):
-        if np.sqrt(rr) <= goal:
-            break
-        mp = m @ p
-        curve = p @ mp
-        if curve <= 0:
-            break
-        step = rr / curve
-        x, r = x + step * p, r - step * mp
-        rr, was = r @ r, rr
-        p = r + rr / was * p
-    return x
-
-
-def admm(big: np.ndarray, own: np.ndarray, rhs: np.ndarray, lam: float, rho: float = 1.0, most: int = 200, tol: float = 1e-4) -> tuple[np.ndarray, bool, int]:
-    """min 1/2 |Bx|^2 + lambda |Ax - b|_1 from the identity; x, whether it converged, rounds."""
-    n = own.shape[1]
-    x = np.tile([1.0, 0.0], n // 2)
-    z = u = np.zeros(len(rhs))
-    m = big.T @ big + rho * own.T @ own
-    for k in range(1, most + 1):
-        new = conjugate_gradients(m, rho * own.T @ (z - u + rhs), x)
-        gap = own @ new - rhs
-        z = soft(gap + u, lam / rho)
-        u = u + gap - z
-        moved = np.linalg.norm(new - x) / (np.linalg.norm(x) + TINY)
-        x = new
-        if moved < tol:
-            return x, True, k
+def admm(big: Sparse, own: Sparse, rhs: np.ndarray, lam: float, rho: float = 1.0, most: int = 200, tol: float = 1e-4) -> tuple[np.ndarray, bool, int]:
+    """min 1/2 |Bx|^2 + lambda |Ax - b|_1 by splitting off Ax - b, from the identity; x, whether it converged, rounds.  No product of matrices is made."""
+    x = np.tile([1.0, 0.0], own.shape[1] // 2)
+    split = scaled = np.zeros(len(rhs))
+    curved = lambda d: big.T @ (big @ d) + rho * (own.T @ (own @ d))
+    for rounds in range(1, most + 1):
+        before, x = x, conjugate_gradients(curved, rho * (own.T @ (split - scaled + rhs)), x)
+        far = own @ x - rhs + scaled
+        split = soft(far, lam / rho)
+        scaled = far - split
+        if np.linalg.norm(x - before) < tol * (np.linalg.norm(before) + TINY):
+            return x, True, rounds
     return x, False, most
 
 
@@ -175,31 +183,43 @@ def by_levels(edges: list[tuple[int, int]], root: int) -> list[list[tuple[int, i
 
 
 def _tree_side(now: DataFrame, overlaps: DataFrame, level: list[tuple[int, int]]) -> DataFrame:
-    """child, band, ref (is it the parent's side), v over the overlaps of a level's edges."""
+    """child, parent, band, ref (is it the parent's side), v over the overlaps of a level's edges."""
     spark = now.sparkSession
     tree = spark.createDataFrame(level, "parent int, child int")
     wanted = overlaps.join(F.broadcast(tree), F.least("parent", "child").eqNullSafe(F.col("i")) & F.greatest("parent", "child").eqNullSafe(F.col("j")))
-    both = overlap_sides(now, wanted.select(*overlaps.columns)).join(F.broadcast(wanted.select("i", "j", "parent", "child")), ["i", "j"])
+    both = overlap_sides(now, wanted.select(*overlaps.columns)).join(F.broadcast(wanted.select("i", "j", "parent", "child")), ["i", "j"])  # a row an edge
     ref = F.when(F.col("side") == "i", F.col("i")).otherwise(F.col("j")) == F.col("parent")
-    return both.filter("v IS NOT NULL").select("child", "band", ref.alias("ref"), "v")
+    return both.filter("v IS NOT NULL").select("child", "parent", "band", ref.alias("ref"), "v")
 
 
 def moment_baseline(pixels: DataFrame, overlaps: DataFrame, edges: list[tuple[int, int]], control: int = 0) -> DataFrame:
-    """Each scene takes the moments of its parent's overlap, parents first; under five pixels or a flat side leave it as it is."""
-    now = pixels
+    """Each scene takes the moments of its parent's overlap, parents first; under five pixels or a flat side leave it as it is.
+
+    A scene's map is v -> g v + h, so its overlaps' moments follow from the raw ones: the tree is walked
+    in the table of moments, a row an overlap and band, and the pixels are met once.
+    """
+    spark = pixels.sparkSession
+    raw = {(r["i"], r["j"], r["band"]): r for r in pair_moments(overlap_sides(pixels, overlaps)).collect()}  # a row an overlap and band
+    maps: dict[tuple[int, int], tuple[float, float]] = {}
     for level in by_levels(edges, control):
-        side = _tree_side(now, overlaps, level)
-        on = lambda r: F.when(F.col("ref") == r, F.col("v"))
-        stats = side.groupBy(F.col("child").alias("scene_id"), "band").agg(*[f(on(r)).alias(f"{n}{k}") for k, r in (("r", True), ("s", False)) for n, f in (("mu", F.avg), ("sd", F.stddev_pop), ("n", F.count))])
-        usable = small(stats.filter(f"nr >= 5 AND ns >= 5 AND sds >= {TINY}"))
-        now = now.join(usable, ["scene_id", "band"], "left").withColumn("v", F.coalesce((F.col("v") - F.col("mus")) * (F.col("sdr") / F.nullif("sds", F.lit(0.0))) + F.col("mur"), "v")).select(*pixels.columns)
-    return now
+        for parent, child in level:
+            for band in sorted({b for i, j, b in raw if (i, j) == (min(parent, child), max(parent, child))}):
+                m = raw[min(parent, child), max(parent, child), band]
+                of = lambda scene, m=m: [m[f"{k}_{'i' if scene == m['i'] else 'j'}"] for k in ("mu", "sd", "n")]
+                (mur, sdr, nr), (mus, sds, ns) = of(parent), of(child)
+                g, h = maps.get((parent, band), (1.0, 0.0))
+                if nr >= 5 and ns >= 5 and sds >= TINY:
+                    gain = abs(g) * sdr / sds
+                    maps[child, band] = (gain, g * mur + h - gain * mus)
+    table = spark.createDataFrame([(s, b, g, h) for (s, b), (g, h) in maps.items()], "scene_id int, band int, g double, h double")
+    return pixels.join(small(table), ["scene_id", "band"], "left").withColumn("v", F.coalesce(F.col("g") * F.col("v") + F.col("h"), "v")).select(*pixels.columns)
 
 
 def histogram_baseline(pixels: DataFrame, overlaps: DataFrame, edges: list[tuple[int, int]], control: int = 0, bins: int = 65_536) -> DataFrame:
     """Each scene's values go through its overlap's cumulative histogram onto its parent's, parents first.
 
-    The map is made per (scene, band) from bin counts, at most `bins` rows a group, then joined by bin.
+    A map is one array a scene and band, made from bin counts, at most `bins` rows a group.  A level's
+    maps need its parents' maps and raw pixels, never pixels mapped before, so plans don't grow with depth.
     """
 
     def lut(g: pd.DataFrame) -> pd.DataFrame:
@@ -208,18 +228,31 @@ def histogram_baseline(pixels: DataFrame, overlaps: DataFrame, edges: list[tuple
         lo, hi = g["lo"].iloc[0], g["hi"].iloc[0]
         centre = lo + (np.arange(bins) + 0.5) * (hi - lo) / bins
         to = np.interp(cs / cs[-1], cr / cr[-1], centre)
-        return pd.DataFrame({"scene_id": g["child"].iloc[0], "band": g["band"].iloc[0], "lo": lo, "hi": hi, "bin": np.arange(bins), "to": to})
-
-    now = pixels
+        return pd.DataFrame({"scene_id": g["child"].iloc[:1], "band": g["band"].iloc[:1], "lo": lo, "hi": hi, "to": [to]})
+
+    place = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).cast("int")
+    kind = "scene_id int, band int, lo double, hi double, to array<double>"
+
+    def mapped(px: DataFrame, maps: DataFrame | None, scene: str, when: Column) -> DataFrame:
+        """px with v through its scene's map, where when holds and there is one."""
+        if maps is None:
+            return px
+        on = maps.withColumnRenamed("scene_id", scene)
+        if maps.count() * 8 * bins <= SMALL_BYTES:
+            return px.join(F.broadcast(on), [scene, "band"], "left").withColumn("v", F.when(F.col("v").isNotNull(), F.coalesce(F.when(when, F.get("to", place)), "v"))).select(*px.columns)
+        ranged = px.join(on.select(scene, "band", "lo", "hi"), [scene, "band"], "left").withColumn("bin", F.when(when, place))
+        flat = on.select(scene, "band", F.posexplode("to").alias("bin", "to"))
+        return ranged.join(flat, [scene, "band", "bin"], "left").withColumn("v", F.when(F.col("v").isNotNull(), F.coalesce("to", "v"))).select(*px.columns)
+
+    maps = None
     for level in by_levels(edges, control):
-        side = _tree_side(now, overlaps, level)
+        side = mapped(_tree_side(pixels, overlaps, level), maps, "parent", F.col("ref"))
         span = side.groupBy("child", "band").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count_if(F.col("ref")).alias("nr"), F.count_if(~F.col("ref")).alias("ns")).filter(f"nr >= 10 AND ns >= 10 AND hi - lo >= {TINY}")
-        place = lambda c: F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col(c) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).cast("int")
-        counts = side.join(small(span), ["child", "band"]).groupBy("child", "band", "lo", "hi", place("v").alias("bin")).agg(F.count_if(F.col("ref")).alias("cr"), F.count_if(~F.col("ref")).alias("cs"))
-        table = counts.groupBy("child", "band").applyInPandas(lut, "scene_id int, band int, lo double, hi double, bin int, to double")
-        ranged = now.join(small(span.select(F.col("child").alias("scene_id"), "band", "lo", "hi")), ["scene_id", "band"], "left").withColumn("bin", place("v"))
-        now = ranged.join(table.select("scene_id", "band", "bin", "to"), ["scene_id", "band", "bin"], "left").withColumn("v", F.when(F.col("v").isNotNull(), F.coalesce("to", "v"))).select(*pixels.columns)
-    return now
+        counts = side.join(F.broadcast(span.drop("nr", "ns")), ["child", "band"]).groupBy("child", "band", "lo", "hi", place.alias("bin")).agg(F.count_if(F.col("ref")).alias("cr"), F.count_if(~F.col("ref")).alias("cs"))  # span: a row a scene and band
+        made = counts.groupBy("child", "band").applyInPandas(lut, kind)
+        made = made.checkpoint() if made.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else made.persist()
+        maps = made if maps is None else maps.unionByName(made)
+    return mapped(pixels, maps, "scene_id", F.lit(True))
 
 
 def wallis_baseline(pixels: DataFrame, overlaps: DataFrame, control: int = 0, window: int = 51, mean: float | None = None, sd: float | None = None) -> DataFrame:
