@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, fresh, small, stored
 from .components import components
+from .shingle_join import SHINGLE as NEAR_SHINGLE
+from .shingle_join import similar_groups
 
 RADIUS, SHINGLE, BUCKET = 3, 3, 4096
 _PIECE = 1 << 17  # shingles turned into bits at once
@@ -52,17 +54,17 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: bytes) -> int:
-    """The SimHash of a whole text."""
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The SimHash of a whole text's shingles of so many words."""
     words = text.lower().split()
     if not words:
         return 0
     line = b" ".join(words)
-    if len(words) <= SHINGLE:
+    if len(words) <= shingle:
         return xxhash.xxh64_intdigest(line, 42)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = [0, *ends[:-SHINGLE].tolist()]
-    stops = (ends[SHINGLE - 1 :] - 1).tolist()
+    starts = [0, *ends[:-shingle].tolist()]
+    stops = (ends[shingle - 1 :] - 1).tolist()
     set_bits = np.zeros(64, np.int64)
     for k in range(0, len(starts), _PIECE):
         hashes = map(xxhash.xxh64_intdigest, [line[a:b] for a, b in zip(starts[k : k + _PIECE], stops[k : k + _PIECE])], repeat(42))
@@ -71,12 +73,15 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(set_bits * 2 > len(starts), bitorder="little").tobytes(), "little")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-        fp = pa.array([signed(fingerprint(t)) for t in texts], pa.int64())
-        mark = pa.array([signed(xxhash.xxh64_intdigest(t, 42)) for t in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), fp, mark], ["doc_id", "fp", "mark"])
+def _fingerprints(shingle: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
+            fp = pa.array([signed(fingerprint(t, shingle)) for t in texts], pa.int64())
+            mark = pa.array([signed(xxhash.xxh64_intdigest(t, 42)) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), fp, mark], ["doc_id", "fp", "mark"])
+
+    return run
 
 
 def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -150,9 +155,9 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return _bucket_links(sized.filter(F.col("n") <= bucket), ["t", "k"]).unionByName(_bucket_links(deep, ["t", "k", "t2", "k2"]))
 
 
-def near_groups(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def near_groups(docs: DataFrame, bucket: int = BUCKET, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, mark (hash of the text), root (least fingerprint of the component), component_id."""
-    found = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long, mark long"), "fingerprints")
+    found = stored(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long, mark long"), "fingerprints")
     classes = stored(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     roots = components(links(classes, bucket), "a", "b")
     classes = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -162,8 +167,14 @@ def near_groups(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: that of the smallest identifier; columns unchanged."""
-    groups = stored(near_groups(docs), "near-groups")
+    """docs with one document of each group: that of the smallest identifier; columns unchanged.
+
+    Groups here are components of similarity 0.8 of five-word shingle sets.  The covering tables' components
+    over five-word fingerprints say which documents to compare first; the exact join does the rest, as
+    pairs at that similarity differ in more bits than tables could cover.
+    """
+    sketched = stored(near_groups(docs, shingle=NEAR_SHINGLE), "sketches")
+    groups = stored(similar_groups(docs, sketched), "near-groups")
     firsts = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = firsts.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("s"))
     key, mark, nth = fresh(docs, "near_id", "near_mark", "near_nth")

@@ -1,9 +1,16 @@
+import numpy as np
+
 import corpus_pipeline
-from rasterloom.llm import exact_dedup, mixing, piece_lattice, simhash_dedup, toxicity
+from rasterloom.llm import exact_dedup, mixing, piece_lattice, toxicity
 
 D = "/root/testdata/sf0.001"
 
 
+def shingles(text):
+    w = text.encode().lower().split()
+    return {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     columns = docs.dtypes
@@ -28,10 +35,14 @@ def test_stages(spark):
     for r in sorted(clean.collect(), key=lambda r: r.doc_id):
         first.setdefault(" ".join(r.text.encode().decode().split()), r.doc_id)
     assert {r.doc_id for r in exact.collect()} == set(first.values())
-    groups = {}
-    for r in simhash_dedup.near_groups(exact).collect():
-        groups.setdefault(r.component_id, set()).add(r.doc_id)
-    assert {r.doc_id for r in near.collect()} == {min(g) for g in groups.values()}
+    rows = sorted((r.doc_id, r.text) for r in exact.collect())
+    grams = [shingles(t) for _, t in rows]
+    first_of = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b]):
+                first_of = [min(first_of[a], first_of[b]) if f in (first_of[a], first_of[b]) else f for f in first_of]
+    assert {r.doc_id for r in near.collect()} == {rows[k][0] for k in set(first_of)}
     sizes = {}
     for r in near.collect():
         sizes[r.source] = sizes.get(r.source, 0) + len(r.text.encode().split())
@@ -48,10 +59,36 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, D).count() == len(last)
 
 
+def run(spark, now):
+    outs = []
+    for name, stage in corpus_pipeline.STAGES:
+        now = exact_dedup.stored(stage(spark, now, D), name)
+        outs.append(now)
+    return outs
+
+
 def test_empty_and_null(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
-    rows = spark.createDataFrame([(None, None, None, None, None), (1, "a b c", "en", None, 5), (1, "a b c", "en", None, 5)], docs.schema)
-    for now in (docs.filter("false"), rows):
-        for _, stage in corpus_pipeline.STAGES:
-            now = exact_dedup.stored(stage(spark, now, D), "t")
-        assert now.count() >= 0
+    assert [x.count() for x in run(spark, docs.filter("false"))] == [0] * 5
+    rows = spark.createDataFrame([(None, None, None, None, None), (1, "a b c", "en", None, 5), (1, "a b c", "en", None, 5), (2, "", "en", "s", 0)], docs.schema)
+    _, exact, near, mixed, last = run(spark, rows)
+    assert sorted((r.doc_id or -1) for r in exact.collect()) == [1, 2]
+    assert sorted((r.doc_id or -1) for r in near.collect()) == [1, 2]
+    # The one source with words takes floor(1.5 x 3): the document, and its first word.
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in mixed.collect()) == [(1, "a", 1), (1, "a b c", 5)]
+    vocab = piece_lattice.Vocab.load(piece_lattice.default_model())
+    assert sorted((r.doc_id, vocab.decode(np.array(r.ids, "<u4").tobytes()), r.n_pieces) for r in last.collect()) == [(1, "a", 1), (1, "a b c", 3)]
+
+
+def test_long_texts_and_extra_columns(spark):
+    text = " ".join(f"word{k}" for k in range(30_000))
+    names = ("score", "passages", "dedup_id", "near_id", "take", "pass", "uid", "size", "h", "mark", "root", "ids")
+    rows = [(1, text, "en", "s", len(text), *names), (2, text + " end", "en", "s", len(text) + 4, *names), (3, text.upper() + " last", "en", None, 1, *names), (4, "alone", "en", "s", 5, *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    clean, exact, near, mixed, last = run(spark, df)
+    assert all(x.columns == df.columns for x in (clean, exact, near, mixed))
+    assert [sorted(r.doc_id for r in x.collect()) for x in (clean, exact, near)] == [[1, 2, 3, 4], [1, 2, 3, 4], [1, 4]]
+    assert all(r[5:] == names for r in near.collect())
+    assert sum(len(r.text.split()) for r in mixed.collect()) == 30_001 * 3 // 2
+    vocab = piece_lattice.Vocab.load(piece_lattice.default_model())
+    assert sorted(vocab.decode(np.array(r.ids, "<u4").tobytes()) for r in last.collect()) == sorted(r.text for r in mixed.collect())
