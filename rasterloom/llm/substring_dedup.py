@@ -1,4 +1,8 @@
-"""Repeated passages by relative Lempel-Ziv parsing against all documents.
+"""Repeated passages by the long factors of a relative Lempel-Ziv parse, found from anchors.
+
+The parse itself, documents against every block's suffix array, is in relative_parse and is what this
+module is tested against; its work is documents times blocks, which no linear budget holds.  Here the
+same long factors are found by joins whose work is linear in the text.
 
 Every document is both text and reference.  Of each window of WINDOW words, the GRAM-word sequence of
 least hash (the leftmost of equals) is its anchor; equal windows have equal anchors, and a document
@@ -13,8 +17,8 @@ differing blocks are thus all checked, so exactly the windows that start earlier
 found.  Blocks are compared by 128 bits of hash and windows by 128, words by 64 each.
 
 Skew: anchors and windows are counted with map-side combining (least holder and number), and what
-joins afterwards are single rows, so a passage that a third of all documents share never gathers in
-one task.  Spans gather by document, bounded by the document itself.
+joins afterwards are single rows against one row an anchor, so Spark may split a hot anchor's side.
+Spans gather as sets by document, bounded by the document itself however often its row comes.
 
 Order: a window is earlier if its doc_id is smaller, or in the same row if its start is.  Defined results.
 Null text has no words; texts under WINDOW words lose none; a null doc_id comes before all others;
@@ -179,12 +183,12 @@ def duplicate_spans(docs: DataFrame) -> DataFrame:
     spans = spans.unionByName(known.filter("not many and doc > least").select("doc", "mark", *whole))
     spans = spans.unionByName(many.filter("later").select("doc", "mark", *whole))
 
-    places = stored(many.filter("not later").groupBy("doc", "mark").agg(F.collect_list("pos").alias("places")), "boundaries")
+    places = stored(many.filter("not later").groupBy("doc", "mark").agg(F.collect_set("pos").alias("places")), "boundaries")
     edge = stored(rows.join(places, ["doc", "mark"]).select("doc", "mark", "text", "places").mapInArrow(_window_rows, "w1 long, w2 long, doc long, mark int, start int, own boolean"), "windows")
     first = edge.filter("not own").groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("holders")).filter("holders > 1")
     later = edge.filter("not own").join(first, ["w1", "w2"]).filter("doc > least").select("doc", "mark", "start").unionByName(edge.filter("own").select("doc", "mark", "start"))
     spans = spans.unionByName(later.select("doc", "mark", "start", (F.col("start") + WINDOW).alias("end")))
-    gathered = spans.groupBy("doc", "mark").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
+    gathered = spans.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "end")).alias("s")).select("doc", "mark", F.col("s.start").alias("starts"), F.col("s.end").alias("ends"))
     return stored(gathered.mapInArrow(_merged, "doc long, mark int, starts array<int>, ends array<int>"), "spans")
 
 
