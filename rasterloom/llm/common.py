@@ -80,7 +80,10 @@ def lower_ascii(c: Column) -> Column:
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts can be long: at most so many rows go to a Python worker at once.  A smaller setting of the session stays."""
+    """Texts can be long: at most so many rows go to a Python worker at once; Spark itself bounds a batch's bytes (arrow.maxBytesPerBatch, 64 MB).
+
+    The session keeps this, as a plan reads it when it runs, after the call; a smaller setting of the session stays.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:

@@ -10,9 +10,10 @@ it takes: rank r takes block r mod n in pass r div n.  The few turns by which a
 its quota, floor(target), follow at the end; what lies beyond a quota is cut, in the last block to
 the word.  So each source takes exactly its quota and no document exceeds LIMIT copies.
 
-Scale: ranks and offsets are prefix sums in two levels (counts of chunks, then windows inside one
-chunk of bounded size), so no source, however large, passes through one task; a block joins one slot
-a pass.  Only the totals of sources reach the driver.
+Scale: ranks and offsets are prefix sums in levels (counts of chunks, then windows inside one chunk of
+bounded size), so no source, however large, passes through one task; a block joins one slot
+a pass.  Only the totals of sources reach the driver; there may be SOURCES of them, a documented bound beyond
+which the call fails.
 
 Defined results.  Null text has size 0 and takes 0; rows that repeat doc_id each have their own place
 in the stream; an empty table, or one without words, takes nothing; a null source is a source of its
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import WS, documents, fresh, small, stored
 
 WEIGHTS, SHARE, LIMIT = (3, 1, 2), Fraction(3, 2), 2
-BLOCK, CHUNK, BUCKET_ROWS, SEED = 256, 1 << 16, 512, 7
+BLOCK, CHUNK, BUCKET_ROWS, SEED, SOURCES = 256, 1 << 16, 512, 7, 1 << 20
 
 
 def targets(sizes: list[int], share: Fraction = SHARE, limit: int = LIMIT, weights: tuple[int, ...] = WEIGHTS) -> list[Fraction]:
@@ -84,7 +85,9 @@ def _slots(edges: list[float], n_slots: int):  # noqa: ANN202
 
 def _sources(spark: SparkSession, sized: DataFrame) -> tuple[DataFrame, list[Fraction], list[int]]:
     """The table of sources (source, sid, source_size, target, quota, blocks), its targets and sizes.  Totals only reach the driver."""
-    rows = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
+    rows = sized.groupBy("source").agg(F.sum("size").alias("n")).limit(SOURCES + 1).collect()
+    if len(rows) > SOURCES:
+        raise ValueError(f"over {SOURCES} sources: weights by rank want a table of groups, not of single hosts")
     rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     goal = targets([r["n"] for r in rows])
     made = []
@@ -120,14 +123,20 @@ def schedule(spark: SparkSession, goal: list[Fraction], table: DataFrame) -> Dat
 
 
 def streams(sized: DataFrame, n_rows: int) -> DataFrame:
-    """sized with off: how many words of its source come before each row in hash order.  Two-level prefix sums."""
+    """sized with off: how many words of its source come before each row in hash order.  Prefix sums over rows, buckets and ranges of buckets."""
     bits = max(0, (n_rows // BUCKET_ROWS).bit_length())
     cut = sized.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))
-    sums = cut.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
-    base = F.sum("n").over(W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
-    before = sums.select("sid", "bucket", F.coalesce(base, F.lit(0)).alias("base"))
-    inner = F.sum("size").over(W.partitionBy("sid", "bucket").orderBy("h", "doc_id", "mark", "uid").rowsBetween(W.unboundedPreceding, -1))
-    return cut.withColumn("inner", F.coalesce(inner, F.lit(0))).join(before, ["sid", "bucket"]).withColumn("off", F.col("base") + F.col("inner")).drop("bucket", "base", "inner")
+    # Rows that repeat share a hash.  A bucket that they fill is cut by hash, and its copies, which are alike, by row.
+    full = cut.groupBy("sid", "bucket").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 8 * BUCKET_ROWS)
+    parts = F.ceil(F.col("rows") / BUCKET_ROWS).cast("int")
+    cut = cut.join(small(full, 24), ["sid", "bucket"], "left").withColumns({"own": F.when(F.col("rows").isNotNull(), F.col("h")).otherwise(0), "part": F.when(F.col("rows").isNotNull(), F.pmod(F.xxhash64("uid"), parts)).otherwise(0)}).drop("rows")
+    key = ["sid", "bucket", "own", "part"]
+    first = lambda by, *order: F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = cut.groupBy(*key).agg(F.sum("size").alias("n")).withColumn("upper", F.shiftright("bucket", bits // 2))
+    above = sums.groupBy("sid", "upper").agg(F.sum("n").alias("n")).select("sid", "upper", first(["sid"], "upper").alias("above"))
+    before = sums.select(*key, "upper", first(["sid", "upper"], "bucket", "own", "part").alias("base")).join(above, ["sid", "upper"]).select(*key, (F.col("base") + F.col("above")).alias("base"))
+    inner = F.sum("size").over(W.partitionBy(*key).orderBy("h", "doc_id", "mark", "uid").rowsBetween(W.unboundedPreceding, -1))
+    return cut.withColumn("inner", F.coalesce(inner, F.lit(0))).join(before, key).withColumn("off", F.col("base") + F.col("inner")).drop("bucket", "own", "part", "base", "inner")
 
 
 def mix(sized: DataFrame) -> DataFrame:

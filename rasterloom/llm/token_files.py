@@ -17,7 +17,7 @@ Recovery.  A task attempt writes files of its own name, and the manifest, itself
 names only files of attempts that succeeded; a lost executor costs its tasks, not the files.
 
 Defined results.  Null text is empty; an empty text is the end id alone.  Null identifiers come
-first; rows of one identifier keep no order of their own, so ties are ordered by text.  An empty
+first; rows of one identifier keep no order of their own: ties are ordered by a hash of the text, then by text.  An empty
 table writes no file and gives no rows.  Extra columns are not read.
 """
 
@@ -58,6 +58,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
+        pre = self.tokenizer.pre_tokenizer
+        #: Cutting before spaces holds for a byte-level pre-tokenizer alone, with nothing before or after it.
+        self.cuts = type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space and self.tokenizer.normalizer is None
         self.known: dict[str, bytes] = {}  # by piece, without its space
         self.marks: dict[str, bytes] = {}
 
@@ -83,7 +86,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit words."""
-        if _UNSAFE.search(text) or any(s in text for s in self.special):
+        if not self.cuts or _UNSAFE.search(text) or any(s in text for s in self.special):
             return self.whole(text)
         first, *rest = text.split(" ")
         ids = list(map(self.known.get, rest))
@@ -205,7 +208,7 @@ def write_token_files(docs: DataFrame, model: str, seq: int = SEQ, end_id: int =
     folder = folder if "://" in folder else f"file://{folder}"
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    spread = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    spread = rows.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     return stored(spread.mapInArrow(_write_files(model, folder, seq, end_id), "part long, name string, n_ids long"), "token-manifest")
 
 

@@ -1,7 +1,10 @@
+import bisect
 from fractions import Fraction
 
+import pytest
 from pyspark.sql import functions as F
 
+from rasterloom.llm import mixing
 from rasterloom.llm.mixing import golden, materialise, mix, op10_mix_sources, sized_rows, targets
 
 
@@ -49,6 +52,64 @@ def test_query(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
 
+def test_equals_a_plain_schedule(spark):
+    """Slot by slot: each takes its source's next block, pass after pass, until the quota; then what words of each document that is."""
+    table = sized_rows(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", "text"))
+    rows, got = table.collect(), {r.uid: r.taken for r in mix(table).collect()}
+    bits = (len(rows) // mixing.BUCKET_ROWS).bit_length()
+    names = sorted({r.source for r in rows})
+    streams = {s: [] for s in names}
+    for r in sorted(rows, key=lambda r: ((r.h % 2**64) >> (64 - bits), r.h)):
+        streams[r.source] += [r.uid] * r.size
+    goal = plain_targets([len(streams[s]) for s in names])
+    total, edges = sum(goal), []
+    for g in goal:
+        edges.append((edges[-1] if edges else 0) + float(g / total))
+    quota, at, taken, order = {s: int(g) for s, g in zip(names, goal)}, dict.fromkeys(names, 0), dict.fromkeys((r.uid for r in rows), 0), []
+
+    def turn(s):
+        n = min(mixing.BLOCK, len(streams[s]) - at[s] % len(streams[s]), quota[s] - at[s])
+        for k in range(at[s], at[s] + n):
+            taken[streams[s][k % len(streams[s])]] += 1
+        at[s] += n
+
+    for x in golden(0, -(-int(total) // mixing.BLOCK)):
+        s = names[min(bisect.bisect_right(edges, x), len(names) - 1)]
+        order.append(s)
+        if streams[s]:
+            turn(s)
+    for s in names:
+        while at[s] < quota[s]:
+            turn(s)
+    assert got == taken
+    made, goals, _ = mixing._sources(spark, table)
+    slots = mixing.schedule(spark, goals, made.filter("quota > 0")).filter(f"slot < {len(order)}").join(made.select("sid", "source"), "sid").collect()
+    ranks = dict.fromkeys(names, 0)
+    for r in sorted(slots, key=lambda r: r.slot):
+        assert order[r.slot] == r.source and r.rank == ranks[r.source]
+        ranks[r.source] += 1
+
+
+def test_copies_that_fill_a_bucket_are_cut(spark, monkeypatch):
+    rows = [(k, f"w{k} x", "a") for k in range(60)] + [(7000, "same words here", "a")] * 300 + [(8000, "other", "b")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    want = sorted((r.doc_id, r.taken) for r in mix(sized_rows(df)).collect())
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 4)
+    got = mix(sized_rows(df)).collect()
+    assert len(got) == 400 and all(0 <= r.taken <= 2 * r.size for r in got)
+    for s in "ab":
+        assert sum(r.taken for r in got if r.source == s) == sum(t for (i, t) in want if (i == 8000) == (s == "b"))
+    assert len([r for r in got if r.taken % r.size]) <= 2
+    again = sorted((r.doc_id, r.taken) for r in mix(sized_rows(df.repartition(3))).collect())
+    assert again == sorted((r.doc_id, r.taken) for r in got)
+
+
+def test_too_many_sources_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SOURCES", 2)
+    with pytest.raises(ValueError, match="sources"):
+        mix(sized_rows(spark.createDataFrame([(k, "a", str(k)) for k in range(3)], "doc_id long, text string, source string")))
+
+
 def test_defined_cases(spark):
     rows = [(1, "a b c", None, 1), (1, "a b c", None, 1), (None, None, "x", 1), (3, "", "x", 2), (4, "q w", "y", 2), (5, "t " * 300_000, "y", 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")

@@ -34,6 +34,12 @@ def test_encoder_equals_library(library):
         assert np.frombuffer(e.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_other_tokenizers_are_asked_for_whole_texts():
+    e = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for t in ("Hello there  World", " a b ", "one,two three"):
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_query(spark, library):
     d = "/root/testdata/sf0.01"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").collect()]
