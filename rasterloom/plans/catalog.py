@@ -592,11 +592,29 @@ def moment_baseline(spark, d):
     return rounded(adjust.moment_baseline(vr.grid(spark, d).select("scene_id", "band", "row", "col", "v"), o, edges).drop("band"))
 
 
-@query()
+_HISTOGRAM = """z{c} AS (SELECT {ref} AS ref, v FROM {src} WHERE i = {i} AND j = {j} AND v IS NOT NULL),
+q{c} AS (SELECT min(v) AS lo, max(v) AS hi FROM z{c}),
+h{c} AS (SELECT CAST(greatest(0, least(4095, floor((v - lo) / (hi - lo) * 4096))) AS INT) AS bin, count(*) FILTER (ref) AS r, count(*) FILTER (NOT ref) AS s FROM z{c}, q{c} GROUP BY ALL),
+k{c} AS (SELECT b.bin, sum(coalesce(r, 0)) OVER w / CAST(sum(coalesce(r, 0)) OVER () AS DOUBLE) AS cr, sum(coalesce(s, 0)) OVER w / CAST(sum(coalesce(s, 0)) OVER () AS DOUBLE) AS cs, lo + (b.bin + 0.5) * (hi - lo) / 4096 AS ctr
+  FROM (SELECT CAST(x.i AS INT) AS bin FROM range(4096) x(i)) b LEFT JOIN h{c} ON h{c}.bin = b.bin, q{c} WINDOW w AS (ORDER BY b.bin)),
+u{c} AS (SELECT cr, max(ctr) AS top, min(ctr) AS low FROM k{c} GROUP BY cr), n{c} AS (SELECT cr, top, lead(cr) OVER (ORDER BY cr) AS cr2, lead(low) OVER (ORDER BY cr) AS nxt FROM u{c}),
+l{c} AS (SELECT k.bin, CASE WHEN n.cr IS NULL THEN (SELECT min(ctr) FROM k{c}) WHEN n.cr2 IS NULL THEN n.top ELSE n.top + (n.nxt - n.top) / (n.cr2 - n.cr) * (k.cs - n.cr) END AS goal FROM k{c} k ASOF LEFT JOIN n{c} n ON k.cs >= n.cr),
+m{c} AS (SELECT scene_id, row, col, gcol, CASE WHEN v IS NOT NULL THEN goal END AS v FROM (SELECT *, CAST(greatest(0, least(4095, floor((v - lo) / (hi - lo) * 4096))) AS INT) AS bin FROM grid, q{c} WHERE scene_id = {c}) LEFT JOIN l{c} USING (bin))"""
+
+
+@query(
+    ", ".join(_HISTOGRAM.format(c=c, i=0, j=c, src="sides", ref="side = 'i'") for c in (1, 2, 3))
+    + """, t4 AS (SELECT 1 AS i, 4 AS j, 'i' AS side, v FROM m1 WHERE gcol >= 24 UNION ALL SELECT 1, 4, 'j', v FROM grid WHERE scene_id = 4 AND gcol < 30), """
+    + _HISTOGRAM.format(c=4, i=1, j=4, src="t4", ref="side = 'i'")
+    + " SELECT scene_id, row, col, round(v, 6) + 0.0 AS v FROM (SELECT scene_id, row, col, v FROM grid WHERE scene_id = 0"
+    + "".join(f" UNION ALL SELECT scene_id, row, col, v FROM m{c}" for c in (1, 2, 3, 4))
+    + ")",
+    GRID,
+)
 def histogram_baseline(spark, d):
     o = _overlaps(spark, d)
     edges = graph.spanning_tree([(r["i"], r["j"]) for r in o.orderBy("i", "j").collect()])
-    return rounded(adjust.histogram_baseline(vr.grid(spark, d).select("scene_id", "band", "row", "col", "v"), o, edges, bins=4096))
+    return rounded(adjust.histogram_baseline(vr.grid(spark, d).select("scene_id", "band", "row", "col", "v"), o, edges, bins=4096).drop("band"))
 
 
 @query(
@@ -737,6 +755,27 @@ def stretched_rgb(spark, d):
     return render.stretched(g, render.joint_stretch(g, [0])).select("scene_id", "row", "col", "dn")
 
 
+@query(
+    "m AS (SELECT i, j, min(v) AS mn, max(v) AS mx FROM sides GROUP BY i, j) SELECT s.i, s.j, side, CAST(least(99, floor((v - mn) / nullif(mx - mn, 0) * 100)) AS INT) AS bin, count(*) AS n FROM sides s JOIN m ON s.i = m.i AND s.j = m.j WHERE v IS NOT NULL GROUP BY ALL",
+    GRID,
+)
+def overlap_histograms(spark, d):
+    return render.overlap_histograms(_sides(spark, d)).drop("band")
+
+
+_JOINT = "jo AS (SELECT p.i, p.j, a.row AS r, CAST(a.gcol - lo AS INT) AS c, a.v AS vi, b.v AS vj FROM pairs p JOIN grid a ON a.scene_id = p.i AND a.gcol >= lo AND a.gcol < hi JOIN grid b ON b.scene_id = p.j AND b.row = a.row AND b.gcol = a.gcol)"
+
+
+@query(f"{_JOINT} SELECT i, j, c, round(vi, 6) + 0.0 AS vi, round(vj, 6) + 0.0 AS vj FROM jo WHERE r = 15", GRID)
+def cutline(spark, d):
+    return rounded(render.cutline(overlap.joint(vr.grid(spark, d), _overlaps(spark, d))).drop("band"))
+
+
+@query(f"{_JOINT} SELECT i, j, r, c, round(vi - vj, 6) + 0.0 AS d FROM jo WHERE vi IS NOT NULL AND vj IS NOT NULL", GRID)
+def difference_map(spark, d):
+    return rounded(render.difference_map(overlap.joint(vr.grid(spark, d), _overlaps(spark, d))).drop("band"))
+
+
 # -- registration
 
 

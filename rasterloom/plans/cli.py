@@ -1,7 +1,9 @@
 """Command line: run a configuration, or a part of it, over its GeoTIFF scenes.
 
 Verbs: multiband (everything), ablation (methods compared), sensitivity (one local parameter swept),
-scale (the first n scenes), diagnostics (block coefficients), seam (feather sweep), spectral (distances).
+scale (the first n scenes), diagnostics (block coefficients), seam (quality along seams and a feather
+sweep), spectral (distances), alignment (shifts between scenes), validate (a report of what holds),
+sensors (each sensor's scenes by themselves).
 """
 
 from __future__ import annotations
@@ -11,12 +13,13 @@ import os
 import sys
 import time
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import adjust, diagnostics, overlap, quality, seams, spectral, stencil
+from ..operators import adjust, diagnostics, graph, overlap, quality, refine, register, seams, spectral, stencil
 from ..operators.mosaic import canvas
 from ..sources import geotiff, sinks
 from . import config as cfg
@@ -166,8 +169,70 @@ def spectra(spark: SparkSession, c: cfg.Config, a: argparse.Namespace) -> dict:
     return {"status": result.status}
 
 
+def alignment(spark: SparkSession, c: cfg.Config, a: argparse.Namespace) -> dict:
+    """How far the scenes lie apart: shifts of whole patches, and agreement under whole-pixel moves."""
+    px, head, _ = scan(spark, c)
+    joint = overlap.joint(px.filter("band = 0"), overlap.detect(head, c.min_overlap))
+    patches = refine.patch_shifts(joint, a.patch)
+    by_pair = patches.groupBy("i", "j").agg(F.median("dx").alias("dx"), F.median("dy").alias("dy"), F.stddev_pop("dx").alias("sd_dx"), F.stddev_pop("dy").alias("sd_dy"), F.count(F.lit(1)).alias("n"))
+    sinks.metrics_csv({"patches": patches, "pairs": by_pair, "agreement": refine.difference_by_shift(joint)}, f"{c.output_dir}/alignment")
+    return {"status": "ok"}
+
+
+def validate(spark: SparkSession, c: cfg.Config, a: argparse.Namespace) -> dict:
+    """A run stage by stage against what each must hold: scenes read, overlaps, one network, registration better than before, finite results, lower errors."""
+    log, held = sinks.logger(c.output_dir), {}
+    px, head, bands = scan(spark, c)
+    overlaps = overlap.detect(head, c.min_overlap)
+    pairs = [(r["i"], r["j"]) for r in overlaps.orderBy("i", "j").collect()]  # a row a pair of scenes
+    held["scenes"] = head.count() == len(c.scenes)
+    held["overlaps"] = bool(pairs)
+    held["network"] = len(graph.spanning_tree(pairs, c.control_scene)) == len(c.scenes) - 1
+    names = cfg.common_bands(c)
+    moved, errors = px, {}
+    if held["network"] and c.registration_band in names and not a.registered:
+        apart = lambda p: refine.edge_quality(register.screened(register.block_matches(overlap.joint(p.filter(F.col("band") == names.index(c.registration_band)), overlaps), a.patch)).filter("reason IS NULL")).agg(F.avg("magnitude").alias("m")).first()["m"]
+        try:
+            moved = pipeline.registered(px, head, overlaps, len(c.scenes), names.index(c.registration_band), a.patch, c.control_scene).persist(StorageLevel.MEMORY_AND_DISK)
+            before, after = apart(px), apart(moved)
+            held["registration"] = after is not None and after <= max(0.5, before or 0.0)
+        except ValueError as e:
+            held["registration"], errors["registration"] = False, str(e)
+    result = pipeline.adjusted_by(moved, head, overlaps, len(c.scenes), len(bands), c)
+    errors |= result.errors
+    table = {r["method"]: r["rdoa"] for r in pipeline.evaluated(result, len(bands)).collect()}  # a row a method
+    held["methods"] = not result.errors
+    held["finite"] = all(quality.data_quality(p.withColumn("nodata", F.lit(None).cast("double"))).filter("NOT passed").isEmpty() for p in result.adjusted.values())
+    held["adjustment"] = all(v <= table["original"] for m, v in table.items() if m != "local") if "original" in table else True
+    pipeline.mosaicked(result, head, bands, c)
+    held["mosaics"] = all(df.filter("isnan(v) OR abs(v) = double('inf')").isEmpty() and not df.isEmpty() for df in result.mosaics.values())
+    for k, ok in held.items():
+        log.info("%s: %s", k, "passed" if ok else "FAILED")
+    sinks.record(c.output_dir, "validation", {"held": held, "rdoa": table, "errors": errors})
+    return {"status": "ok" if all(held.values()) else "failed", "held": held, "errors": errors}
+
+
+def sensors(spark: SparkSession, c: cfg.Config, a: argparse.Namespace) -> dict:
+    """The comparison of methods for each sensor's scenes by themselves, and one table of all."""
+    every, out = None, {}
+    for sensor in sorted({s.sensor for s in c.scenes}):
+        own = replace(c, scenes=[s for s in c.scenes if s.sensor == sensor], control_scene=0)
+        if len(own.scenes) < 2:
+            out[sensor] = "too few scenes"
+            continue
+        px, head, bands = scan(spark, own)
+        result = pipeline.adjusted_by(px, head, overlap.detect(head, own.min_overlap), len(own.scenes), len(bands), own)
+        table = pipeline.evaluated(result, len(bands)).withColumn("sensor", F.lit(sensor))
+        every = table if every is None else every.unionByName(table, allowMissingColumns=True)
+        out[sensor] = result.status
+    if every is not None:
+        sinks.metrics_csv({"sensors": every}, c.output_dir)
+    return {"status": "ok" if every is not None else "failed", "sensors": out}
+
+
 VERBS: dict[str, Callable[[SparkSession, cfg.Config, argparse.Namespace], dict]] = {
     "multiband": multiband, "ablation": ablation, "sensitivity": sensitivity, "scale": scale, "diagnostics": diagnose, "seam": seam, "spectral": spectra,
+    "alignment": alignment, "validate": validate, "sensors": sensors,
 }
 
 
@@ -179,6 +244,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--dry-run", action="store_true", help="validate only")
     p.add_argument("--resume", action="store_true", help="read what an earlier run wrote, step by step")
     p.add_argument("--registered", action="store_true", help="the scenes lie on each other already: no registration")
+    p.add_argument("--patch", type=int, default=512, help="size of the patches and blocks that alignment and validate match")
     p.add_argument("verb", choices=list(VERBS))
     return p
 

@@ -102,6 +102,11 @@ def groups(paths: DataFrame) -> DataFrame:
     return split.groupBy("folder").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce(last_int(F.col("name")), F.lit(0)).alias("k"), "path"))), lambda x: x["path"]).alias("bands"))
 
 
+def of_sensor(paths: DataFrame, sensor: str) -> DataFrame:
+    """Paths whose file or folder names the sensor: what a folder of mixed scenes is cut down to."""
+    return paths.filter(F.upper("path").contains(sensor.upper()))
+
+
 def without_pan(paths: DataFrame) -> DataFrame:
     return paths.filter(~F.upper("path").contains("_PAN"))
 

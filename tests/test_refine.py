@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_rasters import SC, array, pixels, strip
 
-from rasterloom.operators import graph, mosaic, overlap, refine, register
+from rasterloom.operators import graph, mosaic, overlap, refine, register, render
 from rasterloom.plans import cli, config
 from rasterloom.sources import geotiff, sinks, synthetic, tiff
 
@@ -146,6 +146,34 @@ def test_multiband_registers_and_resumes(spark, tmp_path):
     assert {p.name for p in (tmp_path / "out" / "metrics").iterdir()} >= {"summary", "quality", "sam_global", "structure_global"}
 
 
+def test_alignment_validate_and_sensors(spark, tmp_path):
+    c = config.sample(("a", "b"), 1)
+    c.output_dir, c.min_overlap, c.methods, c.local.block_size = str(tmp_path / "out"), 10, ["original", "global"], 16
+    for s, r in zip(c.scenes, synthetic.scenes(2, 64, 64, 16, gains=(1.0, 1.1), shifts=((0, 0), (1, 2)))):
+        s.sensor = "X1"
+        for band in s.bands:
+            s.bands[band] = str(tmp_path / f"{s.id}_{band}.tif")
+            (tmp_path / f"{s.id}_{band}.tif").write_bytes(tiff.write(r))
+    config.save(c, str(tmp_path / "c.yaml"))
+    args = ["--config", str(tmp_path / "c.yaml"), "--patch", "32"]
+    for verb in ("validate", "alignment", "sensors"):
+        assert cli.main([*args, verb]) == 0, verb
+    assert all(json.loads((tmp_path / "out" / "validation.json").read_text())["held"].values())
+    pair = spark.read.option("header", True).csv(f"{c.output_dir}/alignment/pairs").first()
+    assert int(pair.n) == 2
+    assert {r.sensor for r in spark.read.option("header", True).csv(f"{c.output_dir}/sensors").collect()} == {"X1"}
+
+
+def test_crops(spark):
+    a = [r.data for r in synthetic.scenes(1, 40, 50, n_bands=3)]
+    px = pixels(spark, a)
+    both = render.comparison_crop({"a": px, "b": px.withColumn("v", F.col("v") + 1)}, [0, 1, 2], 0, 4, 6, 16)
+    assert both.shape == (16, 36, 3) and both[:, :16].max() == 255 and (both[:, 16:20] == 255).all()
+    seam = spark.createDataFrame([(k, 25) for k in range(40)], "row int, sc int")
+    out = render.seam_crop(px.select("band", F.col("row").alias("gr"), F.col("col").alias("gc"), "v"), seam, [0, 1, 2], 16)
+    assert (out[:, 8] == (255, 0, 0)).all()
+
+
 def test_records_hold_no_nan(tmp_path):
     sinks.record(str(tmp_path), "r", {"a": float("nan"), "b": [1.5, float("inf")], "c": np.float64(2)})
     assert json.loads((tmp_path / "r.json").read_text()) == {"a": None, "b": [1.5, None], "c": 2.0}
