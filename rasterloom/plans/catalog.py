@@ -630,6 +630,34 @@ def wallis_baseline(spark, d):
     return out.withColumn("v", rounded_to("v", 4))
 
 
+# -- the same operators over the rasters that grow with the tables
+
+
+@query(
+    "SELECT scene_id, CAST(band AS INT) AS band, count(v) AS n, round(min(v), 6) + 0.0 AS min, round(max(v), 6) + 0.0 AS max, round(avg(v), 6) + 0.0 AS mean, round(stddev_pop(v), 6) + 0.0 AS sd, "
+    + ", ".join(f"round(quantile_cont(v, {q}), 6) + 0.0 AS p{int(q * 100):02d}" for q in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99))
+    + " FROM wpix GROUP BY scene_id, band",
+    WIDE,
+)
+def wide_statistics(spark, d):
+    return rounded(diagnostics.described(vr.wide_pixels(spark, d), "v", "scene_id", "band"))
+
+
+@query("SELECT CAST(band AS INT) AS band, round(quantile_cont(v, 0.02), 6) + 0.0 AS vmin, round(quantile_cont(v, 0.98), 6) + 0.0 AS vmax FROM wpix GROUP BY band", WIDE)
+def wide_stretch(spark, d):
+    return rounded(render.joint_stretch(vr.wide_pixels(spark, d), [0, 1, 2, 3]))
+
+
+@query(
+    """w AS (SELECT scene_id, row // 200 AS bm, band, avg(v) AS mu, stddev_pop(v) AS sigma, count(v) AS n FROM wpix GROUP BY ALL)
+    SELECT scene_id, CAST(bm AS BIGINT) AS bm, CAST(band AS INT) AS band, n, round(mu, 6) + 0.0 AS mu, round(sigma, 6) + 0.0 AS sigma FROM w""",
+    WIDE,
+)
+def wide_block_moments(spark, d):
+    cut = vr.wide_pixels(spark, d).groupBy("scene_id", F.floor(F.col("row") / 200).alias("bm"), "band")
+    return rounded(cut.agg(F.count("v").alias("n"), F.avg("v").alias("mu"), F.stddev_pop("v").alias("sigma")))
+
+
 # -- graphs
 
 
