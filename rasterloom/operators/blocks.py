@@ -51,8 +51,9 @@ def idw(pixels: DataFrame, blocks: DataFrame, coef: DataFrame) -> DataFrame:
     """placed pixels with a, b: coefficients weighed by the inverse distance to the scene's blocks in the 3 x 3 cells around the nearest one.
 
     A block nearer than 1e-10 decides alone; a pixel without a block around it takes the nearest block
-    of its scene.  The 3 x 3 part is an equi join on cells; only pixels left over meet all blocks of
-    their scene, and cells in which that can happen are few (cells without any block near).
+    of its scene.  The 3 x 3 part is an equi join on cells.  Cells without any block near search axis by
+    axis: first the nearest block of each column of cells for each of their rows, then the nearest of
+    these, so a scene of n cells makes n times its side of rows, never n times n.
     """
     # Cell centres lie at whole numbers: a pixel's own coordinates are half a cell less.
     at = pixels.withColumns({"um": F.col("fm") - 0.5, "un": F.col("fn") - 0.5})
@@ -70,6 +71,9 @@ def idw(pixels: DataFrame, blocks: DataFrame, coef: DataFrame) -> DataFrame:
     weighed = lambda k: F.aggregate(F.zip_with("near", weights, lambda e, w: e[k] * w), F.lit(0.0), lambda s, x: s + x) / F.aggregate(weights, F.lit(0.0), lambda s, x: s + x)
     done = met.withColumns({k: F.coalesce(exact[k], weighed(k)) for k in "ab"})
     lone = met.filter("near IS NULL").select("scene_id", "band", "cm", "cn").distinct()
-    far = lone.join(own.select("scene_id", "band", "gm", "gn", "a", "b"), ["scene_id", "band"]).groupBy("scene_id", "band", "cm", "cn").agg(F.min_by(F.struct("a", "b"), F.struct(F.hypot(F.col("gm") - F.col("cm"), F.col("gn") - F.col("cn")), F.col("gm"), F.col("gn"))).alias("f"))
+    own, lines = own.select("scene_id", "band", "gm", "gn", "a", "b"), lone.select("scene_id", "band", "cm").distinct()
+    column = lines.join(own, ["scene_id", "band"]).groupBy("scene_id", "band", "cm", "gn").agg(F.min_by(F.struct("gm", "a", "b"), F.struct(F.abs(F.col("gm") - F.col("cm")), F.col("gm"))).alias("s"))
+    met_lone = lone.join(column.select("scene_id", "band", "cm", "gn", "s.gm", "s.a", "s.b"), ["scene_id", "band", "cm"])
+    far = met_lone.groupBy("scene_id", "band", "cm", "cn").agg(F.min_by(F.struct("a", "b"), F.struct(F.hypot(F.col("gm") - F.col("cm"), F.col("gn") - F.col("cn")), F.col("gm"), F.col("gn"))).alias("f"))
     out = done.join(far, ["scene_id", "band", "cm", "cn"], "left")
     return out.select(*pixels.columns, F.coalesce("a", "f.a").alias("a"), F.coalesce("b", "f.b").alias("b"))

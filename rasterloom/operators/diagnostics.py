@@ -19,10 +19,15 @@ def described(df: DataFrame, value: str, *by: str) -> DataFrame:
     return out.select(*by, "n", "min", "max", "mean", "sd", *[F.get("q", F.lit(k)).alias(f"p{int(x * 100):02d}") for k, x in enumerate(q)])
 
 
+def _beside(df: DataFrame, groups: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """df with its group's row; without by that is one row, else the runtime plan broadcasts the groups only if they turn out small."""
+    return df.join(groups, list(by)) if by else df.join(F.broadcast(groups))
+
+
 def mad(df: DataFrame, value: str, *by: str) -> DataFrame:
     """by, med, mad: the median, and the median distance from it; 0 for under two values."""
     med = df.groupBy(*by).agg(percentiles(value, 0.5).alias("med"), F.count(value).alias("n"))
-    far = df.join(F.broadcast(med), list(by)) if by else df.join(F.broadcast(med))  # a row a group
+    far = _beside(df, med, by)
     out = far.groupBy(*by).agg(F.first("med").alias("med"), percentiles(F.abs(F.col(value) - F.col("med")), 0.5).alias("mad"), F.first("n").alias("n"))
     return out.select(*by, "med", F.when(F.col("n") < 2, 0.0).otherwise(F.col("mad")).alias("mad"))
 
@@ -30,14 +35,14 @@ def mad(df: DataFrame, value: str, *by: str) -> DataFrame:
 def robust_z(df: DataFrame, value: str, *by: str) -> DataFrame:
     """df with z = (x - median) / (1.4826 MAD), 0 where the MAD is nothing."""
     centre = mad(df, value, *by)
-    both = df.join(F.broadcast(centre), list(by)) if by else df.join(F.broadcast(centre))
+    both = _beside(df, centre, by)
     return both.withColumn("z", F.when(F.col("mad") < 1e-12, 0.0).otherwise((F.col(value) - F.col("med")) / (1.4826 * F.col("mad")))).drop("med", "mad")
 
 
 def mad_inliers(points: DataFrame, norm: str, *by: str) -> DataFrame:
     """Points whose norm is at most the median plus three MADs."""
     centre = mad(points, norm, *by)
-    both = points.join(F.broadcast(centre), list(by)) if by else points.join(F.broadcast(centre))
+    both = _beside(points, centre, by)
     return both.filter(F.col(norm) <= F.col("med") + 3 * F.col("mad")).drop("med", "mad")
 
 
@@ -46,7 +51,7 @@ def joint_inliers(points: DataFrame, x: str, y: str, *by: str, floor: float = 0.
     out = points
     for c in (x, y):
         centre = mad(points, c, *by).withColumnsRenamed({"med": f"_med_{c}", "mad": f"_mad_{c}"})
-        out = out.join(F.broadcast(centre), list(by)) if by else out.join(F.broadcast(centre))
+        out = _beside(out, centre, by)
     near = [F.abs(F.col(c) - F.col(f"_med_{c}")) < F.greatest(3 * F.col(f"_mad_{c}"), F.lit(floor)) for c in (x, y)]
     return out.filter(near[0] & near[1]).select(*points.columns)
 

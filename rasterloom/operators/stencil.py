@@ -57,9 +57,9 @@ def gl(before: DataFrame, after: DataFrame, *by: str) -> DataFrame:
 
 
 def filled_with_mean(grid: DataFrame, by: tuple[str, ...] = ("scene_id", "band")) -> DataFrame:
-    """grid with f: invalid pixels as the group's mean.  The means are aggregated, then joined, so no group gathers in one task."""
+    """grid with f: invalid pixels as the group's mean.  The means are aggregated, then joined (broadcast at run time where they turn out small), so no group gathers in one task."""
     means = grid.groupBy(*by).agg(F.avg("v").alias("_m"))
-    return grid.join(F.broadcast(means), list(by)).withColumn("f", F.coalesce("v", "_m")).drop("_m")
+    return grid.join(means, list(by)).withColumn("f", F.coalesce("v", "_m")).drop("_m")
 
 
 def sharpness(grid: DataFrame, method: str = "tenengrad", by: tuple[str, ...] = ("scene_id", "band")) -> DataFrame:
