@@ -27,6 +27,32 @@ def canvas(scenes: DataFrame, resolution: float | None = None) -> DataFrame:
     return box.select(F.col("l").alias("left"), F.col("t").alias("top"), "res", count("bt", "t").alias("n_rows"), count("l", "r").alias("n_cols"))
 
 
+def _bilinear(at: DataFrame, pixels: DataFrame, *key: str) -> DataFrame:
+    """scene_id, band, gr, gc, v: cells (key, gr, gc) at the places fr, fc of their sources' pixels, from the valid ones of the four around."""
+    at = at.withColumns({"r0": F.floor("fr").cast("int"), "c0": F.floor("fc").cast("int")})
+    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    four = at.select(*key, "gr", "gc", "fr", "fc", "r0", "c0", corner.alias("k"))
+    w = (1 - F.abs(F.col("fr") - F.col("r0") - F.col("k.i"))) * (1 - F.abs(F.col("fc") - F.col("c0") - F.col("k.j")))
+    wanted = four.select(*key, "gr", "gc", (F.col("r0") + F.col("k.i")).alias("row"), (F.col("c0") + F.col("k.j")).alias("col"), w.alias("w")).filter("w > 1e-12")
+    met = wanted.join(pixels.filter("v IS NOT NULL"), [*key, "row", "col"])
+    return met.groupBy("scene_id", "band", "gr", "gc").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
+
+
+def regridded(pixels: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """pixels of the bands in sources (scene_id, band, affine, n_rows, n_cols) on their scene's grid in targets (scene_id, affine, n_rows, n_cols).
+
+    Bilinear; weights are shared anew among the valid neighbours, and a cell beyond the source or without any is null.
+    """
+    source = sources.select("scene_id", "band", *[F.col(c).alias(f"s_{c}") for c in (*geo.AFFINE, "n_rows", "n_cols")])
+    lines = targets.select("scene_id", *geo.AFFINE, "n_cols", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("gr")).join(small(source), "scene_id")
+    cells = lines.select("*", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("gc"))
+    row, col = geo.inverse("s_", *geo.apply("", F.col("gr") + 0.5, F.col("gc") + 0.5))
+    at = cells.withColumns({"fr": row - 0.5, "fc": col - 0.5})
+    inside = at.filter("fr > -0.5 - 1e-9 AND fr < s_n_rows - 0.5 + 1e-9 AND fc > -0.5 - 1e-9 AND fc < s_n_cols - 0.5 + 1e-9")
+    found = _bilinear(inside, pixels, "scene_id", "band")
+    return cells.select("scene_id", "band", "gr", "gc").join(found, ["scene_id", "band", "gr", "gc"], "left").select("scene_id", "band", F.col("gr").alias("row"), F.col("gc").alias("col"), "v")
+
+
 def reproject(pixels: DataFrame, scenes: DataFrame, grid: DataFrame, bands: list[int]) -> DataFrame:
     """scene_id, band, gr, gc, v on the canvas: bilinear from the four pixels around each cell's centre.
 
@@ -40,13 +66,7 @@ def reproject(pixels: DataFrame, scenes: DataFrame, grid: DataFrame, bands: list
     x, y = F.col("left") + (F.col("gc") + 0.5) * F.col("res"), F.col("top") - (F.col("gr") + 0.5) * F.col("res")
     row, col = geo.inverse("", x, y)
     at = cells.withColumns({"fr": row - 0.5, "fc": col - 0.5}).filter("fr > -0.5 - 1e-9 AND fr < sr - 0.5 + 1e-9 AND fc > -0.5 - 1e-9 AND fc < sc - 0.5 + 1e-9")
-    at = at.withColumns({"r0": F.floor("fr").cast("int"), "c0": F.floor("fc").cast("int")})
-    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
-    four = at.select("scene_id", "gr", "gc", "fr", "fc", "r0", "c0", corner.alias("k"))
-    w = (1 - F.abs(F.col("fr") - F.col("r0") - F.col("k.i"))) * (1 - F.abs(F.col("fc") - F.col("c0") - F.col("k.j")))
-    wanted = four.select("scene_id", "gr", "gc", (F.col("r0") + F.col("k.i")).alias("row"), (F.col("c0") + F.col("k.j")).alias("col"), w.alias("w")).filter("w > 1e-12")
-    met = wanted.join(pixels.filter("v IS NOT NULL"), ["scene_id", "row", "col"])
-    cells = met.groupBy("scene_id", "band", "gr", "gc").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
+    cells = _bilinear(at, pixels, "scene_id")
     whole = cells.groupBy("scene_id", "gr", "gc").agg(F.count("v").alias("n")).filter(F.col("n") == len(bands)).drop("n")
     return cells.join(whole, ["scene_id", "gr", "gc"])
 

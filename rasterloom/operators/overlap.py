@@ -71,16 +71,33 @@ def centres(scenes: DataFrame, overlaps: DataFrame, edges: DataFrame) -> DataFra
     return mid.join(tree, ["i", "j"]).select(F.explode(F.array("i", "j")).alias("scene_id"), "x", "y").groupBy("scene_id").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
 
 
-def crop(pixels: DataFrame, scenes: DataFrame, points: DataFrame, size: int) -> DataFrame:
-    """Pixels of a size x size window around each scene's point, moved to lie inside, with the new row and col."""
-    placed = scenes.join(points, "scene_id")
+def crop_windows(scenes: DataFrame, points: DataFrame, size: int) -> DataFrame:
+    """scenes with r0, c0: the corner of a size x size window around each scene's point, moved to lie inside."""
     row, col = geo.inverse("", F.col("cx"), F.col("cy"))
     start = lambda at, n: F.greatest(F.lit(0), F.least(F.floor(at).cast("int") - size // 2, n - size))
-    boxes = placed.select("scene_id", start(row, F.col("n_rows")).alias("r0"), start(col, F.col("n_cols")).alias("c0"))
+    placed = scenes.join(points, "scene_id").withColumns({"r0": start(row, F.col("n_rows")), "c0": start(col, F.col("n_cols"))})
+    return placed.drop(*[c for c in points.columns if c != "scene_id"])
+
+
+def crop(pixels: DataFrame, scenes: DataFrame, points: DataFrame, size: int) -> DataFrame:
+    """Pixels of each scene's window, with the new row and col."""
+    boxes = crop_windows(scenes, points, size).select("scene_id", "r0", "c0")
     met = pixels.join(small(boxes), "scene_id").filter(f"row >= r0 AND row < r0 + {size} AND col >= c0 AND col < c0 + {size}")
     return met.select("scene_id", "band", (F.col("row") - F.col("r0")).alias("row"), (F.col("col") - F.col("c0")).alias("col"), "v")
 
 
+def cropped_scenes(scenes: DataFrame, points: DataFrame, size: int) -> DataFrame:
+    """The scene table of the crops: moved corners, and at most size rows and columns."""
+    x, y = geo.apply("", F.col("r0"), F.col("c0"))
+    least = {n: F.least(F.lit(size), F.col(n) - F.col(s)) for n, s in (("n_rows", "r0"), ("n_cols", "c0"))}
+    return crop_windows(scenes, points, size).withColumns({"c": x, "f": y, **least}).select(*scenes.columns)
+
+
+def middles(scenes: DataFrame) -> DataFrame:
+    """scene_id, cx, cy: the middle of each scene."""
+    return with_bounds(scenes).select("scene_id", ((F.col("l") + F.col("r")) / 2).alias("cx"), ((F.col("bt") + F.col("t")) / 2).alias("cy"))
+
+
 def nearest_scenes(scenes: DataFrame, n: int) -> DataFrame:
     """The n scenes nearest to the centre of all, from their headers alone."""
     boxes = with_bounds(scenes).withColumns({"x": (F.col("l") + F.col("r")) / 2, "y": (F.col("bt") + F.col("t")) / 2})

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import re
 import sys
 import time
 from collections.abc import Callable
@@ -19,7 +20,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import adjust, diagnostics, graph, overlap, quality, refine, register, seams, spectral, stencil
+from ..functions.pixels import last_int
+from ..operators import adjust, diagnostics, graph, mosaic, overlap, quality, refine, register, seams, spectral, stencil
 from ..operators.mosaic import canvas
 from ..sources import geotiff, sinks
 from . import config as cfg
@@ -27,27 +29,106 @@ from . import pipeline
 
 
 def scan(spark: SparkSession, config: cfg.Config, n: int | None = None) -> tuple[DataFrame, DataFrame, list[int]]:
-    """Pixels and scene table of the configuration's first n scenes, all common bands."""
+    """Pixels and scene table of the configuration's first n scenes, all common bands; in a smoke run, crops of them.
+
+    Every file holds one band and all have one CRS.  A scene's bands have one shape, or are resampled to the
+    registration band's grid if the configuration says so; anything else is a ValueError.
+    """
     bands, scenes = cfg.common_bands(config), config.scenes[:n]
-    rows = [(k, b, cfg.band_path(s, name)) for k, s in enumerate(scenes) for b, name in enumerate(bands)]
-    named = spark.createDataFrame(rows, "scene_id int, scene_band int, file string")
-    named = spark.createDataFrame([(k, b, _absolute(p)) for k, b, p in rows], "scene_id int, scene_band int, path string")
+    rows = [(k, b, _absolute(cfg.band_path(s, name))) for k, s in enumerate(scenes) for b, name in enumerate(bands)]
+    named = spark.createDataFrame(rows, "scene_id int, scene_band int, path string")
     at = lambda df: df.join(F.broadcast(named), "path").drop("path")  # noqa: E731  a row a file
     found = named.select("path").distinct()
-    px = at(geotiff.pixels(geotiff.window_tiles(found, [0]))).select("scene_id", F.col("scene_band").alias("band"), "row", "col", "v").persist(StorageLevel.MEMORY_AND_DISK)
-    head = at(geotiff.metadata(found)).filter("scene_band = 0").drop("scene_band")
-    return px, head, list(range(len(bands)))
+    heads = at(geotiff.metadata(found)).withColumnRenamed("scene_band", "band")
+    files = [r.asDict() for r in heads.orderBy("scene_id", "band").collect()]  # a row a file
+    heads = spark.createDataFrame([tuple(r[c] for c in heads.columns) for r in files], heads.schema)
+    resampling = config.common_bands_strategy != "strict"
+    grid = bands.index(config.registration_band) if resampling else 0
+    odd = _odd_files(files, grid, [s.id for s in scenes], bands, resampling)
+    px = at(geotiff.pixels(geotiff.window_tiles(found, [0]))).select("scene_id", F.col("scene_band").alias("band"), "row", "col", "v")
+    head = heads.filter(F.col("band") == grid).drop("band")
+    if odd:
+        which = spark.createDataFrame(odd, "scene_id int, band int")
+        source, rest = heads.join(F.broadcast(which), ["scene_id", "band"]), px.join(F.broadcast(which), ["scene_id", "band"], "left_anti")  # a row a file
+        px = rest.unionByName(mosaic.regridded(px, source, head))
+    if config.smoke:
+        points = _smoke_points(head, config)
+        px, head = overlap.crop(px, head, points, config.smoke_crop_size), overlap.cropped_scenes(head, points, config.smoke_crop_size)
+    return px.persist(StorageLevel.MEMORY_AND_DISK), head, list(range(len(bands)))
+
+
+def _odd_files(files: list[dict], grid: int, ids: list[str], bands: list[str], resampling: bool) -> list[tuple[int, int]]:
+    """(scene, band) of files on another grid than their scene's; what can't be put on one grid raises."""
+    crs = {ids[r["scene_id"]]: r["crs"] for r in files}
+    if len(set(crs.values())) > 1 or any(crs[ids[r["scene_id"]]] != r["crs"] for r in files):
+        raise ValueError(f"scenes have different CRS: {crs}")
+    shape, place, odd = ("n_rows", "n_cols"), ("a", "b", "c", "d", "e", "f"), []
+    first = {r["scene_id"]: r for r in files if r["band"] == grid}
+    for r in files:
+        name, own = f"scene {ids[r['scene_id']]}, band {bands[r['band']]}", first[r["scene_id"]]
+        if r["n_bands"] != 1:
+            raise ValueError(f"{name}: the file has {r['n_bands']} bands, not one")
+        same = all(r[k] == own[k] for k in shape)
+        if not same and not resampling:
+            raise ValueError(f"{name}: {r['n_rows']} x {r['n_cols']} pixels, but band {bands[grid]} has {own['n_rows']} x {own['n_cols']}")
+        if resampling and not (same and all(abs(r[k] - own[k]) < 1e-9 * max(1.0, abs(own[k])) for k in place)):
+            odd.append((r["scene_id"], r["band"]))
+    return odd
+
+
+def _smoke_points(head: DataFrame, config: cfg.Config) -> DataFrame:
+    """scene_id, cx, cy of each crop: the centre of its overlaps on the spanning tree, or of itself where it has none."""
+    overlaps = overlap.detect(head, config.min_overlap)
+    tree = graph.tree_levels(overlaps, config.control_scene)
+    on_tree = overlap.centres(head, overlaps, tree)
+    return on_tree.unionByName(overlap.middles(head).join(on_tree, "scene_id", "left_anti"))
+
+
+def smoke_config(spark: SparkSession, config: cfg.Config) -> cfg.Config:
+    """The configuration cut to the smoke_scene_count scenes nearest to the middle of all; a control scene left out gives way to the first kept."""
+    band = cfg.common_bands(config)[0]
+    named = spark.createDataFrame([(k, _absolute(cfg.band_path(s, band))) for k, s in enumerate(config.scenes)], "scene_id int, path string")
+    head = geotiff.metadata(named.select("path").distinct()).join(F.broadcast(named), "path")  # a row a scene
+    keep = sorted(r["scene_id"] for r in overlap.nearest_scenes(head, config.smoke_scene_count).collect())
+    return replace(config, smoke=True, scenes=[config.scenes[k] for k in keep], control_scene=keep.index(config.control_scene) if config.control_scene in keep else 0)
+
+
+def found_scenes(spark: SparkSession, folder: str, sensor: str | None = None) -> list[cfg.Scene]:
+    """Scenes below a folder, without panchromatic files, of one sensor if it is named.
+
+    A file right in the folder is a scene of one band; files in a folder below are the bands of one scene,
+    named by the last integer of their names, or by the name where it has none.
+    """
+    listed = geotiff.without_pan(geotiff.paths(spark, _absolute(folder)))
+    listed = geotiff.of_sensor(listed, sensor) if sensor else listed
+    parts = listed.select("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("name"))
+    local = lambda path: re.sub("^file:/+", "/", path)
+    files = [(local(r["folder"]), r["k"], r["name"], local(r["path"])) for r in parts.withColumn("k", last_int(F.col("name"))).collect()]  # a row a file
+    top = local(_absolute(folder)).rstrip("/")
+    scenes: dict[str, cfg.Scene] = {}
+    for at, k, name, path in sorted(files, key=lambda x: (x[0], x[1] if x[1] is not None else -1, x[2])):
+        flat = at == top
+        scene = scenes.setdefault(path if flat else at, cfg.Scene(name if flat else at.rsplit("/", 1)[-1], sensor=sensor or ""))
+        band = "B01" if flat else name if k is None else f"B{k:02d}"
+        if band in scene.bands:
+            raise ValueError(f"{path} and {scene.bands[band]} are both band {band}")
+        scene.bands[band] = path
+    out = list(scenes.values())
+    twice = {s.id for s in out if sum(s.id == t.id for t in out) > 1}
+    for at, s in scenes.items():
+        s.id = at if s.id in twice else s.id
+    return out
 
 
 def _absolute(path: str) -> str:
     return path if "://" in path else os.path.abspath(path)
 
 
-def written(mosaic: DataFrame, head: DataFrame, name: str, folder: str) -> DataFrame:
+def written(made: DataFrame, head: DataFrame, name: str, folder: str) -> DataFrame:
     """A mosaic as one GeoTIFF on the canvas of its scenes; it must fit a task, as any such file must.  Parquet has no such bound."""
     grid = canvas(head).select(F.lit(0).alias("scene_id"), F.lit(name).alias("name"), "n_rows", "n_cols", F.col("res").alias("a"), F.lit(0.0).alias("b"), F.col("left").alias("c"), F.lit(0.0).alias("d"), (-F.col("res")).alias("e"), F.col("top").alias("f"))
     first = head.orderBy("scene_id").limit(1).select("crs", "nodata")
-    px = mosaic.select(F.lit(0).alias("scene_id"), "band", F.col("gr").alias("row"), F.col("gc").alias("col"), "v")
+    px = made.select(F.lit(0).alias("scene_id"), "band", F.col("gr").alias("row"), F.col("gc").alias("col"), "v")
     return geotiff.write(px, grid.join(F.broadcast(first)), folder)  # either is one row
 
 
@@ -78,8 +159,6 @@ def ablation(spark: SparkSession, c: cfg.Config, a: argparse.Namespace) -> dict:
     return {"status": result.status, "errors": result.errors}
 
 
-
-
 def sensitivity(spark: SparkSession, c: cfg.Config, a: argparse.Namespace) -> dict:
     """One parameter at a time around the configured values; the best is that of the least rdoa."""
     px, head, bands = scan(spark, c)
@@ -95,8 +174,9 @@ def sensitivity(spark: SparkSession, c: cfg.Config, a: argparse.Namespace) -> di
 
 
 def scale(spark: SparkSession, c: cfg.Config, a: argparse.Namespace) -> dict:
+    """Seconds for the first n scenes, for each configured n that there are scenes for."""
     took = {}
-    for n in range(2, len(c.scenes) + 1):
+    for n in sorted({n for n in c.scale_scene_counts if 2 <= n <= len(c.scenes)}):
         began = time.time()
         px, head, bands = scan(spark, c, n)
         pipeline.evaluated(pipeline.adjusted_by(px, head, overlap.detect(head, c.min_overlap), n, len(bands), c), len(bands)).count()
@@ -241,6 +321,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--config", required=True)
     p.add_argument("--output-dir")
     p.add_argument("--methods", help="names, separated by commas")
+    p.add_argument("--folder", help="take the scenes found below this folder, not the configured ones")
+    p.add_argument("--sensor", help="with --folder: only files whose path names this sensor")
+    p.add_argument("--scene-count", help="scale: numbers of scenes, separated by commas")
+    p.add_argument("--smoke", action="store_true", help="a trial run: few scenes, cropped around their overlaps")
     p.add_argument("--dry-run", action="store_true", help="validate only")
     p.add_argument("--resume", action="store_true", help="read what an earlier run wrote, step by step")
     p.add_argument("--registered", action="store_true", help="the scenes lie on each other already: no registration")
@@ -256,6 +340,10 @@ def main(argv: list[str] | None = None) -> int:
         c.output_dir = a.output_dir
     if a.methods:
         c.methods = [m.strip() for m in a.methods.split(",") if m.strip()]
+    if a.scene_count:
+        c.scale_scene_counts = [int(n) for n in a.scene_count.split(",")]
+    if a.folder:
+        c.scenes = found_scenes(SparkSession.builder.appName("rasterloom").getOrCreate(), a.folder, a.sensor)
     found = cfg.problems(c)
     for x in found:
         print(x, file=sys.stderr)
@@ -263,6 +351,8 @@ def main(argv: list[str] | None = None) -> int:
         return 2 if found else 0
     sinks.record(c.output_dir, "environment", sinks.environment())
     spark = SparkSession.builder.appName("rasterloom").getOrCreate()
+    if a.smoke or c.smoke:
+        c = smoke_config(spark, c)
     said = VERBS[a.verb](spark, c, a)
     sinks.record(c.output_dir, "summary", said)
     sinks.log_text(c.output_dir, {"verb": a.verb, **said})

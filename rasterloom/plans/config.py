@@ -10,6 +10,7 @@ import yaml
 
 METHODS = ("original", "global", "global_local", "local", "moment", "histogram", "wallis")
 MODES = ("weighted", "source_selection", "narrow_feather")
+STRATEGIES = ("strict", "resample_to_registration_grid")
 
 
 @dataclass
@@ -54,6 +55,11 @@ class Config:
     local: Local = field(default_factory=Local)
     mosaic: Mosaic = field(default_factory=Mosaic)
     sweep: dict[str, list[float]] = field(default_factory=lambda: {k: list(v) for k, v in SWEEP.items()})
+    common_bands_strategy: str = "strict"
+    scale_scene_counts: list[int] = field(default_factory=lambda: [2, 4, 6])
+    smoke: bool = False
+    smoke_scene_count: int = 5
+    smoke_crop_size: int = 512
 
 
 def _filled(kind: type, raw: dict | None):  # noqa: ANN202
@@ -77,9 +83,14 @@ def _filled(kind: type, raw: dict | None):  # noqa: ANN202
 
 
 def load(path: str) -> Config:
-    """An empty file gives the defaults."""
+    """An empty file gives the defaults.  control_scene is a place in the list, a scene's id, or auto, the first; an unknown id gets the place -1."""
     with open(path) as f:
-        return _filled(Config, yaml.safe_load(f))
+        raw = yaml.safe_load(f) or {}
+    ids = [str(x.get("id", "")) for x in raw.get("scenes") or []]
+    control = raw.get("control_scene")
+    if isinstance(control, str):
+        raw["control_scene"] = 0 if control in ("", "auto") else ids.index(control) if control in ids else int(control) if control.isdigit() else -1
+    return _filled(Config, raw)
 
 
 def save(config: Config, path: str) -> None:
@@ -94,8 +105,15 @@ def band_path(scene: Scene, band: str) -> str:
 
 
 def common_bands(config: Config) -> list[str]:
-    """Bands that all scenes have, in the selected order, or in the first scene's if none are selected."""
+    """Bands that all scenes have, in the selected order, or in the first scene's if none are selected.
+
+    Resampling to the registration band's grid needs that band in every scene.
+    """
     sets = [set(s.bands) for s in config.scenes]
+    if config.common_bands_strategy == STRATEGIES[1]:
+        without = [s.id for s in config.scenes if config.registration_band not in s.bands]
+        if without:
+            raise ValueError(f"scenes {without} have no registration band {config.registration_band!r} to resample to")
     order = config.selected_bands or (list(config.scenes[0].bands) if config.scenes else [])
     return [b for b in order if all(b in s for s in sets)]
 
@@ -123,6 +141,12 @@ def problems(config: Config, files: bool = True) -> list[str]:
     out += [f"local.{k} is out of range" for k, ok in limits.items() if not ok]
     if config.scenes and not 0 <= config.control_scene < len(config.scenes):
         out.append(f"control scene {config.control_scene} does not exist")
+    if config.common_bands_strategy not in STRATEGIES:
+        out.append(f"unknown common_bands_strategy {config.common_bands_strategy!r}")
+    elif config.common_bands_strategy == STRATEGIES[1]:
+        out += [f"scene {s.id}: missing registration band {config.registration_band!r}" for s in config.scenes if config.registration_band not in s.bands]
+    out += [f"{k} is not positive" for k in ("smoke_scene_count", "smoke_crop_size") if getattr(config, k) <= 0]
+    out += [f"scale_scene_counts: {n} is not positive" for n in config.scale_scene_counts if n <= 0]
     if files:
         out += [f"no file {p}" for s in config.scenes for p in s.bands.values() if "://" not in p and not os.path.exists(p)]
     return out

@@ -433,6 +433,88 @@ def test_command_line(spark, tmp_path):
         cli.main([*args, "nothing"])
 
 
+def _scene_files(folder, sizes, crs="EPSG:4326"):
+    """A folder a scene: per band (rows, columns, pixel size) of values that rise by column and row of the ground, from x = 6 times the scene's number."""
+    for k, bands in enumerate(sizes):
+        (folder / f"s{k}").mkdir(parents=True)
+        for b, (rows, cols, res) in enumerate(bands):
+            y, x = np.mgrid[0:rows, 0:cols]
+            data = (10 * (6 * k + (x + 0.5) * res) + 3 * (y + 0.5) * res)[None].astype("float32")
+            (folder / f"s{k}" / f"x_B{b + 1}.tif").write_bytes(tiff.write(tiff.Raster(data, (res, 0.0, 6.0 * k, 0.0, -res, rows * res), crs if isinstance(crs, str) else crs[k], None)))
+
+
+def test_found_scenes(spark, tmp_path):
+    _scene_files(tmp_path / "in", [[(8, 12, 1.0)] * 2, [(8, 12, 1.0)] * 2])
+    (tmp_path / "in" / "s0" / "x_PAN9.tif").write_bytes(b"x")
+    got = cli.found_scenes(spark, str(tmp_path / "in"))
+    assert [(s.id, list(s.bands)) for s in got] == [("s0", ["B01", "B02"]), ("s1", ["B01", "B02"])]
+    assert got[0].bands["B02"] == str(tmp_path / "in" / "s0" / "x_B2.tif")
+    flat = cli.found_scenes(spark, str(tmp_path / "in" / "s1"))
+    assert [(s.id, list(s.bands)) for s in flat] == [("x_B1", ["B01"]), ("x_B2", ["B01"])]
+    assert [s.id for s in cli.found_scenes(spark, str(tmp_path / "in"), "S1/x")] == ["s1"]
+    (tmp_path / "in" / "s0" / "y_B1.tif").write_bytes(b"x")
+    with pytest.raises(ValueError, match="both band B01"):
+        cli.found_scenes(spark, str(tmp_path / "in"))
+
+
+def test_bands_on_one_grid(spark, tmp_path):
+    """A band of half the resolution is brought to the registration band's grid; without that strategy, and for other faults, the scan refuses."""
+    _scene_files(tmp_path, [[(8, 12, 1.0), (4, 6, 2.0)], [(8, 12, 1.0), (4, 6, 2.0)]])
+    c = config.Config(scenes=cli.found_scenes(spark, str(tmp_path)), registration_band="B01", min_overlap=1)
+    with pytest.raises(ValueError, match="4 x 6 pixels"):
+        cli.scan(spark, c)
+    c.common_bands_strategy = "resample_to_registration_grid"
+    px, head, bands = cli.scan(spark, c)
+    assert bands == [0, 1] and {(r.scene_id, r.n_rows, r.n_cols) for r in head.collect()} == {(0, 8, 12), (1, 8, 12)}
+    v = {(r.scene_id, r.band, r.row, r.col): r.v for r in px.collect()}
+    assert len(v) == 2 * 2 * 8 * 12 and None not in v.values()
+    # Values are linear in place: inside, bilinear resampling gives them back.
+    assert all(abs(v[s, 1, r, k] - v[s, 0, r, k]) < 1e-4 for s in (0, 1) for r in range(1, 7) for k in range(1, 11))
+    c.registration_band = "B07"
+    assert any("B07" in x for x in config.problems(c))
+    with pytest.raises(ValueError, match="B07"):
+        config.common_bands(c)
+    _scene_files(tmp_path / "other", [[(8, 12, 1.0)]] * 2, ["EPSG:4326", "EPSG:32650"])
+    with pytest.raises(ValueError, match="different CRS"):
+        cli.scan(spark, config.Config(scenes=cli.found_scenes(spark, str(tmp_path / "other"))))
+
+
+def test_smoke_run(spark, tmp_path):
+    _scene_files(tmp_path / "in", [[(8, 12, 1.0)]] * 4)
+    c = config.Config(scenes=cli.found_scenes(spark, str(tmp_path / "in")), smoke_scene_count=2, smoke_crop_size=6, min_overlap=1, control_scene=3)
+    small = cli.smoke_config(spark, c)
+    assert [s.id for s in small.scenes] == ["s1", "s2"] and small.control_scene == 0 and small.smoke
+    px, head, _ = cli.scan(spark, small)
+    # The overlap is x 12 to 18: its middle is at column 9 of s1 and 3 of s2.
+    assert {(r.scene_id, r.c, r.f, r.n_rows, r.n_cols) for r in head.collect()} == {(0, 12.0, 7.0, 6, 6), (1, 12.0, 7.0, 6, 6)}
+    got = {(r.scene_id, r.row, r.col): r.v for r in px.collect()}
+    assert len(got) == 72 and all(got[0, r, k] == got[1, r, k] for r in range(6) for k in range(6))
+
+
+def test_control_scene_and_counts(tmp_path):
+    text = "scenes: [{id: a, bands: {B1: x}}, {id: b, bands: {B1: y}}]\ncontrol_scene: %s\nscale_scene_counts: [2, 0]\ncommon_bands_strategy: odd\n"
+    for said, place in (("auto", 0), ("b", 1), ("1", 1), ("zz", -1)):
+        (tmp_path / "c.yaml").write_text(text % said)
+        c = config.load(str(tmp_path / "c.yaml"))
+        assert c.control_scene == place and len(config.problems(c, files=False)) == (3 if place < 0 else 2)
+
+
+def test_lone_cells_take_the_nearest_block(spark):
+    """Against all blocks at once, ties included."""
+    rng = np.random.default_rng(1)
+    held = [(int(m), int(n)) for m, n in {(m, n) for m, n in rng.integers(0, 30, (12, 2))}]
+    b = spark.createDataFrame([(0, k, m, n) for k, (m, n) in enumerate(held)], "scene_id int, block_id int, gm int, gn int")
+    coef = spark.createDataFrame([(0, k, float(k), 0.0) for k in range(len(held))], "band int, block_id int, a double, b double")
+    places = [(m, n) for m in range(30) for n in range(30)]
+    at = spark.createDataFrame([(0, 0, m, n, 1.0, m + 0.5, n + 0.5, m, n) for m, n in places], "scene_id int, band int, row int, col int, v double, fm double, fn double, gm int, gn int")
+    got = {(r.row, r.col): r.a for r in blocks.idw(at, b, coef).collect()}
+    lone = [p for p in places if all(max(abs(p[0] - m), abs(p[1] - n)) > 1 for m, n in held)]
+    assert len(got) == 900 and len(lone) > 700
+    for p in lone:
+        best = min(range(len(held)), key=lambda k: (np.hypot(held[k][0] - p[0], held[k][1] - p[1]), held[k]))
+        assert got[p] == best
+
+
 def test_wide_transition(spark):
     """A ramp of 160 columns is measured whole, not cut at 50 columns on either side."""
     px = spark.createDataFrame([(0, k, float(min(max(k - 120, 0), 160))) for k in range(400)], "row int, col int, v double")
