@@ -42,6 +42,11 @@ def small(df: DataFrame, row_bytes: int = 64, limit: int = SMALL_BYTES) -> DataF
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df made once for several uses: a checkpoint where a checkpoint folder is set, else held in memory and on disk."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     """Inner product of two arrays, added in order."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pixels import SMALL_BYTES, percentiles, small
+from ..functions.pixels import SMALL_BYTES, kept, percentiles, small
 from . import blocks as blk
 from .overlap import sides as overlap_sides
 from .quality import pair_moments, solver_moments
@@ -155,17 +155,20 @@ def solve_blocks(blocks: DataFrame, pairs: DataFrame, lam: float, rho: float, mo
 
 
 def adjust_local(pixels: DataFrame, scenes: DataFrame, n_bands: int, block: int = 200, lam: float = 0.5, rho: float = 1.0, most: int = 200, tol: float = 1e-4) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Adjusted pixels, the blocks, and the coefficients in the pixels' own units."""
+    """Adjusted pixels, the blocks with moments in the solver's units, and the coefficients in the pixels' own units.
+
+    The solver's scaling is affine, so it is done on the table of moments; pixels are scanned for the
+    scale and the moments, and adjusted in a third pass.  Blocks and coefficients are made once.
+    """
     scale = F.broadcast(scaling(pixels))  # a row a band
-    unit = pixels.join(scale, "band").withColumn("v", (F.col("v") - F.col("vmin")) / F.col("scale")).select(*pixels.columns)
-    grid = blk.cell_grid(scenes, block)
-    at = blk.placed(unit, scenes, grid)
-    blocks = blk.block_table(at, n_bands)
+    at = blk.placed(pixels, scenes, blk.cell_grid(scenes, block))
+    raw = blk.block_table(at, n_bands)
+    blocks = kept(raw.join(scale, "band").withColumns({"mu": (F.col("mu") - F.col("vmin")) / F.col("scale"), "sigma": F.col("sigma") / F.col("scale")}).select(*raw.columns, "vmin", "scale"))
     coef = solve_blocks(blocks, blk.block_pairs(blocks), lam, rho, most, tol)
-    own = coef.join(scale, "band").select("band", "block_id", "a", (F.col("scale") * F.col("b") + (1 - F.col("a")) * F.col("vmin")).alias("b"), "converged", "rounds")
-    real = blk.placed(pixels, scenes, grid)
-    out = blk.idw(real, blocks, own).withColumn("v", F.col("a") * F.col("v") + F.col("b"))
-    return out.select(*pixels.columns), blocks, own
+    spans = blocks.groupBy("band").agg(F.first("vmin").alias("vmin"), F.first("scale").alias("scale"))
+    own = kept(coef.join(F.broadcast(spans), "band").select("band", "block_id", "a", (F.col("scale") * F.col("b") + (1 - F.col("a")) * F.col("vmin")).alias("b"), "converged", "rounds"))
+    out = blk.idw(at, blocks, own).withColumn("v", F.col("a") * F.col("v") + F.col("b"))
+    return out.select(*pixels.columns), blocks.drop("vmin", "scale"), own
 
 
 # -- baselines
@@ -249,8 +252,7 @@ def histogram_baseline(pixels: DataFrame, overlaps: DataFrame, edges: list[tuple
         side = mapped(_tree_side(pixels, overlaps, level), maps, "parent", F.col("ref"))
         span = side.groupBy("child", "band").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count_if(F.col("ref")).alias("nr"), F.count_if(~F.col("ref")).alias("ns")).filter(f"nr >= 10 AND ns >= 10 AND hi - lo >= {TINY}")
         counts = side.join(F.broadcast(span.drop("nr", "ns")), ["child", "band"]).groupBy("child", "band", "lo", "hi", place.alias("bin")).agg(F.count_if(F.col("ref")).alias("cr"), F.count_if(~F.col("ref")).alias("cs"))  # span: a row a scene and band
-        made = counts.groupBy("child", "band").applyInPandas(lut, kind)
-        made = made.checkpoint() if made.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else made.persist()
+        made = kept(counts.groupBy("child", "band").applyInPandas(lut, kind))
         maps = made if maps is None else maps.unionByName(made)
     return mapped(pixels, maps, "scene_id", F.lit(True))
 

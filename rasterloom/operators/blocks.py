@@ -70,7 +70,7 @@ def idw(pixels: DataFrame, blocks: DataFrame, coef: DataFrame) -> DataFrame:
     weights = F.transform("near", lambda e: 1 / F.greatest(dist(e), F.lit(1e-10)))
     weighed = lambda k: F.aggregate(F.zip_with("near", weights, lambda e, w: e[k] * w), F.lit(0.0), lambda s, x: s + x) / F.aggregate(weights, F.lit(0.0), lambda s, x: s + x)
     done = met.withColumns({k: F.coalesce(exact[k], weighed(k)) for k in "ab"})
-    lone = met.filter("near IS NULL").select("scene_id", "band", "cm", "cn").distinct()
+    lone = at.select("scene_id", "band", "cm", "cn").distinct().join(cells, ["scene_id", "band", "cm", "cn"], "left_anti")
     own, lines = own.select("scene_id", "band", "gm", "gn", "a", "b"), lone.select("scene_id", "band", "cm").distinct()
     column = lines.join(own, ["scene_id", "band"]).groupBy("scene_id", "band", "cm", "gn").agg(F.min_by(F.struct("gm", "a", "b"), F.struct(F.abs(F.col("gm") - F.col("cm")), F.col("gm"))).alias("s"))
     met_lone = lone.join(column.select("scene_id", "band", "cm", "gn", "s.gm", "s.a", "s.b"), ["scene_id", "band", "cm"])

@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.pixels import kept
+
 
 def spanning_tree(edges: list[tuple[int, int]], root: int = 0) -> list[tuple[int, int]]:
     """(parent, child) in breadth-first order; a node's neighbours in the order of the edges."""
@@ -55,7 +57,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         new = label.join(spread, "node").select("node", F.least("c", "m").alias("c"))
         jump = new.select(F.col("node").alias("c"), F.col("c").alias("cc"))
         new = new.join(jump, "c").select("node", F.least("c", "cc").alias("c"))
-        new = new.checkpoint() if new.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else new.persist()
+        new = kept(new)
         still = new.join(label.withColumnRenamed("c", "was"), "node").filter("c <> was").isEmpty()
         label = new
         if still:

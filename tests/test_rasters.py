@@ -183,6 +183,63 @@ def test_local_stage_brings_constants_together(spark):
     assert b.count() == coef.count() == 18
 
 
+def plain_local(scenes, step, block, lam, rho, most, tol):
+    """The local stage over dense matrices and all blocks at once."""
+    valid = np.concatenate([a[np.isfinite(a)] for a in scenes])
+    lo, hi = np.percentile(valid, [1, 99])
+    held = {}
+    for s, a in enumerate(scenes):
+        for r, c in np.ndindex(*a.shape):
+            if np.isfinite(a[r, c]):
+                held.setdefault((r // block, (c + s * step) // block, s), []).append((a[r, c] - lo) / (hi - lo))
+    keys = sorted(held)
+    mu, sd = np.array([np.mean(held[k]) for k in keys]), np.array([np.std(held[k]) for k in keys])
+    t, pairs = len(keys), [(i, j) for i, p in enumerate(keys) for j, q in enumerate(keys) if i < j and p[:2] == q[:2]]
+    joint, own = np.zeros((2 * len(pairs), 2 * t)), np.zeros((2 * t, 2 * t))
+    for n, (i, j) in enumerate(pairs):
+        joint[2 * n, [2 * i, 2 * i + 1, 2 * j, 2 * j + 1]] = mu[i], 1, -mu[j], -1
+        joint[2 * n + 1, [2 * i, 2 * j]] = sd[i], -sd[j]
+    for k in range(t):
+        own[2 * k, 2 * k : 2 * k + 2], own[2 * k + 1, 2 * k] = (mu[k], 1), sd[k]
+    want = np.column_stack([mu, sd]).ravel()
+    x, z, u = np.tile([1.0, 0.0], t), np.zeros(2 * t), np.zeros(2 * t)
+    for _ in range(most):
+        was, x = x, np.linalg.solve(joint.T @ joint + rho * own.T @ own, rho * own.T @ (z - u + want))
+        gap = own @ x - want
+        z = np.sign(gap + u) * np.maximum(abs(gap + u) - lam / rho, 0)
+        u = u + gap - z
+        if np.linalg.norm(x - was) < tol * np.linalg.norm(was):
+            break
+    else:
+        x = np.tile([1.0, 0.0], t)
+    gain, shift = x[0::2], (hi - lo) * x[1::2] + (1 - x[0::2]) * lo
+    out = []
+    for s, a in enumerate(scenes):
+        made = np.full(a.shape, np.nan)
+        for r, c in np.ndindex(*a.shape):
+            m, n = r / block - 0.5, (c + s * step) / block - 0.5
+            mine = [(np.hypot(m - k[0], n - k[1]), e, k) for e, k in enumerate(keys) if k[2] == s]
+            near = [d for d in mine if abs(d[2][0] - np.rint(m)) <= 1 and abs(d[2][1] - np.rint(n)) <= 1] or [min(mine)]
+            w = np.array([1 / max(d, 1e-10) for d, *_ in near])
+            at = [e for _, e, _ in near]
+            made[r, c] = w @ gain[at] / w.sum() * a[r, c] + w @ shift[at] / w.sum()
+        out.append(made)
+    return out
+
+
+def test_local_stage_equals_a_plain_version(spark):
+    rng = np.random.default_rng(7)
+    a = [rng.normal(100 + 40 * k, 8 + 3 * k, (12, 14)) for k in range(3)]
+    a[0][4:12, 0:8] = np.nan
+    a[1][2, 3] = np.nan
+    want = plain_local(a, 6, 4, 0.05, 1.0, 3000, 1e-6)
+    assert not np.allclose(want[1][~np.isnan(a[1])], a[1][~np.isnan(a[1])], rtol=0.01)
+    out, _, coef = adjust.adjust_local(pixels(spark, [x[None] for x in a]), strip(spark, [x[None] for x in a], 6), 1, 4, 0.05, 1.0, 3000, 1e-6)
+    assert coef.filter("NOT converged").isEmpty()
+    got = array(out, (3, 12, 14), "scene_id", "row", "col")
+    assert np.allclose(got, np.array(want), rtol=2e-3, equal_nan=True)
+
+
 def test_idw_ignores_far_blocks_and_falls_back(spark):
     near = [(3, 3, 1.0), (3, 4, 1.0), (4, 3, 1.0), (0, 0, 100.0), (0, 6, 100.0), (6, 0, 100.0), (6, 6, 100.0)]
     b = spark.createDataFrame([(0, k, m, n) for k, (m, n, _) in enumerate(near)], "scene_id int, block_id long, gm int, gn int")
