@@ -7,6 +7,7 @@ invalid values into null once, at the scan, so later plans need only Spark's nul
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SMALL_BYTES = 32 << 20
@@ -32,6 +33,39 @@ def percentiles(c: Column | str, *q: float) -> Column:
     return F.percentile(c, F.array(*map(F.lit, q))) if len(q) > 1 else F.percentile(c, F.lit(q[0]))
 
 
+def spread_percentiles(df: DataFrame, value: str, by: list[str], *q: float, accuracy: int = 10_000) -> DataFrame:
+    """by, q: exact, linearly interpolated percentiles as an array, as percentiles gives them, for groups of any number of distinct values.
+
+    A first pass brackets each percentile by approximate quantiles, whose rank is at most 1 / accuracy
+    off; a second counts what lies below a bracket and the values inside it, and running sums find the
+    exact ones.  Only values inside brackets are shuffled: a share of 8 / accuracy for each percentile, or
+    a group of up to accuracy values whole.  A group without a value has a null array.
+    """
+    near, inf = 4 / accuracy, F.lit(float("inf"))
+    ask = F.array(*[F.lit(min(1.0, max(0.0, p + s))) for p in q for s in (-near, near)])
+    groups = kept(df.groupBy(*by).agg(F.percentile_approx(value, ask, accuracy).alias("b"), F.count(value).alias("total")))
+    few = F.col("total") * near < 4
+    bounds = [(F.when(few | F.lit(p <= near), -inf).otherwise(F.get("b", F.lit(2 * k))), F.when(few | F.lit(p + near >= 1), inf).otherwise(F.get("b", F.lit(2 * k + 1)))) for k, p in enumerate(q)]
+    spans = groups.select(*by, F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(p) * (F.col("total") - 1)).alias("pos"), lo.alias("lo"), hi.alias("hi")) for k, (p, (lo, hi)) in enumerate(zip(q, bounds))]).alias("spans"))
+    flat = [F.get("spans", F.lit(k))[e].alias(f"{e}{k}") for k in range(len(q)) for e in ("lo", "hi")]
+    rows = df.select(*by, F.col(value).alias("x")).filter("x IS NOT NULL").join(small(spans.select(*by, *flat), 64 * len(q)), by)
+    # Outside all brackets only the stretch between two of them is kept, and its count.
+    stretch, inside = (" + ".join(f"int(x >= lo{k}) + int(x > hi{k})" for k in range(len(q))), " OR ".join(f"x BETWEEN lo{k} AND hi{k}" for k in range(len(q))))
+    met = rows.groupBy(*by, F.expr(stretch).alias("stretch"), F.expr(f"CASE WHEN {inside} THEN x END").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x"))
+    each = met.join(spans, by).select(*by, "n", "x", F.explode(F.filter("spans", lambda s: F.col("x") <= s["hi"])).alias("s"))
+    # Without a value: what lies below the bracket.
+    counts = each.groupBy(*by, "s.k", "s.pos", F.when(F.col("x") >= F.col("s.lo"), F.col("x")).alias("x")).agg(F.sum("n").alias("n"))
+    ranked = counts.withColumn("upto", F.sum("n").over(W.partitionBy(*by, "k", "pos").orderBy(F.col("x").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    at = lambda rank: F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")), F.col("x")))
+    low, high = F.floor("pos"), F.ceil("pos")
+    ends = ranked.groupBy(*by, "k", "pos").agg(at(low).alias("lo"), at(high).alias("hi"))
+    exact = F.when(low == high, F.col("lo")).otherwise((high - F.col("pos")) * F.col("lo") + (F.col("pos") - low) * F.col("hi"))
+    entries = F.filter(F.array_sort(F.collect_list(F.struct("k", exact.alias("y")))), lambda e: e["y"].isNotNull())  # an entry a percentile
+    found = ends.groupBy(*by).agg(entries.alias("e"))
+    held = F.when(F.size("e") < len(q), F.raise_error(F.lit("a percentile lies outside its bracket")).cast("array<double>")).otherwise(F.transform("e", lambda e: e["y"]))
+    return groups.select(*by).join(found.select(*by, held.alias("q")), by, "left")
+
+
 def divide(a: Column, b: Column) -> Column:
     """a / b, null where b is 0."""
     return a / F.nullif(b, F.lit(0.0))

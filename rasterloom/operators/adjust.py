@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pixels import SMALL_BYTES, kept, percentiles, small
+from ..functions.pixels import SMALL_BYTES, kept, small, spread_percentiles
 from . import blocks as blk
 from .overlap import sides as overlap_sides
 from .quality import pair_moments, solver_moments
@@ -104,7 +104,7 @@ def adjust_global(pixels: DataFrame, overlaps: DataFrame, n_scenes: int, control
 
 def scaling(pixels: DataFrame) -> DataFrame:
     """band, vmin, scale: p1 and p99 - p1 over all scenes, scale 1 where flat."""
-    q = pixels.groupBy("band").agg(percentiles("v", 0.01, 0.99).alias("q"))
+    q = spread_percentiles(pixels, "v", ["band"], 0.01, 0.99)
     span = F.get("q", F.lit(1)) - F.get("q", F.lit(0))
     return q.select("band", F.get("q", F.lit(0)).alias("vmin"), F.when(span < 1e-10, 1.0).otherwise(span).alias("scale"))
 

@@ -9,12 +9,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pixels import percentiles, small
+from ..functions.pixels import small, spread_percentiles
 
 
 def joint_stretch(pixels: DataFrame, bands: list[int], low: float = 0.02, high: float = 0.98) -> DataFrame:
     """band, vmin, vmax: percentiles over all scenes."""
-    q = pixels.filter(F.col("band").isin(bands)).groupBy("band").agg(percentiles("v", low, high).alias("q"))
+    q = spread_percentiles(pixels.filter(F.col("band").isin(bands)), "v", ["band"], low, high)
     return q.select("band", F.get("q", F.lit(0)).alias("vmin"), F.get("q", F.lit(1)).alias("vmax"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pixels import dot, is_valid, percentiles, total
+from ..functions.pixels import dot, is_valid, percentiles, spread_percentiles, total
 
 EPS = 1e-6
 
@@ -62,8 +62,11 @@ def band_ratio_error(px: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
 
 def described(df: DataFrame, value: str, *by: str) -> DataFrame:
     """by: mean, median, p90, p95 and count of a value."""
-    q = percentiles(value, 0.5, 0.9, 0.95)
-    out = df.groupBy(*by).agg(F.avg(value).alias("mean"), q.alias("q"), F.count(value).alias("n"))
+    at, mean, n = (0.5, 0.9, 0.95), F.avg(value).alias("mean"), F.count(value).alias("n")
+    if by:
+        out = df.groupBy(*by).agg(mean, n).join(spread_percentiles(df, value, list(by), *at), list(by))
+    else:
+        out = df.agg(mean, n, percentiles(value, *at).alias("q"))
     return out.select(*by, "mean", *[F.get("q", k).alias(n) for k, n in enumerate(("median", "p90", "p95"))], "n")
 
 

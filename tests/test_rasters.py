@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from rasterloom.functions.pixels import spread_percentiles
 from rasterloom.operators import adjust, blocks, diagnostics, graph, mosaic, overlap, quality, register, render, seams, spectral, stencil
 from rasterloom.plans import cli, config, pipeline
 from rasterloom.sources import geotiff, sinks, tiff
@@ -572,6 +573,21 @@ def test_lone_cells_take_the_nearest_block(spark):
         assert got[p] == best
 
 
+def test_spread_percentiles(spark):
+    """As numpy, over many values, ties, one value, two, and none."""
+    rng = np.random.default_rng(3)
+    groups = {0: rng.normal(size=5000), 1: rng.integers(0, 4, 3000).astype(float), 2: np.array([5.0]), 3: np.array([1.0, 2.0]), 4: np.array([]), 5: np.repeat([1e9, -1e9], [1, 999])}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [(g, None) for g in groups]
+    q = (0.0, 0.01, 0.02, 0.5, 0.98, 0.99, 1.0)
+    df = spark.createDataFrame(rows, "g int, v double").repartition(7)
+    for accuracy in (300, 10_000):
+        got = {r.g: r.q for r in spread_percentiles(df, "v", ["g"], *q, accuracy=accuracy).collect()}
+        assert set(got) == set(groups) and got.pop(4) is None
+        for g, found in got.items():
+            assert np.allclose(found, np.percentile(groups[g], 100 * np.array(q)), rtol=1e-12), g
+    assert spread_percentiles(spark.createDataFrame([], "g int, v double"), "v", ["g"], 0.5).count() == 0
+
+
 def test_wide_transition(spark):
     """A ramp of 160 columns is measured whole, not cut at 50 columns on either side."""
     px = spark.createDataFrame([(0, k, float(min(max(k - 120, 0), 160))) for k in range(400)], "row int, col int, v double")
