@@ -41,14 +41,16 @@ def spread_percentiles(df: DataFrame, value: str, by: list[str], *q: float, accu
     exact ones.  Only values inside brackets are shuffled: a share of 8 / accuracy for each percentile, or
     a group of up to accuracy values whole.  A group without a value has a null array.
     """
+    names, by = by, [f"_{k}" for k in range(len(by))]  # a group's columns may have any names
+    df = df.select(*[F.col(c).alias(k) for c, k in zip(names, by)], F.col(value).alias("x"))
     near, inf = 4 / accuracy, F.lit(float("inf"))
     ask = F.array(*[F.lit(min(1.0, max(0.0, p + s))) for p in q for s in (-near, near)])
-    groups = kept(df.groupBy(*by).agg(F.percentile_approx(value, ask, accuracy).alias("b"), F.count(value).alias("total")))
+    groups = kept(df.groupBy(*by).agg(F.percentile_approx("x", ask, accuracy).alias("b"), F.count("x").alias("total")))
     few = F.col("total") * near < 4
     bounds = [(F.when(few | F.lit(p <= near), -inf).otherwise(F.get("b", F.lit(2 * k))), F.when(few | F.lit(p + near >= 1), inf).otherwise(F.get("b", F.lit(2 * k + 1)))) for k, p in enumerate(q)]
     spans = groups.select(*by, F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(p) * (F.col("total") - 1)).alias("pos"), lo.alias("lo"), hi.alias("hi")) for k, (p, (lo, hi)) in enumerate(zip(q, bounds))]).alias("spans"))
     flat = [F.get("spans", F.lit(k))[e].alias(f"{e}{k}") for k in range(len(q)) for e in ("lo", "hi")]
-    rows = df.select(*by, F.col(value).alias("x")).filter("x IS NOT NULL").join(small(spans.select(*by, *flat), 64 * len(q)), by)
+    rows = df.filter("x IS NOT NULL").join(small(spans.select(*by, *flat), 64 * len(q)), by)
     # Outside all brackets only the stretch between two of them is kept, and its count.
     stretch, inside = (" + ".join(f"int(x >= lo{k}) + int(x > hi{k})" for k in range(len(q))), " OR ".join(f"x BETWEEN lo{k} AND hi{k}" for k in range(len(q))))
     met = rows.groupBy(*by, F.expr(stretch).alias("stretch"), F.expr(f"CASE WHEN {inside} THEN x END").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x"))
@@ -63,7 +65,8 @@ def spread_percentiles(df: DataFrame, value: str, by: list[str], *q: float, accu
     entries = F.filter(F.array_sort(F.collect_list(F.struct("k", exact.alias("y")))), lambda e: e["y"].isNotNull())  # an entry a percentile
     found = ends.groupBy(*by).agg(entries.alias("e"))
     held = F.when(F.size("e") < len(q), F.raise_error(F.lit("a percentile lies outside its bracket")).cast("array<double>")).otherwise(F.transform("e", lambda e: e["y"]))
-    return groups.select(*by).join(found.select(*by, held.alias("q")), by, "left")
+    out = groups.select(*by).join(found.select(*by, held.alias("q")), by, "left")
+    return out.withColumnsRenamed(dict(zip(by, names)))
 
 
 def divide(a: Column, b: Column) -> Column:

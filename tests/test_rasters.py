@@ -585,6 +585,8 @@ def test_spread_percentiles(spark):
         assert set(got) == set(groups) and got.pop(4) is None
         for g, found in got.items():
             assert np.allclose(found, np.percentile(groups[g], 100 * np.array(q)), rtol=1e-12), g
+    clash = df.select(F.col("g").alias("b"), F.lit(1).alias("k"), F.col("v").alias("n"))
+    assert {r.b: r.q for r in spread_percentiles(clash, "n", ["b", "k"], 0.5).collect()}[3] == [1.5]
     assert spread_percentiles(spark.createDataFrame([], "g int, v double"), "v", ["g"], 0.5).count() == 0
 
 
