@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WS, documents, fresh, small, stored
+from .common import WS, documents, fresh, light, small, stored
 
 WEIGHTS, SHARE, LIMIT = (3, 1, 2), Fraction(3, 2), 2
 BLOCK, CHUNK, BUCKET_ROWS, SEED, SOURCES = 256, 1 << 16, 512, 7, 1 << 20
@@ -67,6 +67,7 @@ def golden(first: int, n: int) -> np.ndarray:
 def _slots(edges: list[float], n_slots: int):  # noqa: ANN202
     """Chunks of the schedule: (sid, chunk, slot, rank within the chunk)."""
 
+    @light
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inner = np.array(edges[1:-1])
         for b in batches:

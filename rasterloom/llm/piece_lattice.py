@@ -46,15 +46,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import KEPT, documents, stored, trim
 
 GIANT, CHUNK, UNKNOWN, REMEMBER = 1 << 16, 1 << 15, 10.0, 400_000
+SLICE = 250  # texts of a batch whose words are held at once
 NORMAL, UNK, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 SPACE = "▁"
 _LOW = -1e300
 _OUTSIDE = -1  # the piece of an unknown character, and what stands before a text
-_VOCABS: dict[str, Vocab] = {}
 Edge = tuple[int, int]
 
 
@@ -110,10 +110,10 @@ class Vocab:
 
     @staticmethod
     def load(path: str) -> Vocab:
-        if path not in _VOCABS:
+        if path not in KEPT:
             with open(path, "rb") as f:
-                _VOCABS[path] = Vocab.parse(f.read())
-        return _VOCABS[path]
+                KEPT[path] = Vocab.parse(f.read())
+        return KEPT[path]
 
     @staticmethod
     def parse(data: bytes) -> Vocab:
@@ -528,8 +528,9 @@ def giant_pieces(giants: DataFrame, model: str) -> DataFrame:
     made = "uid long, k long, made binary"
     entry = cuts.mapInArrow(_each(model, "transfer"), made).groupBy("uid").applyInPandas(_entries, "uid long, k long, entry binary")
     known = stored(cuts.join(entry, ["uid", "k"]), "lattice-entries")
-    exits = known.mapInArrow(_each(model, "maps"), made).groupBy("uid").applyInPandas(_exits, "uid long, k long, exit int")
-    return known.join(exits, ["uid", "k"]).mapInArrow(_each(model, "trace"), made).groupBy("uid").applyInPandas(_joined, "uid long, ids binary")
+    # Written, so that no task holds a second Python worker, which would stay and fill with a vocabulary of its own.
+    exits = stored(known.mapInArrow(_each(model, "maps"), made).groupBy("uid").applyInPandas(_exits, "uid long, k long, exit int"), "lattice-exits")
+    return stored(known.join(exits, ["uid", "k"]).mapInArrow(_each(model, "trace"), made).groupBy("uid").applyInPandas(_joined, "uid long, ids binary"), "lattice-ids")
 
 
 def _parted(docs: DataFrame, giant: int) -> tuple[DataFrame, DataFrame | None]:
@@ -553,12 +554,14 @@ def _encoded(model: str, known: bool):  # noqa: ANN202
         v = Vocab.load(model)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            made = b.column(2).to_pylist() if known else v.encode_all(texts)
+            made = b.column(2).to_pylist() if known else [ids for k in range(0, len(texts), SLICE) for ids in v.encode_all(texts[k : k + SLICE])]
             sums = [zlib.crc32(ids) for ids in made]
             exact = [v.decode_bytes(ids) == text.replace(SPACE, " ").encode() for ids, text in zip(made, texts)]
             counts = np.array([len(x) // 4 for x in made], np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(np.frombuffer(b"".join(made), "<i4")))
             yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(counts), pa.array(sums, pa.int64()), pa.array(exact, pa.bool_())], [x.split()[0] for x in PIECES.split(", ")])
+            del texts, made, exact, counts, lists
+            trim()
 
     return run
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import documents, fresh, small, stored
+from .common import documents, fresh, light, small, stored
 from .components import components
 from .shingle_join import SHINGLE as NEAR_SHINGLE
 from .shingle_join import similar_groups
@@ -74,6 +74,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(shingle: int):  # noqa: ANN202
+    @light
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
@@ -99,6 +100,7 @@ def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return out
 
 
+@light
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (bucket columns..., fp), sorted by bucket: the forest of each bucket; buckets may straddle batches."""
     held, key = [], None

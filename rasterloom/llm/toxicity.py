@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, documents, fresh, small, stored
+from .common import BROADCAST_BYTES, documents, fresh, light, small, stored
 
 PRIOR, SHRINK, DRIFT, TOKEN_BYTES, E_MAX, CALIBRATION, CUT = 0.1, 2.0, -0.5, 48, 0.05, 20_000, 0.3
 _TOKEN = re.compile(r"[^\W_]+")
@@ -113,6 +113,7 @@ def evidence(found: list[tuple[int, int, float, float]]) -> float:
     return sum(-math.log(max(e, 1e-300)) for *_, e in found)
 
 
+@light
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic) to (token, y1, y0): documents of either kind that hold a token; "" counts the documents."""
     for b in batches:
@@ -220,6 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = BROADCAST_BYTES) -> M
 def _unlisted(known: Model):  # noqa: ANN202
     """(row, t) to (row, token): the tokens of each text that the model itself says nothing of."""
 
+    @light
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -246,6 +248,7 @@ def _summed(model: Model, value: Callable[[int, list[tuple[int, int, float]]], f
     """(t, more, toxic) to (n, x, toxic): the number of tokens and what value makes of the segments."""
     model = replace(model, rest=None)
 
+    @light
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [segments(t or "", model, more) for t, more in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
@@ -258,6 +261,7 @@ def _score(model: Model):  # noqa: ANN202
     model = replace(model, rest=None)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("e_value", pa.float64())]))
 
+    @light
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             scores, found = [], []

@@ -1,7 +1,11 @@
+import gc
+import shutil
+import weakref
+
 import numpy as np
 
 import corpus_pipeline
-from rasterloom.llm import exact_dedup, mixing, piece_lattice, toxicity
+from rasterloom.llm import exact_dedup, mixing, piece_lattice, shingle_join, simhash_dedup, toxicity
 
 D = "/root/testdata/sf0.001"
 
@@ -92,3 +96,22 @@ def test_long_texts_and_extra_columns(spark):
     assert sum(len(r.text.split()) for r in mixed.collect()) == 30_001 * 3 // 2
     vocab = piece_lattice.Vocab.load(piece_lattice.default_model())
     assert sorted(vocab.decode(np.array(r.ids, "<u4").tobytes()) for r in last.collect()) == sorted(r.text for r in mixed.collect())
+
+
+def test_workers_drop_the_vocabulary(tmp_path):
+    """Workers outlive stages: work of the other stages must not run beside the vocabulary that encoding left."""
+    model = toxicity.Model()
+    works = [
+        toxicity._counts, toxicity._unlisted(model), toxicity._summed(model, lambda n, segs: 0.0), toxicity._score(model),
+        simhash_dedup._fingerprints(5), simhash_dedup._links, mixing._slots([0.0, 1.0], 1), shingle_join._spread(4), shingle_join._shared,
+        shingle_join._candidates, shingle_join._min_hashes, shingle_join._bucket_links, shingle_join._prefixes, shingle_join._cross, shingle_join._verified,
+    ]
+    path = str(shutil.copy(piece_lattice.default_model(), tmp_path / "copy.model"))
+    left = weakref.ref(piece_lattice.Vocab.load(path))
+    list(piece_lattice._encoded(path, False)(iter(())))
+    assert left() is piece_lattice.Vocab.load(path)  # kept from task to task
+    for work in works:
+        left = weakref.ref(piece_lattice.Vocab.load(path))
+        list(work(iter(())))
+        gc.collect()
+        assert left() is None, work
