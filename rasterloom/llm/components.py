@@ -3,14 +3,23 @@
 Every round is a few joins and map-side-combined minima over edges; nothing is gathered on the
 driver but one count and one checksum a round, and each round's edges are written to the shared
 folder.  A hub's edges are never collected into one row.
+
+A round costs the driver some nine jobs, each with buffers of megabytes however few its rows are.
+So up to LOCAL edges are contracted in one task, which holds their two columns; the result is the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, stored
+from .common import forget, light, stored
+
+LOCAL = 1 << 19
 
 
 def _edges(df: DataFrame) -> DataFrame:
@@ -32,10 +41,34 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return _edges(joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("node").alias("a"), F.col("m").alias("b"))))
 
 
+def least_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, roots) of edges between a and b: roots hook to their least neighbouring root, then all paths are shortened."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up, (a, b) = np.arange(len(nodes)), place.reshape(2, -1)
+    while len(a):
+        a, b = up[a], up[b]
+        on = a != b
+        a, b = a[on], b[on]
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (up[up] != up).any():
+            up = up[up]
+    return nodes, nodes[up]
+
+
+@light
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges (a, b), in one task."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in least_roots(*map(np.concatenate, zip(*held)))], ["node", "root"])
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
-    """(node, root) for every node that has an edge: root is the least node of its component."""
+    """(node, root) for every node that has an edge: root is the least node of its component.  Nodes are longs."""
     spark = edges.sparkSession
     now = stored(_edges(edges.select(F.col(left).alias("a"), F.col(right).alias("b"))), "edges")
+    if now.count() <= LOCAL:
+        return stored(now.coalesce(1).mapInArrow(_rooted, "node long, root long"), "roots")
     mark = None
     while True:
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
