@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, license_scan, mixing, piece_lattice, simhash_dedup, substring_dedup, token_files, toxicity, url_filter, vector_search
+from . import exact_dedup, exact_topk, license_scan, mixing, piece_lattice, simhash_dedup, substring_dedup, token_files, toxicity, url_filter, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": token_files.op8_token_files,
     "op9_sentencepiece": piece_lattice.op9_sentencepiece,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op13_exact_topk": exact_topk.op13_exact_topk,
 }
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op4_url_filter": url_filter.OP4_SQL,
     "op6_substring_dedup": substring_dedup.OP6_SQL,
+    "op13_exact_topk": exact_topk.OP13_SQL,
 }
