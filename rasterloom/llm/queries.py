@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, exact_topk, license_scan, merkle_manifest, mixing, piece_lattice, simhash_dedup, substring_dedup, token_files, toxicity, url_filter, vector_search
+from . import exact_dedup, exact_topk, license_scan, merkle_manifest, mixing, piece_lattice, simhash_dedup, substring_dedup, token_alignment, token_files, toxicity, url_filter, vector_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": token_files.op8_token_files,
     "op9_sentencepiece": piece_lattice.op9_sentencepiece,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
     "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
     "op13_exact_topk": exact_topk.op13_exact_topk,
 }
