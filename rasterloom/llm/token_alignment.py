@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from .common import KEPT, documents, scratch, stored, trim
 from .token_files import _byte_letters
 
-REMEMBER, TAIL, SLICE, GROUP, SHARD_ROWS = 300_000, 80_000, 1 << 20, 1 << 18, 1 << 20
+REMEMBER, TAIL, SLICE, GROUP, SHARD_ROWS = 900_000, 80_000, 1 << 20, 1 << 18, 1 << 20
 _LATIN, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", ".,;:!?"
 _SPACE_CUT = re.compile(r"(?<=\S)(?= )")
 _WORD = re.compile(rf" ?[{_LATIN}]+(?=[{_MARKS} \n]|\Z)|[{_MARKS}]+(?=[ \n]|\Z)|\n(?=\S)|.+?(?:(?<=\S)(?= )|\Z)", re.DOTALL)
@@ -144,9 +144,21 @@ class Pair:
         return a, b, self.exact([" " + text], a, b)[0]
 
     def exact(self, words: list[str], a: list[list[int]], b: list[list[int]]) -> list[bool]:
-        a_bytes, b_bytes = self.a_bytes, self.b_bytes
+        """Whether both sides' bytes are each word's: of all words at once, or else one by one."""
+        want = [w.encode() for w in words]
+        ends = np.cumsum(np.fromiter(map(len, want), np.int64, len(want)))
+        if all(self._joined(side, table, lengths, want, ends) for side, table, lengths in ((a, self.a_bytes, self.a_len), (b, self.b_bytes, self.b_len))):
+            return [True] * len(words)
         spell = lambda table, ids: b"".join([table[i] for i in ids])
-        return [w.encode() == spell(a_bytes, x) == spell(b_bytes, y) for w, x, y in zip(words, a, b)]
+        return [w == spell(self.a_bytes, x) == spell(self.b_bytes, y) for w, x, y in zip(want, a, b)]
+
+    @staticmethod
+    def _joined(side: list[list[int]], table: list[bytes], lengths: np.ndarray, want: list[bytes], ends: np.ndarray) -> bool:
+        flat = list(chain.from_iterable(side))
+        if not all(side) or b"".join(map(table.__getitem__, flat)) != b"".join(want):
+            return False
+        stops = np.cumsum(np.fromiter(map(len, side), np.int64, len(side))) - 1
+        return np.array_equal(np.cumsum(lengths[flat])[stops], ends)
 
     def links(self, a: list[list[int]], b: list[list[int]]) -> Links:
         return Links(a, b, self.a_len, self.b_len)
