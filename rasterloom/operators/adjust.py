@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.pixels import SMALL_BYTES, kept, small, spread_percentiles
 from . import blocks as blk
+from . import tiles
 from .overlap import sides as overlap_sides
 from .quality import pair_moments, solver_moments
-from .stencil import COLUMN, LINE, convolve, gaussian
 
 TINY = 1e-12
 
@@ -257,7 +257,7 @@ def histogram_baseline(pixels: DataFrame, overlaps: DataFrame, edges: list[tuple
     return mapped(pixels, maps, "scene_id", F.lit(True))
 
 
-def wallis_baseline(pixels: DataFrame, overlaps: DataFrame, control: int = 0, window: int = 51, mean: float | None = None, sd: float | None = None) -> DataFrame:
+def wallis_baseline(pixels: DataFrame, overlaps: DataFrame, control: int = 0, window: int = 51, mean: float | None = None, sd: float | None = None, tile: int = tiles.SIZE) -> DataFrame:
     """(v - m) T_sd / (s + tiny) + T_m with Gaussian local moments m, s and the control's overlap moments T; the control stays."""
     window += 1 - window % 2
     both = pair_moments(overlap_sides(pixels, overlaps))
@@ -267,10 +267,8 @@ def wallis_baseline(pixels: DataFrame, overlaps: DataFrame, control: int = 0, wi
         goal = goal.withColumn("tm", F.lit(mean))
     if sd is not None:
         goal = goal.withColumn("ts", F.lit(sd))
-    w = pixels.withColumns({"w": F.col("v").isNotNull().cast("double"), "x": F.coalesce("v", F.lit(0.0)), "xx": F.coalesce(F.col("v") * F.col("v"), F.lit(0.0))})
-    for name in ("w", "x", "xx"):
-        for axis in (LINE, COLUMN):
-            w = convolve(w, name, gaussian(window), axis)
+    local = tiles.local_moments(tiles.cut(pixels, tile), tiles.gaussian(window))
+    w = tiles.pixels(local, v="v", w="weight", x="first", xx="second")
     m: Column = F.col("x") / F.greatest("w", F.lit(TINY))
     s = F.sqrt(F.greatest(F.lit(0.0), F.col("xx") / F.greatest("w", F.lit(TINY)) - m * m))
     out = w.join(F.broadcast(goal), "band", "left")

@@ -1,18 +1,19 @@
 """Neighbourhood operators on dense grids (scene_id, band, row, col, v).
 
 Radius-1 stencils are window functions: one pass along rows and one along columns, each partitioned
-by scene, band and line, so a scene of any size spreads over its lines.  Borders repeat the edge
-pixel.  Wider kernels gather a line at a time and dot it with their weights.
+by scene, band and line, so a scene of any size spreads over its lines; groups may have any columns.
+Borders repeat the edge pixel.  Wider kernels cut the pixels into tiles (tiles.py), which has the
+radius-1 stencils of tiled rasters too.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import tiles
+
 LINE, COLUMN = ("row", "col"), ("col", "row")
 
 
@@ -90,49 +91,16 @@ def gradient_energy(grid: DataFrame, by: tuple[str, ...] = ("scene_id", "band"))
     return g.groupBy(*by).agg(F.sum(F.col("gx") ** 2 + F.col("gy") ** 2).alias("energy"))
 
 
-def gaussian(size: int) -> list[float]:
-    """Weights of an odd window, sigma a sixth of it, summing to 1."""
-    half, sigma = size // 2, size / 6
-    raw = [math.exp(-((k - half) ** 2) / (2 * sigma * sigma)) for k in range(size)]
-    return [x / sum(raw) for x in raw]
-
-
-def convolve(grid: DataFrame, value: str, weights: list[float], axis: tuple[str, str], by: tuple[str, ...] = ("scene_id", "band")) -> DataFrame:
-    """grid with value convolved along one axis, borders mirrored (edge pixel repeated).  A line is gathered as one array, its length that of a line."""
-    half = len(weights) // 2
-    lines = grid.groupBy(*by, axis[0]).agg(F.array_sort(F.collect_list(F.struct(F.col(axis[1]).alias("k"), F.col(value).alias("x"), F.struct(*[c for c in grid.columns if c not in (*by, *axis)]).alias("rest")))).alias("line"))
-    n = F.size("line")
-    kernel = F.array(*map(F.lit, weights))
-
-    def mirrored(i: Column) -> Column:
-        m = F.pmod(i, 2 * n)
-        return F.when(m < n, m).otherwise(2 * n - 1 - m)
-
-    def at(k: Column) -> Column:
-        terms = F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda d: F.get(kernel, d + half) * F.get(F.col("line"), mirrored(k + d).cast("int"))["x"])
-        return F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
-
-    out = lines.select(*by, axis[0], F.explode(F.transform("line", lambda e, k: F.struct(e["k"].alias("k"), at(k).alias("y"), e["rest"].alias("rest")))).alias("e"))
-    rest = [c for c in grid.columns if c not in (*by, *axis)]
-    cols = [F.col("e.y").alias(value) if c == value else F.col(f"e.rest.{c}").alias(c) for c in rest]
-    return out.select(*by, axis[0], F.col("e.k").alias(axis[1]), *cols).select(*grid.columns)
-
-
-def box_std(grid: DataFrame, size: int = 7, value: str = "f", by: tuple[str, ...] = ("scene_id", "band")) -> DataFrame:
-    """grid with sd: the deviation in a size x size box, borders mirrored."""
-    even = [1.0 / size] * size
-    two = grid.withColumns({"m": F.col(value), "m2": F.col(value) * F.col(value)})
-    for name in ("m", "m2"):
-        for axis in (LINE, COLUMN):
-            two = convolve(two, name, even, axis, by)
-    return two.withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), F.col("m2") - F.col("m") * F.col("m")))).drop("m", "m2")
+def box_std(grid: DataFrame, size: int = 7, tile: int = tiles.SIZE) -> DataFrame:
+    """scene_id, band, row, col, v, sd: the deviation in a size x size box, invalid pixels as the mean, borders mirrored.  Pixels are cut into tiles."""
+    return tiles.pixels(tiles.box_std(tiles.cut(grid, tile), size), v="v", sd="sd")
 
 
-def texture_loss(before: DataFrame, after: DataFrame, zone: DataFrame, size: int = 7) -> DataFrame:
+def texture_loss(before: DataFrame, after: DataFrame, zone: DataFrame, size: int = 7, tile: int = tiles.SIZE) -> DataFrame:
     """scene_id, band, loss: 1 - mean local deviation after / before, over the pixels of zone (scene_id, row, col)."""
     key = ["scene_id", "band"]
     means = []
     for x, n in ((before, "s0"), (after, "s1")):
-        sd = box_std(filled_with_mean(x), size).filter("v IS NOT NULL").join(zone, ["scene_id", "row", "col"], "left_semi")
+        sd = box_std(x, size, tile).filter("v IS NOT NULL").join(zone, ["scene_id", "row", "col"], "left_semi")
         means.append(sd.groupBy(*key).agg(F.avg("sd").alias(n)))
     return means[0].join(means[1], key).select(*key, (1 - F.col("s1") / F.nullif("s0", F.lit(0.0))).alias("loss"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pixels import rounded_to
-from ..operators import adjust, blocks, diagnostics, graph, mosaic, overlap, quality, refine, register, render, seams, spectral, stencil
+from ..operators import adjust, blocks, diagnostics, graph, mosaic, overlap, quality, refine, register, render, seams, spectral, stencil, tiles
 from ..sources import virtual as vr
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,18 @@ def _sides(spark: SparkSession, d: str) -> DataFrame:
     return overlap.sides(vr.grid(spark, d), _overlaps(spark, d))
 
 
+#: Tiles of the grid: small enough that halos cross them.
+TILE = 16
+
+
+def _tiles(spark: SparkSession, d: str) -> DataFrame:
+    return tiles.cut(vr.grid(spark, d), TILE)
+
+
+def _brighter(spark: SparkSession, d: str) -> DataFrame:
+    return tiles.cut(vr.grid(spark, d).withColumn("v", F.col("v") * (1 + 0.1 * F.col("row"))), TILE)
+
+
 def _scene(spark: SparkSession, d: str, k: int) -> DataFrame:
     return vr.grid(spark, d).filter(F.col("scene_id") == k)
 
@@ -167,7 +179,8 @@ def metrics_summary(spark, d):
     GRID,
 )
 def joint_overlap_stats(spark, d):
-    return rounded(quality.joint_stats(overlap.joint(vr.grid(spark, d), _overlaps(spark, d))).drop("band"))
+    aligned = tiles.joint(_tiles(spark, d), _overlaps(spark, d), TILE)
+    return rounded(quality.joint_stats(tiles.joint_pixels(aligned)).drop("band"))
 
 
 @query(
@@ -214,7 +227,7 @@ g AS (SELECT *, coalesce(lag(dx) OVER k, dx) + 2 * dx + coalesce(lead(dx) OVER k
 
 @query(_SOBEL.format(src="grid") + " SELECT scene_id, row, col, round(atan2(abs(gy), abs(gx)), 6) + 0.0 AS theta FROM g", GRID)
 def gradient_orientation(spark, d):
-    return rounded(stencil.orientation(vr.grid(spark, d)).select("scene_id", "row", "col", "theta"))
+    return rounded(tiles.pixels(tiles.orientation(_tiles(spark, d)), theta="theta").drop("band"))
 
 
 _AFTER = "aft AS (SELECT scene_id, row, col, v * (1 + CAST(0.1 AS DOUBLE) * row) AS v FROM grid)"
@@ -226,8 +239,7 @@ _AFTER = "aft AS (SELECT scene_id, row, col, v * (1 + CAST(0.1 AS DOUBLE) * row)
     GRID,
 )
 def metric_gl(spark, d):
-    g = vr.grid(spark, d)
-    return rounded(stencil.gl(g, g.withColumn("v", F.col("v") * (1 + 0.1 * F.col("row")))))
+    return rounded(tiles.gl(_tiles(spark, d), _brighter(spark, d)))
 
 
 _FILLED = "fl AS (SELECT scene_id, row, col, coalesce(v, avg(v) OVER (PARTITION BY scene_id)) AS v FROM grid)"
@@ -235,7 +247,7 @@ _FILLED = "fl AS (SELECT scene_id, row, col, coalesce(v, avg(v) OVER (PARTITION
 
 @query(f"{_FILLED}, {_SOBEL.format(src='fl')} SELECT scene_id, round(avg(gx * gx + gy * gy), 4) + 0.0 AS sharpness FROM g GROUP BY scene_id", GRID)
 def sharpness_tenengrad(spark, d):
-    return stencil.sharpness(vr.grid(spark, d)).select("scene_id", rounded_to("sharpness", 4).alias("sharpness"))
+    return tiles.sharpness(_tiles(spark, d)).select("scene_id", rounded_to("sharpness", 4).alias("sharpness"))
 
 
 @query(
@@ -245,7 +257,7 @@ def sharpness_tenengrad(spark, d):
     GRID,
 )
 def sharpness_laplacian(spark, d):
-    return stencil.sharpness(vr.grid(spark, d), "laplacian").select("scene_id", rounded_to("sharpness", 4).alias("sharpness"))
+    return tiles.sharpness(_tiles(spark, d), "laplacian").select("scene_id", rounded_to("sharpness", 4).alias("sharpness"))
 
 
 @query(
@@ -255,8 +267,7 @@ def sharpness_laplacian(spark, d):
     GRID,
 )
 def sharpness_retention(spark, d):
-    g = vr.grid(spark, d)
-    return rounded(stencil.sharpness_retention(g, g.withColumn("v", F.col("v") * (1 + 0.1 * F.col("row")))).drop("band"))
+    return rounded(tiles.sharpness_retention(_tiles(spark, d), _brighter(spark, d)).drop("band"))
 
 
 @query(
@@ -268,7 +279,7 @@ def sharpness_retention(spark, d):
     GRID,
 )
 def gradient_energy(spark, d):
-    return stencil.gradient_energy(vr.grid(spark, d)).select("scene_id", rounded_to("energy", 2).alias("energy"))
+    return tiles.gradient_energy(_tiles(spark, d)).select("scene_id", rounded_to("energy", 2).alias("energy"))
 
 
 def _mirrored(x: str, k: str, last: int) -> str:
@@ -286,7 +297,7 @@ _SEVEN = "o AS (SELECT unnest(range(-3, 4)) AS k)"
 @query(f"{_FILLED}, {_SEVEN}, {_window_sql('fl', 's', 'avg(n.v) AS m1, avg(n.v * n.v) AS m2')} SELECT scene_id, row, col, round(sqrt(greatest(0, m2 - m1 * m1)), 4) + 0.0 AS sd FROM s", GRID)
 def local_deviation(spark, d):
     """The 7 x 7 deviation that texture loss is made of."""
-    one = stencil.box_std(stencil.filled_with_mean(vr.grid(spark, d)).select("scene_id", "band", "row", "col", "f"), 7)
+    one = tiles.pixels(tiles.box_std(_tiles(spark, d), 7), sd="sd")
     return one.select("scene_id", "row", "col", rounded_to("sd", 4).alias("sd"))
 
 
@@ -298,7 +309,17 @@ def local_deviation(spark, d):
 )
 def texture_loss(spark, d):
     g = vr.grid(spark, d).select("scene_id", "band", "row", "col", "v")
-    return rounded(stencil.texture_loss(g, g.withColumn("v", F.col("v") * (1 + 0.1 * F.col("row"))), g.filter("col < 12").select("scene_id", "row", "col")).drop("band"))
+    return rounded(stencil.texture_loss(g, g.withColumn("v", F.col("v") * (1 + 0.1 * F.col("row"))), g.filter("col < 12").select("scene_id", "row", "col"), tile=TILE).drop("band"))
+
+
+@query(
+    f"""WITH {vr.BROAD_SQL}, fl AS (SELECT 0 AS scene_id, row, col, coalesce(v, avg(v) OVER ()) AS v FROM broad), {_SOBEL.format(src='fl')}
+    SELECT CAST(row // 64 AS INT) AS tr, CAST(col // 64 AS INT) AS tc, round(avg(gx * gx + gy * gy), 4) + 0.0 AS sharpness FROM g GROUP BY ALL"""
+)
+def broad_sharpness(spark, d):
+    """Squared gradients by tile of a raster that grows with lineitem: some 10^8 pixels at scale factor 0.1, made as tiles and shuffled as tiles."""
+    t = vr.broad_tiles(spark, d)
+    return tiles.squared_gradient(t, tiles.means(t)).select("tr", "tc", rounded_to(F.col("s") / F.col("n"), 4).alias("sharpness"))
 
 
 # -- spectra
@@ -626,7 +647,7 @@ def histogram_baseline(spark, d):
     GRID,
 )
 def wallis_baseline(spark, d):
-    out = adjust.wallis_baseline(vr.grid(spark, d).select("scene_id", "band", "row", "col", "v"), _overlaps(spark, d), window=9)
+    out = adjust.wallis_baseline(vr.grid(spark, d).select("scene_id", "band", "row", "col", "v"), _overlaps(spark, d), window=9, tile=TILE)
     return out.withColumn("v", rounded_to("v", 4))
 
 
@@ -818,8 +839,8 @@ def difference_map(spark, d):
 )
 def warp_shift(spark, d):
     scenes = vr.grid_scenes(spark, d)
-    field = register.constant_field(scenes, scenes.select("scene_id", F.lit(1.25).alias("dx"), F.lit(0.5).alias("dy")))
-    return rounded(register.warp(vr.grid(spark, d).select("scene_id", "band", "row", "col", "v"), field).drop("band"))
+    moved = tiles.warp(_tiles(spark, d), tiles.shifts(scenes.select("scene_id", F.lit(1.25).alias("dx"), F.lit(0.5).alias("dy"))), TILE)
+    return rounded(tiles.pixels(moved).drop("band"))
 
 
 _MATCH = "mt AS (SELECT 0 AS i, 1 AS j, o_orderkey AS k, (o_orderkey % 7) / CAST(10 AS DOUBLE) AS dx, (o_orderkey % 5) / CAST(10 AS DOUBLE) AS dy, (o_orderkey % 101) / CAST(100 AS DOUBLE) AS confidence, CAST(o_orderkey % 997 AS DOUBLE) AS x, CAST(o_orderkey % 1009 AS DOUBLE) AS y FROM orders)"
@@ -997,7 +1018,7 @@ def hull_fade(spark, d):
 def warp_affine(spark, d):
     scenes = vr.grid_scenes(spark, d)
     model = scenes.select("scene_id", *[F.lit(x).alias(k) for k, x in zip("abcdef", (1.02, 0.01, 0.5, -0.01, 0.98, 0.25))])
-    return rounded(register.warp(vr.grid(spark, d).select("scene_id", "band", "row", "col", "v"), refine.affine_field(scenes, model)).drop("band"))
+    return rounded(tiles.pixels(tiles.warp(_tiles(spark, d), tiles.affines(model), TILE)).drop("band"))
 
 
 @query("SELECT ok, count(*) AS n FROM (SELECT k % 40 >= 20 AND (k % 11) / 10.0 >= 0.6 AND k % 7 BETWEEN 1 AND 5 AND k % 3 < 2 AND abs(k % 5 - 2) <= 1 AS ok FROM mt) GROUP BY ok", _MATCH)

@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import adjust, graph, mosaic, overlap, quality, refine, register, stencil
+from ..operators import adjust, graph, mosaic, overlap, quality, refine, register, stencil, tiles
 from .config import Config
 
 
@@ -118,7 +118,7 @@ def registered(pixels: DataFrame, scenes: DataFrame, overlaps: DataFrame, n_scen
     for k in sorted({p["i"] + p["j"] - control for p in pairs if control in (p["i"], p["j"])}) if refine_rounds else ():
         found, _ = refine.refined_shifts(pixels, scenes, overlaps, found, band, control, k, block, refine_rounds)
     shifts = pixels.sparkSession.createDataFrame([(k, *v) for k, v in found.items()], "scene_id int, dx double, dy double")
-    return register.warp(pixels, register.constant_field(scenes, shifts))
+    return tiles.pixels(tiles.warp(tiles.cut(pixels), tiles.shifts(shifts), tiles.SIZE))
 
 
 class Steps:

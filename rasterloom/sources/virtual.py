@@ -1,6 +1,7 @@
 """Rasters made from the star-schema tables, so that plans and SQL can be compared on equal pixels.
 
 grid: five one-band scenes from events, 30 x 24, neighbours 6 columns apart; empty cells are null.
+broad: one scene of 64 x 64 tiles, a tile a supplier and half of a shipping month, a coarse value from lineitem under a fine pattern.
 wide: four scenes of four bands from lineitem, windows over the part keys.
 spectra: 64-band spectra from embeddings, before and after a gain and an offset by label.
 links: a graph of key relations.
@@ -8,10 +9,12 @@ links: a graph of key relations.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS, COLS, STEP, SCENES = 30, 24, 6, 4
+BROAD, BROAD_COLS = 64, 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +53,26 @@ def wide_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide(spark, sf_dir).select("scene_id", "row", "col", F.posexplode("s").alias("band", "v"))
 
 
+def broad_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles (operators/tiles.py) of one scene: suppliers down, months and odd and even line numbers across; a tile without lines is invalid."""
+    from ..operators import tiles
+
+    lines = table(spark, sf_dir, "lineitem")
+    across = ((F.month("l_shipdate") - 1) * 2 + F.col("l_linenumber") % 2).cast("int")
+    cells = lines.groupBy((F.col("l_suppkey") - 1).cast("int").alias("tr"), across.alias("tc")).agg(F.avg("l_quantity").alias("q"))
+    down = lines.agg(F.max("l_suppkey").cast("int").alias("n")).select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("tr"))
+    dense = down.select("tr", F.explode(F.sequence(F.lit(0), F.lit(BROAD_COLS - 1))).alias("tc")).join(cells, ["tr", "tc"], "left")
+    side, zero = F.lit(BROAD), F.lit(0)
+    seeds = dense.select(zero.alias("scene_id"), zero.alias("band"), "tr", "tc", (F.col("tr") * BROAD).alias("r0"), (F.col("tc") * BROAD).alias("c0"), side.alias("h"), side.alias("w"), F.lit(b"").alias("v"), "q")
+
+    def values(t: dict) -> np.ndarray:
+        r, c = np.mgrid[t["r0"] : t["r0"] + BROAD, t["c0"] : t["c0"] + BROAD]
+        x = np.nan if t["q"] is None else t["q"] + (7 * r + 3 * c) % 11
+        return np.where((5 * r + c) % 97 == 0, np.nan, x)
+
+    return tiles.mapped(seeds, values, "q")
+
+
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pixel_id, label, o (before), n (after)."""
     x = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pixel_id"), "label", F.transform("embedding", lambda v: v.cast("double")).alias("o"))
@@ -79,6 +102,12 @@ sides AS (
   UNION ALL SELECT i, j, 'j' AS side, g.* FROM pairs JOIN grid g ON g.scene_id = j AND gcol >= lo AND gcol < hi)
 """
 
+BROAD_SQL = """
+bq AS (SELECT CAST(l_suppkey - 1 AS INT) AS tr, CAST((month(l_shipdate) - 1) * 2 + l_linenumber % 2 AS INT) AS tc, avg(l_quantity) AS q FROM lineitem GROUP BY ALL),
+broad AS (
+  SELECT s.i * 64 + r.i AS row, k.i * 64 + c.i AS col, CASE WHEN (5 * (s.i * 64 + r.i) + k.i * 64 + c.i) % 97 <> 0 THEN q + (7 * (s.i * 64 + r.i) + 3 * (k.i * 64 + c.i)) % 11 END AS v
+  FROM range((SELECT max(l_suppkey) FROM lineitem)) s(i) CROSS JOIN range(24) k(i) CROSS JOIN range(64) r(i) CROSS JOIN range(64) c(i) LEFT JOIN bq ON bq.tr = s.i AND bq.tc = k.i)"""
+
 WIDE_SQL = """
 span AS (SELECT max(l_partkey) + 1 AS p FROM lineitem),
 wide AS (
