@@ -62,6 +62,7 @@ def broad_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = lines.groupBy((F.col("l_suppkey") - 1).cast("int").alias("tr"), across.alias("tc")).agg(F.avg("l_quantity").alias("q"))
     down = lines.agg(F.max("l_suppkey").cast("int").alias("n")).select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("tr"))
     dense = down.select("tr", F.explode(F.sequence(F.lit(0), F.lit(BROAD_COLS - 1))).alias("tc")).join(cells, ["tr", "tc"], "left")
+    dense = dense.repartition(4 * spark.sparkContext.defaultParallelism, "tr", "tc")  # few bytes each, but 32 KB once they are tiles
     side, zero = F.lit(BROAD), F.lit(0)
     seeds = dense.select(zero.alias("scene_id"), zero.alias("band"), "tr", "tc", (F.col("tr") * BROAD).alias("r0"), (F.col("tc") * BROAD).alias("c0"), side.alias("h"), side.alias("w"), F.lit(b"").alias("v"), "q")
 
