@@ -13,8 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
-from ..functions.pixels import small
+from ..functions.pixels import kept, small
 from .overlap import combined_bounds
+from .seamline import STRIP, min_cost_seam, seams  # noqa: F401
 
 TINY = 1e-6
 
@@ -142,67 +143,19 @@ def seam_pairs(labels: DataFrame) -> DataFrame:
     return found[0].unionByName(found[1]).distinct()
 
 
-def _sobel_parts(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Absolute 3 x 3 Sobel derivatives along columns and along rows, borders repeated."""
-    p = np.pad(m, 1, mode="edge")
-    d, s = p[:, 2:] - p[:, :-2], p[2:] - p[:-2]
-    return np.abs(d[:-2] + 2 * d[1:-1] + d[2:]), np.abs(s[:, :-2] + 2 * s[:, 1:-1] + s[:, 2:])
-
-
-def min_cost_seam(a: np.ndarray, b: np.ndarray, ok_a: np.ndarray, ok_b: np.ndarray, diff: float = 1.0, grad: float = 0.5) -> np.ndarray:
-    """One column a row: the path of least summed |a - b| + grad |Sobel a - Sobel b|, one column aside at most; the leftmost of equals.
-
-    The gradients' difference is the length of that of their absolute parts, axis by axis.  With fewer
-    jointly valid pixels than rows, the seam is the column that has most of them.
-    """
-    both = ok_a & ok_b
-    x, y = np.where(ok_a, a, 0.0), np.where(ok_b, b, 0.0)
-    h, w = x.shape
-    if both.sum() < h:
-        return np.full(h, int(both.sum(0).argmax()))
-    (ax, ay), (bx, by) = _sobel_parts(x), _sobel_parts(y)
-    cost = np.where(both, diff * np.abs(x - y) + grad * np.hypot(ax - bx, ay - by), 1e10)
-    total, back = cost[0].copy(), np.zeros((h, w), int)
-    for r in range(1, h):
-        three = np.stack([np.append(np.inf, total[:-1]), total, np.append(total[1:], np.inf)])
-        step = three.argmin(0)
-        back[r] = np.arange(w) + step - 1
-        total = three[step, np.arange(w)] + cost[r]
-    seam = np.empty(h, int)
-    seam[-1] = total.argmin()
-    for r in range(h - 1, 0, -1):
-        seam[r - 1] = back[r][seam[r]]
-    return seam
-
-
-def _seam_of(g: pd.DataFrame) -> pd.DataFrame:
-    """One pair's overlap (i, j, gr, gc, va, vb) to its seam: along rows, or along columns if the overlap is taller than wide."""
-    r0, c0 = g["gr"].min(), g["gc"].min()
-    h, w = int(g["gr"].max() - r0 + 1), int(g["gc"].max() - c0 + 1)
-    a, b = (np.full((h, w), np.nan) for _ in "ab")
-    a[g["gr"] - r0, g["gc"] - c0], b[g["gr"] - r0, g["gc"] - c0] = g["va"], g["vb"]
-    # A wide overlap is crossed by a horizontal seam: transposed, so that one kernel serves both.
-    flat = w > h
-    if flat:
-        a, b = a.T, b.T
-    seam = min_cost_seam(a, b, ~np.isnan(a), ~np.isnan(b))
-    line, at = (c0, r0) if flat else (r0, c0)
-    return pd.DataFrame({"i": g["i"].iloc[0], "j": g["j"].iloc[0], "flat": flat, "line": line + np.arange(len(seam)), "sc": at + seam, "short": min(h, w), "n": len(g)})
-
-
-def narrow_feather(px: DataFrame, weights: DataFrame, width: int, least: int = 10) -> DataFrame:
+def narrow_feather(px: DataFrame, weights: DataFrame, width: int, least: int = 10, strip: int = STRIP) -> DataFrame:
     """Source selection, then a linear blend across the least-cost seam of each pair of meeting scenes.
 
     The width is at most half the overlap's shorter side; pairs go in order, and a cell is blended by
-    the first pair whose zone holds it.  Overlaps of under ten cells stay as selected.  The seam is a
-    dynamic programme over one pair's overlap in one band; a pair is a group of its own.
+    the first pair whose zone holds it.  Overlaps of under ten cells stay as selected.  Seams are found
+    in one band, strip by strip (seamline.py).
     """
     chosen = source_selection(px, weights)
     pairs = small(seam_pairs(sources(weights)))
     side = lambda p, v: px.select(F.col("scene_id").alias(p), "band", "gr", "gc", F.col("v").alias(v))
     both = side("i", "va").join(pairs, "i").join(side("j", "vb"), ["j", "band", "gr", "gc"])
-    seams = both.filter("band = 0").groupBy("i", "j").applyInPandas(_seam_of, "i int, j int, flat boolean, line int, sc int, short int, n long").filter(f"n >= {least}")
-    on = both.join(seams, ["i", "j"]).filter("line = if(flat, gc, gr)")
+    lines = kept(seams(both.filter("band = 0").select("i", "j", "gr", "gc", "va", "vb"), strip).filter(f"n >= {least}"))
+    on = both.join(lines, ["i", "j"]).filter("line = if(flat, gc, gr)")
     use = F.greatest(F.lit(1), F.least(F.lit(width), F.floor(F.col("short") / 2).cast("int")))
     away = F.when(F.col("flat"), F.col("gr")).otherwise(F.col("gc")) - F.col("sc")
     # Which scene lies before the seam: the one whose cells do.
@@ -213,7 +166,7 @@ def narrow_feather(px: DataFrame, weights: DataFrame, width: int, least: int = 1
     return chosen.join(zone, ["band", "gr", "gc"], "left").select("band", "gr", "gc", F.coalesce("f", "v").alias("v"))
 
 
-def make(px: DataFrame, mode: str = "weighted", width: int = 64) -> DataFrame:
+def make(px: DataFrame, mode: str = "weighted", width: int = 64, strip: int = STRIP) -> DataFrame:
     """band, gr, gc, v by mode: weighted, source_selection or narrow_feather."""
     weights = edt(px.select("scene_id", "gr", "gc").distinct())
     if mode == "weighted":
@@ -221,7 +174,7 @@ def make(px: DataFrame, mode: str = "weighted", width: int = 64) -> DataFrame:
     if mode == "source_selection":
         return source_selection(px, weights)
     if mode == "narrow_feather":
-        return narrow_feather(px, weights, width)
+        return narrow_feather(px, weights, width, strip=strip)
     raise ValueError(f"unknown mosaic mode {mode!r}")
 
 

@@ -768,9 +768,49 @@ def mosaic_nodata(spark, d):
     return rounded(mosaic.with_nodata(mosaic.make(two), 2, -1.0))
 
 
-@query()
+#: Seams as seamline.py defines them, line by line: ct are the costs in fixed point, dp the least sums with the place before, path the seam.
+_SEAM = f"""WITH RECURSIVE {GRID}, {_EDT}, kk AS (SELECT *, row_number() OVER (PARTITION BY gr, gc ORDER BY w DESC, scene_id) AS n FROM w), ch AS (SELECT gr, gc, scene_id AS s, v FROM kk WHERE n = 1),
+sp AS (SELECT DISTINCT least(a.s, b.s) AS i, greatest(a.s, b.s) AS j FROM ch a JOIN ch b ON (a.gr = b.gr AND b.gc = a.gc + 1) OR (a.gc = b.gc AND b.gr = a.gr + 1) WHERE a.s <> b.s),
+jt AS (SELECT i, j, a.gr, a.gc, a.v AS va, b.v AS vb FROM sp JOIN w a ON a.scene_id = i JOIN w b ON b.scene_id = j AND b.gr = a.gr AND b.gc = a.gc),
+bx AS (SELECT *, wd > h AS flat, greatest(h, wd) AS lines, least(h, wd) AS short FROM (SELECT i, j, min(gr) AS top, min(gc) AS lft, max(gr) - min(gr) + 1 AS h, max(gc) - min(gc) + 1 AS wd, count(*) AS n FROM jt GROUP BY i, j) WHERE n >= 10),
+pl AS (SELECT jt.*, CASE WHEN flat THEN gc - lft ELSE gr - top END AS l, CASE WHEN flat THEN gr - top ELSE gc - lft END AS s FROM jt JOIN bx USING (i, j)),
+dense AS (SELECT x.i, x.j, l.i AS l, s.i AS s, pl.va, pl.vb, coalesce(pl.va, 0) AS za, coalesce(pl.vb, 0) AS zb, lines FROM bx x JOIN range(64) l(i) ON l.i < lines JOIN range(64) s(i) ON s.i < short LEFT JOIN pl ON pl.i = x.i AND pl.j = x.j AND pl.l = l.i AND pl.s = s.i),
+d1 AS (SELECT *, coalesce(lead(za) OVER u, za) - coalesce(lag(za) OVER u, za) AS da, coalesce(lag(za) OVER u, za) + 2 * za + coalesce(lead(za) OVER u, za) AS sa, coalesce(lead(zb) OVER u, zb) - coalesce(lag(zb) OVER u, zb) AS db, coalesce(lag(zb) OVER u, zb) + 2 * zb + coalesce(lead(zb) OVER u, zb) AS sb
+  FROM dense WINDOW u AS (PARTITION BY i, j, l ORDER BY s)),
+d2 AS (SELECT *, abs(coalesce(lag(da) OVER k, da) + 2 * da + coalesce(lead(da) OVER k, da)) - abs(coalesce(lag(db) OVER k, db) + 2 * db + coalesce(lead(db) OVER k, db)) AS gx,
+  abs(coalesce(lead(sa) OVER k, sa) - coalesce(lag(sa) OVER k, sa)) - abs(coalesce(lead(sb) OVER k, sb) - coalesce(lag(sb) OVER k, sb)) AS gy FROM d1 WINDOW k AS (PARTITION BY i, j, s ORDER BY l)),
+co AS (SELECT i, j, l, s, lines, CASE WHEN va IS NOT NULL THEN abs(va - vb) + CAST(0.5 AS DOUBLE) * sqrt(gx * gx + gy * gy) END AS cost, CAST(pow(2, 60 - 2 * len(bin(lines + 1))) AS BIGINT) AS unit FROM d2),
+ct AS (SELECT i, j, l, s, CASE WHEN cost IS NULL THEN lines * unit + 1 ELSE CAST(floor(cost / coalesce(nullif(max(cost) OVER (PARTITION BY i, j), 0), 1) * unit + CAST(0.5 AS DOUBLE)) AS BIGINT) END AS c FROM co),
+dp(i, j, l, s, t, back) AS (
+  SELECT i, j, l, s, c, CAST(-1 AS BIGINT) FROM ct WHERE l = 0
+  UNION ALL
+  SELECT i, j, l, s, CAST(c + m // 64 AS BIGINT), CAST(m % 64 AS BIGINT) FROM (SELECT ct.i, ct.j, ct.l, ct.s, ct.c, min(CAST(dp.t AS HUGEINT) * 64 + dp.s) AS m FROM dp JOIN ct ON ct.i = dp.i AND ct.j = dp.j AND ct.l = dp.l + 1 AND abs(ct.s - dp.s) <= 1 GROUP BY ALL)),
+path(i, j, l, s) AS (
+  SELECT i, j, l, s FROM (SELECT dp.*, row_number() OVER (PARTITION BY i, j ORDER BY l DESC, t, s) AS k FROM dp) WHERE k = 1
+  UNION ALL
+  SELECT p.i, p.j, p.l - 1, dp.back FROM path p JOIN dp ON dp.i = p.i AND dp.j = p.j AND dp.l = p.l AND dp.s = p.s WHERE p.l > 0),
+few AS (SELECT i, j, s FROM (SELECT i, j, s, row_number() OVER (PARTITION BY i, j ORDER BY count(*) DESC, s) AS k FROM pl GROUP BY i, j, s) WHERE k = 1),
+seam AS (SELECT i, j, flat, CASE WHEN flat THEN lft ELSE top END + p.l AS line, CASE WHEN n < lines THEN few.s ELSE p.s END AS s, l, short, n FROM path p JOIN bx USING (i, j) JOIN few USING (i, j))"""
+
+
+@query(_SEAM + " SELECT i, j, flat, CAST(line AS INT) AS line, CAST(CASE WHEN flat THEN top ELSE lft END + seam.s AS INT) AS sc, CAST(seam.short AS INT) AS short, seam.n FROM seam JOIN (SELECT i, j, top, lft FROM bx) USING (i, j)")
+def mosaic_seams(spark, d):
+    """The least-cost seams of all pairs of scenes that meet, from strips of eight lines."""
+    px = _canvas_pixels(spark, d)
+    pairs = mosaic.seam_pairs(mosaic.sources(mosaic.edt(px.select("scene_id", "gr", "gc").distinct())))
+    side = lambda p, v: px.select(F.col("scene_id").alias(p), "gr", "gc", F.col("v").alias(v))
+    both = side("i", "va").join(pairs, "i").join(side("j", "vb"), ["j", "gr", "gc"])
+    return mosaic.seams(both, 8, 2).filter("n >= 10")
+
+
+@query(
+    _SEAM
+    + """, bl AS (SELECT pl.gr, pl.gc, pl.i, pl.j, pl.va, pl.vb, pl.s - seam.s AS d, greatest(1, least(4, seam.short // 2)) AS half FROM pl JOIN seam USING (i, j, l)),
+    zn AS (SELECT gr, gc, va, vb, least(1, greatest(0, CAST(0.5 AS DOUBLE) + d / (2.0 * half))) AS wb, row_number() OVER (PARTITION BY gr, gc ORDER BY i, j) AS k FROM bl WHERE abs(d) <= half)
+    SELECT 0 AS band, CAST(ch.gr AS INT) AS gr, CAST(ch.gc AS INT) AS gc, round(coalesce((1 - wb) * va + wb * vb, v), 6) + 0.0 AS v FROM ch LEFT JOIN zn ON zn.gr = ch.gr AND zn.gc = ch.gc AND zn.k = 1"""
+)
 def mosaic_narrow_feather(spark, d):
-    return rounded(mosaic.make(_canvas_pixels(spark, d), "narrow_feather", 4))
+    return rounded(mosaic.make(_canvas_pixels(spark, d), "narrow_feather", 4, strip=8))
 
 
 @query("SELECT CAST(coalesce(a.gr, b.gr) AS INT) AS gr, CAST(coalesce(a.gc, b.gc) AS INT) AS gc, round(CASE WHEN coalesce(a.gc, b.gc) >= 15 THEN coalesce(b.v, a.v) ELSE coalesce(a.v, b.v) END, 6) + 0.0 AS v FROM (SELECT row AS gr, gcol AS gc, v FROM grid WHERE scene_id = 0 AND v IS NOT NULL) a FULL JOIN (SELECT row AS gr, gcol AS gc, v FROM grid WHERE scene_id = 1 AND v IS NOT NULL) b ON a.gr = b.gr AND a.gc = b.gc", GRID)
