@@ -150,8 +150,9 @@ def narrow_feather(px: DataFrame, weights: DataFrame, width: int, least: int = 1
     the first pair whose zone holds it.  Overlaps of under ten cells stay as selected.  Seams are found
     in one band, strip by strip (seamline.py).
     """
+    weights = kept(weights)
     chosen = source_selection(px, weights)
-    pairs = small(seam_pairs(sources(weights)))
+    pairs = small(kept(seam_pairs(sources(weights))))
     side = lambda p, v: px.select(F.col("scene_id").alias(p), "band", "gr", "gc", F.col("v").alias(v))
     both = side("i", "va").join(pairs, "i").join(side("j", "vb"), ["j", "band", "gr", "gc"])
     lines = kept(seams(both.filter("band = 0").select("i", "j", "gr", "gc", "va", "vb"), strip).filter(f"n >= {least}"))

@@ -226,13 +226,14 @@ def seams(both: DataFrame, strip: int = STRIP, fan: int = FAN) -> DataFrame:
 
     Lines run along the longer side (rows, unless flat); short is the other side's length, n the number of cells.
     """
-    pair = ["i", "j"]
+    pair, both = ["i", "j"], kept(both)
     box = both.groupBy(*pair).agg(F.min("gr").alias("top"), F.min("gc").alias("left"), (F.max("gr") - F.min("gr") + 1).alias("h"), (F.max("gc") - F.min("gc") + 1).alias("w"), F.count(F.lit(1)).alias("n"))
     box = kept(box.select("*", (F.col("w") > F.col("h")).alias("flat"), F.greatest("h", "w").alias("lines"), F.least("h", "w").alias("short")))
     most = box.agg(F.max("lines")).first()[0]
-    placed = both.join(small(box), pair).withColumns({"l": F.when(F.col("flat"), F.col("gc") - F.col("left")).otherwise(F.col("gr") - F.col("top")), "s": F.when(F.col("flat"), F.col("gr") - F.col("top")).otherwise(F.col("gc") - F.col("left"))})
+    near = small(box)
+    placed = both.join(near, pair).withColumns({"l": F.when(F.col("flat"), F.col("gc") - F.col("left")).otherwise(F.col("gr") - F.col("top")), "s": F.when(F.col("flat"), F.col("gr") - F.col("top")).otherwise(F.col("gc") - F.col("left"))})
     few = placed.filter("n < lines").groupBy(*pair, "s").agg(F.count(F.lit(1)).alias("held")).groupBy(*pair).agg(F.max_by("s", F.struct("held", (-F.col("s")).alias("m"))).alias("s"))
-    flat_seams = few.join(small(box), pair).select(*pair, F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("l"), "s")
+    flat_seams = few.join(near, pair).select(*pair, F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("l"), "s")
     at = F.floor(F.col("l") / strip).cast("int")
     inside = F.array_distinct(F.array(at, F.floor((F.col("l") - 1) / strip).cast("int"), F.floor((F.col("l") + 1) / strip).cast("int")))
     cells = placed.filter("n >= lines").select(*pair, "l", "s", "va", "vb", "lines", "short", F.explode(inside).alias("k")).filter(f"k >= 0 AND k * {strip} < lines")
@@ -241,7 +242,7 @@ def seams(both: DataFrame, strip: int = STRIP, fan: int = FAN) -> DataFrame:
     cells = cells.unionByName(hollow.withColumn("l", F.col("k") * strip)).groupBy(*pair, "k", "l", "s", "lines", "short").agg(F.max("va").alias("va"), F.max("vb").alias("vb"))
     cost = kept(cells.groupBy(*pair, "k").applyInPandas(_strip_costs(strip), "i int, j int, k int, n int, most double, cost binary"))
     greatest = cost.groupBy(*pair).agg(F.max("most").alias("greatest")).join(box.select(*pair, "lines"), pair)
-    c = kept(cost.join(small(greatest), pair).groupBy(*pair, "k").applyInPandas(_fixed, "i int, j int, k int, n int, c binary"))
+    c = kept(cost.join(greatest, pair).groupBy(*pair, "k").applyInPandas(_fixed, "i int, j int, k int, n int, c binary"))
     levels, left = [], -(-(most or 1) // strip)
     if left > 1:
         levels.append(kept(c.groupBy(*pair, "k").applyInPandas(_transfers, "i int, j int, k int, w int, t binary")))
@@ -258,6 +259,6 @@ def seams(both: DataFrame, strip: int = STRIP, fan: int = FAN) -> DataFrame:
     maps = ready.groupBy(*pair, "k").applyInPandas(_maps, "i int, j int, k int, best int, before binary")
     exits = maps.groupBy(*pair).applyInPandas(_exits, "i int, j int, k int, exit int")
     path = ready.join(exits, [*pair, "k"]).groupBy(*pair, "k").applyInPandas(_path(strip), "i int, j int, l int, s int")
-    found = path.unionByName(flat_seams.select(*pair, F.col("l").cast("int"), F.col("s").cast("int"))).join(small(box), pair)
+    found = path.unionByName(flat_seams.select(*pair, F.col("l").cast("int"), F.col("s").cast("int"))).join(near, pair)
     line, sc = (F.when(F.col("flat"), F.col(f) + F.col(x)).otherwise(F.col(o) + F.col(x)).cast("int") for x, f, o in (("l", "left", "top"), ("s", "top", "left")))
     return found.select(*pair, "flat", line.alias("line"), sc.alias("sc"), F.col("short").cast("int").alias("short"), F.col("n").cast("long").alias("n"))
