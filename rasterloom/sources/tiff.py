@@ -1,6 +1,7 @@
 """A small TIFF codec: strips or tiles of numbers, uncompressed, Deflate or LZW, with GeoTIFF placement and nodata.
 
-Reading takes any of these from either byte order; writing makes little-endian strips, LZW by default.
+Reading takes any of these from either byte order, with offsets of 32 or 64 bits; writing makes
+little-endian strips, LZW by default, or lays out a file of uncompressed tiles that many tasks can fill.
 """
 
 from __future__ import annotations
@@ -104,19 +105,24 @@ class Ranged:
 def tags(data: bytes | Ranged) -> tuple[str, dict[int, tuple]]:
     """Byte order and the first directory's fields."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
+    version = struct.unpack(order + "H", data[2:4])[0] if order else 0
+    if version not in (42, 43):
         raise ValueError("not a TIFF file")
-    (at,) = struct.unpack(order + "I", data[4:8])
-    (count,) = struct.unpack(order + "H", data[at : at + 2])
+    # Version 43 has offsets and counts of 64 bits.
+    word, wide, entry, start = ("I", 4, 12, 4) if version == 42 else ("Q", 8, 20, 8)
+    (at,) = struct.unpack(order + word, data[start : start + wide])
+    many = 2 if version == 42 else 8
+    (count,) = struct.unpack(order + ("H" if version == 42 else "Q"), data[at : at + many])
+    listed = data[at + many : at + many + entry * count]
     out = {}
     for k in range(count):
-        tag, kind, n = struct.unpack(order + "HHI", data[at + 2 + 12 * k : at + 10 + 12 * k])
+        tag, kind, n = struct.unpack_from(order + "HH" + word, listed, entry * k)
         if kind not in FIELD:
             continue
         form = order + (f"{n}s" if kind == 2 else FIELD[kind] * n)
-        size, place = struct.calcsize(form), at + 10 + 12 * k
-        if size > 4:
-            (place,) = struct.unpack(order + "I", data[place : place + 4])
+        size, place = struct.calcsize(form), at + many + entry * (k + 1) - wide
+        if size > wide:
+            (place,) = struct.unpack_from(order + word, listed, entry * (k + 1) - wide)
         out[tag] = struct.unpack(form, data[place : place + size])
     return order, out
 
@@ -133,13 +139,14 @@ def read(data: bytes | Ranged, bands: list[int] | None = None, rows: tuple[int,
     across, down = -(-w // cw), -(-h // ch)
     wanted = list(range(n)) if bands is None else bands
     top, low = rows or (0, h)
-    out = np.zeros((len(wanted), low - top, w), kind.newbyteorder("="))
+    empty = nodata_of(t)
+    out = np.full((len(wanted), low - top, w), 0 if empty is None or 0 not in sizes else empty, kind.newbyteorder("="))
     for k in range(len(at)):
         plane, cell = divmod(k, across * down)
         if apart and n > 1 and plane not in wanted:
             continue
         r, c = cell // across * ch, cell % across * cw
-        if r + ch <= top or r >= low:
+        if r + ch <= top or r >= low or not sizes[k]:  # a block of no bytes was never written
             continue
         raw = data[at[k] : at[k] + sizes[k]]
         method = t.get(COMPRESSION, (1,))[0]
@@ -184,6 +191,54 @@ def nodata_of(t: dict[int, tuple]) -> float | None:
     return float(text) if text else None
 
 
+def tiled_head(bands: int, rows: int, cols: int, size: int, dtype: str, affine: tuple[float, ...], crs: str | None, nodata: float | None, present: np.ndarray | None = None) -> tuple[bytes, int]:
+    """Header and directory of a file of uncompressed tiles, a plane a band, and where its first tile starts: tile k starts k tiles' bytes after that.
+
+    Neither depends on which tiles are present (all, if None); absent ones get no bytes.  Offsets are of 64 bits where the file is larger than 4 GB.
+    """
+    kind = np.dtype(dtype)
+    n = bands * -(-rows // size) * -(-cols // size)
+    block = size * size * kind.itemsize
+    big = n * (block + 16) + 65536 >= 1 << 32
+    word, wide, long = ("Q", 8, 16) if big else ("I", 4, 4)
+    a, b, c, d, e, f = affine
+    fields: list[tuple[int, int, tuple]] = [
+        (WIDTH, 4, (cols,)), (LENGTH, 4, (rows,)), (BITS, 3, (kind.itemsize * 8,) * bands), (COMPRESSION, 3, (NONE,)), (PHOTOMETRIC, 3, (1,)), (SAMPLES, 3, (bands,)), (PLANAR, 3, (2 if bands > 1 else 1,)),
+        (TILE_WIDTH, 4, (size,)), (TILE_LENGTH, 4, (size,)), (TILE_AT, long, (0,) * n), (TILE_BYTES, long, (0,) * n), (SAMPLE_FORMAT, 3, ({"u": 1, "i": 2, "f": 3}[kind.kind],) * bands),
+        (TRANSFORM, 12, (a, b, 0.0, c, d, e, 0.0, f, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)),
+    ]
+    fields += [(GEO_KEYS, 3, _geo_keys(crs))] if _geo_keys(crs) else []
+    fields += [(NODATA, 2, (repr(float(nodata)).encode() + b"\0",))] if nodata is not None else []
+    fields.sort(key=lambda x: x[0])
+    packed = {tag: v[0] if k == 2 else struct.pack("<" + FIELD[k] * len(v), *v) for tag, k, v in fields}
+    count, entry, start = ("Q", 20, 16) if big else ("H", 12, 8)
+    at = start + struct.calcsize(count) + entry * len(fields) + wide
+    places = {}
+    for tag, raw in packed.items():
+        if len(raw) > wide:
+            places[tag], at = at, at + -(-len(raw) // 8) * 8
+    first = -(-at // 4096) * 4096
+    held = np.ones(n, bool) if present is None else present
+    for tag, x in ((TILE_AT, first + block * np.arange(n, dtype=np.int64)), (TILE_BYTES, np.full(n, block))):
+        packed[tag] = np.where(held, x, 0).astype("<u8" if big else "<u4").tobytes()
+    out = bytearray(struct.pack("<2sHHHQ", b"II", 43, 8, 0, start) if big else struct.pack("<2sHI", b"II", 42, start)) + struct.pack("<" + count, len(fields))
+    for tag, k, v in fields:
+        raw = packed[tag]
+        out += struct.pack("<HH" + word, tag, k, len(v[0]) if k == 2 else len(v)) + (struct.pack("<" + word, places[tag]) if tag in places else raw.ljust(wide, b"\0"))
+    out += bytes(wide)
+    for tag in places:
+        out += packed[tag].ljust(-(-len(packed[tag]) // 8) * 8, b"\0")
+    return bytes(out.ljust(first, b"\0")), first
+
+
+def _geo_keys(crs: str | None) -> tuple[int, ...]:
+    if not crs or not crs.upper().startswith("EPSG:"):
+        return ()
+    code = int(crs[5:])
+    flat = 4000 <= code < 5000
+    return (1, 1, 0, 3, 1024, 0, 1, 2 if flat else 1, 1025, 0, 1, 1, 2048 if flat else 3072, 0, 1, code)
+
+
 def write(raster: Raster, compression: int = LZW, rows_per_strip: int = 64) -> bytes:
     """Little-endian strips, a plane a band."""
     data = np.atleast_3d(raster.data) if raster.data.ndim == 3 else raster.data[None]
@@ -200,10 +255,8 @@ def write(raster: Raster, compression: int = LZW, rows_per_strip: int = 64) -> b
         (STRIP_AT, 4, (0,) * len(strips)), (SAMPLES, 3, (n,)), (ROWS_PER_STRIP, 4, (rows_per_strip,)), (STRIP_BYTES, 4, tuple(map(len, strips))),
         (PLANAR, 3, (2 if n > 1 else 1,)), (SAMPLE_FORMAT, 3, (kind,) * n), (TRANSFORM, 12, (a, b, 0.0, c, d, e, 0.0, f, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)),
     ]
-    if raster.crs and raster.crs.upper().startswith("EPSG:"):
-        code = int(raster.crs[5:])
-        flat = 4000 <= code < 5000
-        fields.append((GEO_KEYS, 3, (1, 1, 0, 3, 1024, 0, 1, 2 if flat else 1, 1025, 0, 1, 1, 2048 if flat else 3072, 0, 1, code)))
+    if _geo_keys(raster.crs):
+        fields.append((GEO_KEYS, 3, _geo_keys(raster.crs)))
     if raster.nodata is not None:
         fields.append((NODATA, 2, (repr(float(raster.nodata)).encode() + b"\0",)))
     fields.sort()
