@@ -6,7 +6,7 @@ blocks: the equations' size, not the rasters'.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -137,21 +137,58 @@ def admm(big: Sparse, own: Sparse, rhs: np.ndarray, lam: float, rho: float = 1.0
     return x, False, most
 
 
-def solve_blocks(blocks: DataFrame, pairs: DataFrame, lam: float, rho: float, most: int, tol: float) -> DataFrame:
-    """band, block_id, a, b, converged, rounds: each band on its own; a band that doesn't converge keeps the identity."""
+def cell_rounds(mu: np.ndarray, sigma: np.ndarray, scene: np.ndarray, lam: float, rho: float, most: int) -> Iterator[np.ndarray]:
+    """x after each round of admm() for the blocks of one cell: dense, each round solved exactly."""
+    bi, bj = (x.astype(int) for x in np.nonzero(scene[:, None] < scene[None, :]))
+    big, own, rhs = block_system(mu, sigma, bi, bj)
+    dense = lambda m: np.column_stack([m @ e for e in np.eye(m.shape[1])]) if m.shape[0] else np.zeros(m.shape)
+    b, a = dense(big), dense(own)
+    m = b.T @ b + rho * a.T @ a
+    back = np.linalg.pinv(m, hermitian=True)  # what no equation moves stays at the identity
+    x = np.tile([1.0, 0.0], len(mu))
+    split = scaled = np.zeros(len(rhs))
+    for _ in range(most):
+        x = x + back @ (rho * (a.T @ (split - scaled + rhs)) - m @ x)
+        far = a @ x - rhs + scaled
+        split = soft(far, lam / rho)
+        scaled = far - split
+        yield x
+
 
-    def band(g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+def solve_blocks(blocks: DataFrame, lam: float, rho: float, most: int, tol: float) -> DataFrame:
+    """band, block_id, a, b, converged, rounds: each band on its own; a band that doesn't converge keeps the identity.
+
+    Blocks are tied within a cell alone, so the band's problem falls apart into those of its cells; what
+    they share is the round at which the band's coefficients as a whole stand still.  Cells run all rounds
+    and hand on the squares of their steps; sums by band and round give that round; cells then run to it.
+    No task holds a band.  Blocks have gm, gn, scene_id, band, block_id, mu, sigma.
+    """
+    cell = ["band", "gm", "gn"]
+    parts = blocks.select(*cell, "scene_id", "block_id", "mu", "sigma")
+
+    def steps(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("block_id")
+        before, far, size = np.tile([1.0, 0.0], len(g)), [], []
+        for x in cell_rounds(g["mu"].to_numpy(), g["sigma"].to_numpy(), g["scene_id"].to_numpy(), lam, rho, most):
+            far.append(float(((x - before) ** 2).sum()))
+            size.append(float((before**2).sum()))
+            before = x
+        return pd.DataFrame({"band": g["band"].iloc[:1], "far": [far], "size": [size]})
+
+    def solved(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("block_id")
-        at = {b: k for k, b in enumerate(g["block_id"])}
-        bi, bj = (np.array([at[x] for x in p.sort_values(["block_i", "block_j"])[c]], int) for c in ("block_i", "block_j"))
-        x, ok, k = admm(*block_system(g["mu"].to_numpy(), g["sigma"].to_numpy(), bi, bj), lam, rho, most, tol)
-        a, b = (x[0::2], x[1::2]) if ok else (np.ones(len(g)), np.zeros(len(g)))
-        return pd.DataFrame({"band": g["band"].to_numpy(), "block_id": g["block_id"].to_numpy(), "a": a, "b": b, "converged": ok, "rounds": k})
+        rounds, ok = int(g["rounds"].iloc[0]), bool(g["converged"].iloc[0])
+        x = np.tile([1.0, 0.0], len(g))
+        for x in cell_rounds(g["mu"].to_numpy(), g["sigma"].to_numpy(), g["scene_id"].to_numpy(), lam, rho, rounds) if ok else ():
+            pass
+        return pd.DataFrame({"band": g["band"], "block_id": g["block_id"], "a": x[0::2], "b": x[1::2], "converged": ok, "rounds": rounds})
 
-    bands = blocks.select("band").distinct()
-    spread = pairs.select("block_i", "block_j").join(blocks.select("band", F.col("block_id").alias("block_i")), "block_i")
-    left, right = blocks.select("band", "block_id", "mu", "sigma").join(F.broadcast(bands), "band"), spread.select("band", "block_i", "block_j")
-    return left.groupBy("band").cogroup(right.groupBy("band")).applyInPandas(band, "band int, block_id long, a double, b double, converged boolean, rounds int")
+    each = parts.groupBy(*cell).applyInPandas(steps, "band int, far array<double>, size array<double>").select("band", F.posexplode(F.arrays_zip("far", "size")).alias("k", "e"))
+    sums = each.groupBy("band", "k").agg(F.sum("e.far").alias("far"), F.sum("e.size").alias("size"))
+    still = F.sqrt("far") < tol * (F.sqrt("size") + TINY)
+    ends = sums.groupBy("band").agg(F.min(F.when(still, F.col("k") + 1)).alias("k"))
+    ends = ends.select("band", F.coalesce("k", F.lit(most)).cast("int").alias("rounds"), F.col("k").isNotNull().alias("converged"))
+    return parts.join(F.broadcast(ends), "band").groupBy(*cell).applyInPandas(solved, "band int, block_id long, a double, b double, converged boolean, rounds int")  # a row a band
 
 
 def adjust_local(pixels: DataFrame, scenes: DataFrame, n_bands: int, block: int = 200, lam: float = 0.5, rho: float = 1.0, most: int = 200, tol: float = 1e-4) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -164,7 +201,7 @@ def adjust_local(pixels: DataFrame, scenes: DataFrame, n_bands: int, block: int
     at = blk.placed(pixels, scenes, blk.cell_grid(scenes, block))
     raw = blk.block_table(at, n_bands)
     blocks = kept(raw.join(scale, "band").withColumns({"mu": (F.col("mu") - F.col("vmin")) / F.col("scale"), "sigma": F.col("sigma") / F.col("scale")}).select(*raw.columns, "vmin", "scale"))
-    coef = solve_blocks(blocks, blk.block_pairs(blocks), lam, rho, most, tol)
+    coef = solve_blocks(blocks, lam, rho, most, tol)
     spans = blocks.groupBy("band").agg(F.first("vmin").alias("vmin"), F.first("scale").alias("scale"))
     own = kept(coef.join(F.broadcast(spans), "band").select("band", "block_id", "a", (F.col("scale") * F.col("b") + (1 - F.col("a")) * F.col("vmin")).alias("b"), "converged", "rounds"))
     out = blk.idw(at, blocks, own).withColumn("v", F.col("a") * F.col("v") + F.col("b"))

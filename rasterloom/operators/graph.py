@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pixels import kept
+from .adjust import Sparse, conjugate_gradients
 
 
 def spanning_tree(edges: list[tuple[int, int]], root: int = 0) -> list[tuple[int, int]]:
@@ -84,18 +85,13 @@ def loops4(edges: DataFrame) -> DataFrame:
 
 
 def network_adjustment(pairs: list[dict], n: int, root: int = 0) -> tuple[np.ndarray, list[dict]]:
-    """Shifts x (n x 2) of weighted least squares x_j - x_i = shift_ij, weights confidence * blocks / max(rmse, 0.1), the root held by weight 1000; and each pair's residual."""
-    rows, rhs, weight = [], [], []
-    for p in pairs:
-        row = np.zeros(n)
-        row[p["i"]], row[p["j"]] = -1, 1
-        rows.append(row)
-        rhs.append([p["dx"], p["dy"]])
-        weight.append(p["confidence"] * p["n_blocks"] / max(p["rmse"], 0.1))
-    hold = np.zeros(n)
-    hold[root] = 1
-    w = np.sqrt(np.array([*weight, 1000.0]))[:, None]
-    x = np.linalg.lstsq(np.array([*rows, hold]) * w, np.array([*rhs, [0.0, 0.0]]) * w, rcond=None)[0]
+    """Shifts x (n x 2) of weighted least squares x_j - x_i = shift_ij, weights confidence * blocks / max(rmse, 0.1), the root held by weight 1000, by sparse conjugate gradients; and each pair's residual."""
+    i, j = (np.array([p[k] for p in pairs], int) for k in "ij")
+    shift = np.array([[p["dx"], p["dy"]] for p in pairs]).reshape(-1, 2)
+    w = np.sqrt([*(p["confidence"] * p["n_blocks"] / max(p["rmse"], 0.1) for p in pairs), 1000.0])
+    k, m = np.arange(len(i)), len(i)
+    system = Sparse(np.concatenate([k, k, [m]]), np.concatenate([i, j, [root]]), np.concatenate([-w[:-1], w[:-1], w[-1:]]), (m + 1, n))
+    x = np.column_stack([conjugate_gradients(lambda v: system.T @ (system @ v), system.T @ (w * np.append(d, 0.0)), np.zeros(n), 1e-15, 20 * n + 100) for d in shift.T])
     tree = {frozenset(e) for e in spanning_tree([(p["i"], p["j"]) for p in pairs], root)}
     left = [{"i": p["i"], "j": p["j"], "rx": float(x[p["j"], 0] - x[p["i"], 0] - p["dx"]), "ry": float(x[p["j"], 1] - x[p["i"], 1] - p["dy"]), "is_tree": frozenset((p["i"], p["j"])) in tree} for p in pairs]
     return x, left

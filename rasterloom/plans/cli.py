@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pixels import last_int
-from ..operators import adjust, diagnostics, graph, mosaic, overlap, quality, refine, register, seams, spectral, stencil
+from ..operators import adjust, diagnostics, graph, mosaic, overlap, quality, refine, register, seams, spectral, stencil, tiles
 from ..operators.mosaic import canvas
-from ..sources import geotiff, sinks
+from ..sources import geotiff, sinks, tiffsource
 from . import config as cfg
 from . import pipeline
 
@@ -125,11 +125,19 @@ def _absolute(path: str) -> str:
 
 
 def written(made: DataFrame, head: DataFrame, name: str, folder: str) -> DataFrame:
-    """A mosaic as one GeoTIFF on the canvas of its scenes; it must fit a task, as any such file must.  Parquet has no such bound."""
+    """path, bytes of a mosaic's GeoTIFF on the canvas of its scenes.  On a local or network disk all tasks write its tiles; elsewhere it must fit a task.  Parquet has no such bound."""
     grid = canvas(head).select(F.lit(0).alias("scene_id"), F.lit(name).alias("name"), "n_rows", "n_cols", F.col("res").alias("a"), F.lit(0.0).alias("b"), F.col("left").alias("c"), F.lit(0.0).alias("d"), (-F.col("res")).alias("e"), F.col("top").alias("f"))
     first = head.orderBy("scene_id").limit(1).select("crs", "nodata")
     px = made.select(F.lit(0).alias("scene_id"), "band", F.col("gr").alias("row"), F.col("gc").alias("col"), "v")
-    return geotiff.write(px, grid.join(F.broadcast(first)), folder)  # either is one row
+    whole = F.broadcast(grid.join(F.broadcast(first)))  # one row
+    if not folder.startswith("file://"):
+        return geotiff.write(px, whole, folder)
+    spark = made.sparkSession
+    n_bands = (px.agg(F.max("band")).first()[0] or 0) + 1
+    tiffsource.register(spark)
+    tiles.cut(px).join(whole, "scene_id").withColumn("n_bands", F.lit(n_bands).cast("int")).write.format("geotiff").mode("append").save(folder)
+    at = folder.removeprefix("file://") + f"/{name}.tif"
+    return spark.createDataFrame([(at, os.path.getsize(at))], "path string, bytes long")
 
 
 def multiband(spark: SparkSession, c: cfg.Config, a: argparse.Namespace) -> dict:

@@ -609,3 +609,42 @@ def test_running_quality(spark, tmp_path):
     q = arrivals.running_quality(s).writeStream.outputMode("complete").format("memory").queryName("rq").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.scene_id: (r.n, r.n_valid) for r in spark.table("rq").collect()} == {0: (25, 25), 1: (25, 24)}
+
+
+def test_local_solver_by_cells_equals_that_of_a_band(spark):
+    """Cells of one to four scenes, bands that converge at other rounds, flat blocks; against dense matrices of the whole band."""
+    rng, rows = np.random.default_rng(5), []
+    for band in range(3):
+        k = 0
+        for cell in range(9):
+            for scene in sorted(np.random.default_rng(cell).choice(5, 1 + cell % 4, replace=False).tolist()):
+                rows.append((scene, cell // 3, cell % 3, band, float(rng.uniform(0.2, 0.8)), 0.0 if (cell, band) == (4, 1) else float(rng.uniform(0.02, 0.3)), k))
+                k += 1
+    df = spark.createDataFrame(rows, "scene_id int, gm int, gn int, band int, mu double, sigma double, block_id long")
+    for tol, most in ((1e-4, 200), (1e-3, 200), (1e-9, 20)):
+        got = {(r.band, r.block_id): r for r in adjust.solve_blocks(df, 0.5, 1.0, most, tol).collect()}
+        for band in range(3):
+            own = [r for r in rows if r[3] == band]
+            pairs = [(p[6], q[6]) for p in own for q in own if p[1:3] == q[1:3] and p[0] < q[0]]
+            n, b, a, rhs = len(own), np.zeros((2 * len(pairs), 2 * len(own))), np.zeros((2 * len(own), 2 * len(own))), []
+            for k, (p, q) in enumerate(pairs):
+                b[2 * k, [2 * p, 2 * p + 1, 2 * q, 2 * q + 1]] = own[p][4], 1, -own[q][4], -1
+                b[2 * k + 1, [2 * p, 2 * q]] = own[p][5], -own[q][5]
+            for k, r in enumerate(own):
+                a[2 * k, [2 * k, 2 * k + 1]], a[2 * k + 1, 2 * k] = (r[4], 1), r[5]
+                rhs += [r[4], r[5]]
+            m, x = b.T @ b + a.T @ a, np.tile([1.0, 0.0], n)
+            split, scaled, rhs, ok = np.zeros(2 * n), np.zeros(2 * n), np.array(rhs), False
+            for rounds in range(1, most + 1):
+                before = x
+                x = x + np.linalg.lstsq(m, a.T @ (split - scaled + rhs) - m @ x, rcond=1e-12)[0]
+                far = a @ x - rhs + scaled
+                split = np.sign(far) * np.maximum(np.abs(far) - 0.5, 0)
+                scaled = far - split
+                if np.linalg.norm(x - before) < tol * (np.linalg.norm(before) + 1e-12):
+                    ok = True
+                    break
+            for k in range(n):
+                r = got[band, k]
+                assert (r.converged, r.rounds) == (ok, rounds)
+                assert np.allclose((r.a, r.b), x[2 * k : 2 * k + 2] if ok else (1.0, 0.0), atol=1e-6)
