@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pixels import rounded_to
-from ..operators import adjust, blocks, diagnostics, graph, mosaic, overlap, quality, refine, register, render, seams, spectral, stencil, tiles
+from ..operators import adjust, blocks, consensus, diagnostics, graph, mosaic, overlap, quality, refine, register, render, seams, spectral, stencil, tiles
 from ..sources import virtual as vr
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1040,6 +1040,51 @@ def network_shifts(spark, d):
     return rounded(spark.createDataFrame([(k, float(x[k, 0]), float(x[k, 1])) for k in range(5)], "scene_id int, dx double, dy double"))
 
 
+#: Matches of three pairs of scenes from orders: an affine a pair, a tenth of a pixel's noise, and three in ten somewhere else.
+_TIED = """pt AS (SELECT 0 AS i, CAST(1 + o_custkey % 3 AS INT) AS j, o_orderkey AS key, CAST(o_orderkey % 997 AS DOUBLE) AS x, CAST((o_orderkey * 31) % 1009 AS DOUBLE) AS y, o_orderkey AS k FROM orders),
+tied AS (SELECT i, j, key, x, y, (1 + CAST(0.001 AS DOUBLE) * j) * x - CAST(0.002 AS DOUBLE) * y + 5 * j + (k % 7) / CAST(30 AS DOUBLE) + CASE WHEN k % 10 < 3 THEN (k * 17) % 61 - 30 ELSE 0 END AS u,
+  CAST(0.003 AS DOUBLE) * x + (1 - CAST(0.001 AS DOUBLE) * j) * y - j + (k % 11) / CAST(50 AS DOUBLE) + CASE WHEN k % 10 < 3 THEN (k * 13) % 47 - 20 ELSE 0 END AS v FROM pt)"""
+_AFFINE = f"""{_TIED}, nt AS (SELECT i, j, count(*) AS n, greatest(1, count(*) // 6) AS bk FROM tied GROUP BY i, j),
+dt AS (SELECT t.*, bk, turn, (((key + 40503) % 2147483647) * ((((key + 40503) % 2147483647) * 1597334677 + turn * 1103515245) % 2147483647)) % 2147483647 AS h FROM tied t JOIN nt USING (i, j) JOIN range(200) r(turn) ON turn < ceil(200 / CAST(bk AS DOUBLE)) WHERE n >= 3),
+tr AS (SELECT i, j, turn * bk + h % bk AS trial, x, y, u, v, row_number() OVER (PARTITION BY i, j, turn * bk + h % bk ORDER BY h, key) AS p FROM dt WHERE turn * bk + h % bk < 200),
+th AS (SELECT i, j, trial, {', '.join(f"max(CASE WHEN p = {k + 1} THEN {c} END) AS {c}{k}" for k in range(3) for c in 'xyuv')} FROM tr WHERE p <= 3 GROUP BY i, j, trial HAVING count(*) = 3),
+dm AS (SELECT *, x0 * (y1 - y2) + x1 * (y2 - y0) + x2 * (y0 - y1) AS det FROM th),
+mo AS (SELECT i, j, trial, {', '.join(f"({t}0 * (y1 - y2) + {t}1 * (y2 - y0) + {t}2 * (y0 - y1)) / det AS {p}, ({t}0 * (x2 - x1) + {t}1 * (x0 - x2) + {t}2 * (x1 - x0)) / det AS {q}, ({t}0 * (x1 * y2 - x2 * y1) + {t}1 * (x2 * y0 - x0 * y2) + {t}2 * (x0 * y1 - x1 * y0)) / det AS {r}" for t, (p, q, r) in (('u', 'abc'), ('v', 'def')))} FROM dm WHERE abs(det) >= 1e-9),
+vo AS (SELECT t.i, t.j, trial, count(*) AS votes FROM tied t JOIN mo USING (i, j) WHERE sqrt((a * x + b * y + c - u) ** 2 + (d * x + e * y + f - v) ** 2) < CAST(0.77 AS DOUBLE) GROUP BY ALL),
+be AS (SELECT i, j, trial FROM (SELECT *, row_number() OVER (PARTITION BY i, j ORDER BY votes DESC, trial) AS k FROM vo) WHERE k = 1 AND votes >= 3),
+il AS (SELECT t.* FROM tied t JOIN be USING (i, j) JOIN mo USING (i, j, trial) WHERE sqrt((a * x + b * y + c - u) ** 2 + (d * x + e * y + f - v) ** 2) < CAST(0.77 AS DOUBLE)),
+sm AS (SELECT i, j, count(*) AS inliers, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv, covar_pop(x, x) AS vxx, covar_pop(y, y) AS vyy, covar_pop(x, y) AS vxy, covar_pop(x, u) AS cxu, covar_pop(y, u) AS cyu, covar_pop(x, v) AS cxv, covar_pop(y, v) AS cyv FROM il GROUP BY i, j),
+ab AS (SELECT *, (cxu * vyy - cyu * vxy) / (vxx * vyy - vxy * vxy) AS a, (cyu * vxx - cxu * vxy) / (vxx * vyy - vxy * vxy) AS b, (cxv * vyy - cyv * vxy) / (vxx * vyy - vxy * vxy) AS d, (cyv * vxx - cxv * vxy) / (vxx * vyy - vxy * vxy) AS e FROM sm),
+af AS (SELECT i, j, n, inliers, a, b, mu - a * mx - b * my AS c, d, e, mv - d * mx - e * my AS f FROM ab JOIN nt USING (i, j))"""
+
+
+def _tied(spark: SparkSession, d: str) -> DataFrame:
+    k, j = F.col("o_orderkey"), (1 + F.col("o_custkey") % 3).cast("int")
+    p = vr.table(spark, d, "orders").select(F.lit(0).alias("i"), j.alias("j"), k.alias("key"), (k % 997).cast("double").alias("x"), ((k * 31) % 1009).cast("double").alias("y"))
+    k, j, far = F.col("key"), F.col("j"), F.col("key") % 10 < 3
+    u = (1 + 0.001 * j) * F.col("x") - 0.002 * F.col("y") + 5 * j + (k % 7) / 30.0 + F.when(far, (k * 17) % 61 - 30).otherwise(0)
+    v = 0.003 * F.col("x") + (1 - 0.001 * j) * F.col("y") - j + (k % 11) / 50.0 + F.when(far, (k * 13) % 47 - 20).otherwise(0)
+    return p.withColumns({"u": u, "v": v})
+
+
+@query("SELECT i, j, n, inliers, round(inliers / CAST(n AS DOUBLE), 6) + 0.0 AS inlier_ratio, " + ", ".join(f"round({k}, 6) + 0.0 AS {k}" for k in "abcdef") + ", round(sqrt(a * a + d * d), 6) + 0.0 AS scale_x, round((a * e - b * d) / sqrt(a * a + d * d), 6) + 0.0 AS scale_y, round(degrees(atan2(d, a)), 6) + 0.0 AS rotation, round(degrees(atan2(a * b + d * e, a * a + d * d)), 6) + 0.0 AS shear FROM af", _AFFINE)
+def affine_models(spark, d):
+    """Affines by consensus over the matches of orders, all pairs at once."""
+    return rounded(consensus.affine_models(_tied(spark, d), 200, 0.77))
+
+
+@query(
+    """md AS (SELECT i, j, median(u - x) AS dx, median(v - y) AS dy FROM tied GROUP BY i, j),
+    er AS (SELECT i, j, 'translation' AS model, sqrt((u - x - dx) ** 2 + (v - y - dy) ** 2) AS e FROM tied JOIN md USING (i, j) UNION ALL SELECT i, j, 'affine', sqrt((a * x + b * y + c - u) ** 2 + (d * x + e * y + f - v) ** 2) FROM tied JOIN af USING (i, j))
+    SELECT i, j, model, count(*) AS n, round(quantile_cont(e, 0.5), 6) + 0.0 AS median, round(quantile_cont(e, 0.9), 6) + 0.0 AS p90, round(quantile_cont(e, 0.95), 6) + 0.0 AS p95, round(sqrt(avg(e * e)), 6) + 0.0 AS rmse, round(max(e), 6) + 0.0 AS greatest FROM er GROUP BY i, j, model""",
+    _AFFINE,
+)
+def model_residuals(spark, d):
+    """What the median shift and the affine leave of all matches."""
+    m = _tied(spark, d)
+    return rounded(consensus.residuals(m, consensus.median_shifts(m), consensus.affine_models(m, 200, 0.77)))
+
+
 @query("SELECT scene_id, row, col, round(greatest(0, 1 - sqrt(greatest(0, 4 - col, col - 18) * greatest(0, 4 - col, col - 18) + greatest(0, 5 - row, row - 22) * greatest(0, 5 - row, row - 22)) / CAST(6 AS DOUBLE)), 6) + 0.0 AS fade FROM grid", GRID)
 def hull_fade(spark, d):
     corners = np.array([[4.0, 5.0], [18.0, 5.0], [18.0, 22.0], [4.0, 22.0]])
