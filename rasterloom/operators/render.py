@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pixels import small, spread_percentiles
+from . import overviews, tiles
 
 
 def joint_stretch(pixels: DataFrame, bands: list[int], low: float = 0.02, high: float = 0.98) -> DataFrame:
@@ -35,6 +36,14 @@ def preview(pixels: DataFrame, bands: list[int], step: int) -> np.ndarray:
     return out
 
 
+def quicklook(scene: DataFrame, bands: list[int], rows: int, cols: int, most: int = 1024, size: int = tiles.SIZE) -> np.ndarray:
+    """rows x cols x 3 bytes, at most `most` on a side, of one scene's tiles: stretched and drawn from one level of its pyramid."""
+    k = overviews.level_for(rows, cols, most)
+    wanted = scene.filter(F.col("band").isin(bands))
+    level = overviews.pyramid(wanted, k, size)[-1] if k else wanted
+    return preview(tiles.pixels(level), bands, 1)
+
+
 def png(rgb: np.ndarray) -> bytes:
     """An 8-bit RGB image as PNG."""
     h, w, _ = rgb.shape

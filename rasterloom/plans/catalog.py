@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pixels import rounded_to
-from ..operators import adjust, blocks, consensus, diagnostics, graph, mosaic, overlap, quality, refine, register, render, seams, spectral, stencil, tiles
+from ..operators import adjust, blocks, consensus, diagnostics, graph, mosaic, overlap, overviews, quality, refine, register, render, seams, spectral, stencil, tiles
 from ..sources import virtual as vr
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -322,6 +322,12 @@ def broad_sharpness(spark, d):
     return tiles.squared_gradient(t, tiles.means(t)).select("tr", "tc", rounded_to(F.col("s") / F.col("n"), 4).alias("sharpness"))
 
 
+@query(f"WITH {vr.BROAD_SQL} SELECT 0 AS scene_id, 0 AS band, CAST(row // 8 AS INT) AS row, CAST(col // 8 AS INT) AS col, round(avg(v), 6) + 0.0 AS v FROM broad GROUP BY row // 8, col // 8")
+def overview_level(spark, d):
+    """The third level of the growing raster's pyramid: means of 8 x 8 pixels."""
+    return rounded(tiles.pixels(overviews.pyramid(vr.broad_tiles(spark, d), 3, vr.BROAD)[-1]))
+
+
 # -- spectra
 
 
