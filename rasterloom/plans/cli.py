@@ -16,12 +16,13 @@ import time
 from collections.abc import Callable
 from dataclasses import replace
 
+import pyarrow.fs as pafs
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pixels import last_int
-from ..operators import adjust, diagnostics, graph, mosaic, overlap, quality, refine, register, seams, spectral, stencil, tiles
+from ..operators import adjust, diagnostics, graph, mosaic, overlap, quality, refine, register, render, seams, spectral, stencil, tiles
 from ..operators.mosaic import canvas
 from ..sources import geotiff, sinks, tiffsource
 from . import config as cfg
@@ -140,6 +141,16 @@ def written(made: DataFrame, head: DataFrame, name: str, folder: str) -> DataFra
     return spark.createDataFrame([(at, os.path.getsize(at))], "path string, bytes long")
 
 
+def quicklook(made: DataFrame, head: DataFrame, n_bands: int, path: str, most: int = 1024) -> None:
+    """A mosaic as a PNG of at most `most` pixels a side, from one level of its pyramid: bands 2, 1 and 0 as red, green and blue, or band 0 as grey."""
+    size = canvas(head).first()  # one row
+    px = made.select(F.lit(0).alias("scene_id"), "band", F.col("gr").alias("row"), F.col("gc").alias("col"), "v")
+    image = render.png(render.quicklook(tiles.cut(px), [2, 1, 0] if n_bands > 2 else [0, 0, 0], size["n_rows"], size["n_cols"], most))
+    fs, at = pafs.FileSystem.from_uri(path)
+    with fs.open_output_stream(at) as out:
+        out.write(image)
+
+
 def multiband(spark: SparkSession, c: cfg.Config, a: argparse.Namespace) -> dict:
     """Registration on the configured band, adjustment, data quality, metrics, spectral distances and mosaics, step by step."""
     log, steps = sinks.logger(c.output_dir), pipeline.Steps(spark, _absolute(c.output_dir), a.resume)
@@ -151,8 +162,10 @@ def multiband(spark: SparkSession, c: cfg.Config, a: argparse.Namespace) -> dict
     log.info("%d scenes, %d bands, registration on %s", len(c.scenes), len(bands), c.registration_band if band is not None else "none")
     result = pipeline.run(px, head, len(c.scenes), bands, c, band, steps)
     sinks.metrics_csv({"summary": result.metrics, "quality": result.quality, **_spectral_tables(result)}, f"{c.output_dir}/metrics")
+    folder = f"file://{_absolute(c.output_dir)}/mosaic" if "://" not in c.output_dir else f"{c.output_dir}/mosaic"
     for (m, mode, width), df in result.mosaics.items():
-        written(df, head, f"{m}_{mode}_{width}", f"file://{_absolute(c.output_dir)}/mosaic" if "://" not in c.output_dir else f"{c.output_dir}/mosaic").collect()  # a row a file
+        written(df, head, f"{m}_{mode}_{width}", folder).collect()  # a row a file
+        quicklook(df, head, len(bands), f"{folder}/{m}_{mode}_{width}.png")
         log.info("mosaic %s %s %s", m, mode, width)
     steps.mark("multiband")
     failed = [r["method"] for r in result.quality.filter("NOT passed").select("method").distinct().collect()]  # a row a method

@@ -485,6 +485,8 @@ def test_command_line(spark, tmp_path):
     got = spark.read.option("header", True).csv(f"{c.output_dir}/metrics/summary")
     ave = {r.method: float(r.adm) for r in got.collect()}
     assert ave["global"] < ave["original"]
+    made = {f.stem: f.read_bytes() for f in (tmp_path / "out" / "mosaic").glob("*.png")}
+    assert made and made.keys() == {f.stem for f in (tmp_path / "out" / "mosaic").glob("*.tif")} and all(x.startswith(b"\x89PNG") for x in made.values())
     assert cli.main([*args, "--resume", "multiband"]) == 0
     with pytest.raises(SystemExit):
         cli.main([*args, "nothing"])
