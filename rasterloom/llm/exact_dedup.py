@@ -67,15 +67,28 @@ def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     return state.select(F.col("key.digest").alias("digest"), F.col(f"{first}.doc_id").alias("keep_id"), F.col(f"{first}.file").alias("file"), F.col(f"{first}.place").alias("place"), F.col(n).alias("n"))
 
 
-def _located(docs: DataFrame) -> DataFrame:
-    """doc_id, text, file, place: where each row's text can be read again.  Rows that don't come straight from files are written first."""
-    spark = docs.sparkSession
+def _as_read(docs: DataFrame) -> bool:
+    """Whether docs is a Parquet file or folder just as it is read, so that its texts stand in its files."""
+    files = docs.inputFiles()  # names, as any scan lists them on the driver
+    if not files or docs.isStreaming:
+        return False
+    roots = {f.rsplit("/", 1)[0] for f in files} | (set(files) if len(files) == 1 else set())
+    if len(roots) > 2:
+        return False
+    spellings = [x for root in sorted(roots) for x in (root, root.replace(":///", ":/", 1), root.removeprefix("file://"))]
+    read = docs.sparkSession.read.schema(docs.schema)
     try:
-        rows = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
-        rows.schema  # noqa: B018
+        return any(docs.sameSemantics(read.parquet(x)) for x in dict.fromkeys(spellings))
     except AnalysisException:
-        rows = stored(docs.select("doc_id", "text"), "dedup-texts").select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
-    return rows.select("doc_id", F.col("text").cast("string").alias("text"), "file", "place")
+        return False
+
+
+def _located(docs: DataFrame, texts: str) -> DataFrame:
+    """doc_id, text, file, place: where each row's text can be read again.  Rows that aren't a Parquet table as it is read, such as renamed or changed texts, are first written to the folder texts."""
+    if not _as_read(docs):
+        docs.select("doc_id", F.col("text").cast("string").alias("text")).write.option("compression", "zstd").parquet(texts)
+        docs = docs.sparkSession.read.schema("doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", text string").parquet(texts)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
 
 
 def _texts_at(spark: SparkSession, places: DataFrame) -> DataFrame:
@@ -91,12 +104,13 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256, st
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs (doc_id, text).
 
     With state, a folder, the keyed state and the digests stay there, and a later call with the same
-    folder judges its docs against all rows seen so far; the files of these must still be there.
+    folder judges its docs against all rows seen so far; the files of these must still be there.  Texts
+    that don't stand in a Parquet table just as docs has them are written there too.
     """
     spark = docs.sparkSession
     folder = state.rstrip("/") if state else scratch(spark, "dedup")
     seen, checkpoint, batch = f"{folder}/digests", f"{folder}/state", uuid.uuid4().hex[:12]
-    rows = _located(docs).select("doc_id", one_spaced(F.col("text")).alias("norm"), "file", "place")
+    rows = _located(docs, f"{folder}/texts-{batch}").select("doc_id", one_spaced(F.col("text")).alias("norm"), "file", "place")
     rows = rows.select("doc_id", digest(F.col("norm")).alias("digest"), "norm", "file", "place")
     table = rows.select("doc_id", "digest", (F.col("digest") if digest is sha256 else sha256(F.col("norm"))).alias("sha"), "file", "place")
     table.write.option("compression", "zstd").parquet(f"{seen}/batch={batch}")
