@@ -3,13 +3,15 @@
 Fit: STAGES codebooks of CODES full-dimensional vectors, each trained by k-means on what the ones
 before left over, on at most SAMPLE vectors (those of the smallest hash; a documented bound).  Index:
 every vector is encoded by a beam search that keeps BEAM partial sums a stage, and stored as STAGES
-bytes beside its norm and the norm of its approximation.  Search: a query's inner products with all
-codewords fill a lookup table; a candidate's estimate is the sum of its STAGES entries times the ratio
-of the stored norms.  The RERANK best estimates of each block are scored exactly: inner products in
-double precision, added in the order of the components.  Their K-th best is a threshold; one matrix
-product over the whole block, with its rounding bound as slack, finds every other row that could reach
-it, and those are scored exactly too.  So no row is lost to the codes, whatever the block's size, and
-the result doesn't depend on blocks or cores.  Blocks' best K meet in one ranking.
+bytes beside its norm, the norm of its approximation and the norm of what the approximation leaves
+over.  Search: a query's inner products with all codewords fill a lookup table; a candidate's estimate
+is the sum of its STAGES entries times the ratio of the stored norms.  The RERANK best estimates of
+each block are scored exactly: inner products in double precision, added in the order of the
+components.  Their K-th best is a threshold.  By Cauchy and Schwarz a score exceeds its estimate by at
+most the query's norm times the norm left over, so only rows whose estimate is that near the threshold
+can reach it: these alone are scored.  So codes decide which rows are scored (codes that say nothing
+leave all of them), no row is lost to them, and the result doesn't depend on blocks or cores.  Blocks'
+best K meet in one ranking.
 
 The stated query set meets all rows in blocks: each task holds one block of candidates and streams the
 written query table past it in pieces, so memory is bounded by block and piece, and nothing is sent
@@ -20,7 +22,9 @@ or not of the table's most common length (the shorter of equals) take no part, n
 identifier.  Ties go to the smaller identifier, and of equal vectors the
 smaller identifiers are shortlisted first.  Rows that repeat an identifier are
 candidates each; a query's own are all rows of its identifier.  Fewer candidates than K: all of them.
-An empty table, or one without queries, gives no rows.  Extra columns are not read.
+An empty table, or one without queries, gives no rows.  Extra columns are not read.  Components are
+brought near 1 by a power of two before they are coded, so doubles beyond the range of floats are
+coded too.
 """
 
 from __future__ import annotations
@@ -38,7 +42,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-STAGES, CODES, BEAM, SAMPLE, ROUNDS, K, RERANK, BLOCK, PIECE = 8, 128, 4, 16_384, 8, 20, 192, 1 << 15, 256
+STAGES, CODES, BEAM, SAMPLE, ROUNDS, K, RERANK, BLOCK, PIECE = 64, 64, 2, 16_384, 4, 20, 64, 1 << 15, 256
+TILE = 1024  # candidates whose estimates are summed at once
 
 
 @dataclass
@@ -49,30 +54,47 @@ class Codebooks:
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Codes (n x stages) and the norms of their sums."""
-        n, stages = len(x), len(self.words)
-        codes, rest = np.zeros((n, 1, 0), np.uint8), x[:, None, :].astype(np.float32)
+        codes = np.concatenate([self._beam(x[at : at + 512].astype(np.float32), beam) for at in range(0, len(x), 512)])
+        return codes, np.linalg.norm(self.decode(codes), axis=1)
+
+    def _beam(self, x: np.ndarray, beam: int) -> np.ndarray:
+        n = len(x)
+        row = np.arange(n)[:, None]
+        codes, rest, length = np.zeros((n, 1, 0), np.uint8), x[:, None, :], (x**2).sum(1)[:, None]
         for book in self.words:
             # The squared length of what would be left, for each partial sum and codeword.
-            left = (rest**2).sum(-1)[:, :, None] - 2 * (rest @ book.T) + (book**2).sum(-1)
-            flat = left.reshape(n, -1)
-            keep = min(beam, flat.shape[1])
-            best = np.argpartition(flat, keep - 1, axis=1)[:, :keep]
-            best = np.take_along_axis(best, np.argsort(np.take_along_axis(flat, best, 1), axis=1, kind="stable"), 1)
+            left = (length[:, :, None] + ((book**2).sum(1) - 2 * (rest @ book.T))).reshape(n, -1)
+            best = np.empty((n, min(beam, left.shape[1])), np.int64)
+            length = np.empty(best.shape, np.float32)
+            for k in range(best.shape[1]):
+                best[:, k] = left.argmin(1)
+                length[:, k] = left[row[:, 0], best[:, k]]
+                left[row[:, 0], best[:, k]] = np.inf
             which, code = best // len(book), best % len(book)
-            codes = np.concatenate([np.take_along_axis(codes, which[:, :, None], 1), code[:, :, None].astype(np.uint8)], axis=2)
-            rest = np.take_along_axis(rest, which[:, :, None], 1) - book[code]
-        codes = codes[:, 0, :].reshape(n, stages)
-        return codes, np.linalg.norm(self.decode(codes), axis=1)
+            codes = np.concatenate([codes[row, which], code[:, :, None].astype(np.uint8)], axis=2)
+            rest = rest[row, which] - book[code]
+        return codes[:, 0, :]
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return sum(book[codes[:, i]] for i, book in enumerate(self.words))
 
     def estimates(self, queries: np.ndarray, codes: np.ndarray, scale: np.ndarray) -> np.ndarray:
         """Estimated inner products, queries x candidates, from lookup tables."""
-        out = np.zeros((len(queries), len(codes)), np.float32)
-        for i, book in enumerate(self.words):
-            out += np.take(queries @ book.T, codes[:, i], axis=1)
-        return out * scale
+        tables = [np.ascontiguousarray(book @ queries.T) for book in self.words]
+        out = np.empty((len(queries), len(codes)), np.float32)
+        for at in range(0, len(codes), TILE):
+            part = codes[at : at + TILE]
+            sums = np.zeros((len(part), len(queries)), np.float32)
+            for table, code in zip(tables, part.T):
+                sums += table[code]
+            out[:, at : at + TILE] = (sums * scale[at : at + TILE, None]).T
+        return out
+
+    def slack(self, codes: np.ndarray) -> np.ndarray:
+        """What rounding can add to an estimate of a query of length 1, before it is scaled."""
+        lengths = np.linalg.norm(self.words.astype(np.float64), axis=2)
+        steps = 2 * (self.words.shape[2] + len(self.words) + 4) * np.finfo(np.float32).eps
+        return steps * sum(each[codes[:, i]] for i, each in enumerate(lengths))
 
 
 def fit(sample: np.ndarray, stages: int = STAGES, codes: int = CODES, rounds: int = ROUNDS, seed: int = 5) -> Codebooks:
@@ -111,44 +133,55 @@ def inner_products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return out
 
 
-def best(q: np.ndarray, v: np.ndarray, reach: float, known: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Places and scores of each query's k best of all v outside lo:hi, the first of equals.
+def survivors(estimates: np.ndarray, rest: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, place) of all pairs whose score, at most rest over its estimate, could reach the query's least."""
+    return np.nonzero(~(estimates + rest < least[:, None]))
+
 
-    known holds scores of some of them, of norm reach at most: no row under the k-th of these is needed.
-    """
-    least = -np.partition(-known, k - 1, axis=1)[:, k - 1] if known.shape[1] >= k else np.full(len(q), -np.inf)
-    # Either sum is off by at most d roundings of the norms' product.
-    least = least - 4 * (q.shape[1] + 2) * np.finfo(float).eps * np.linalg.norm(q, axis=1) * reach
+def best(q: np.ndarray, v: np.ndarray, who: np.ndarray, place: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Places and scores, added in component order, of each query's k best of the pairs (who, place), the first of equals; pairs are in order."""
+    exact = np.zeros(who.size)
+    for at in range(0, who.size, 2048):  # what is gathered at once stays in the cache
+        part = slice(at, at + 2048)
+        left, right, sums = q.take(who[part], 0), v.take(place[part], 0), exact[part]
+        left *= right
+        for column in np.ascontiguousarray(left.T):
+            sums += column
     found, score = [], []
-    for at in range(0, len(q), 32):  # bounds the pairs held at once where many rows tie
-        may = q[at : at + 32] @ v.T >= least[at : at + 32, None]
-        for i, row in enumerate(may, at):
-            row[lo[i] : hi[i]] = False
-        who, place = np.nonzero(may)
-        exact = np.zeros(who.size)
-        for c in range(q.shape[1]):
-            exact += q[at + who, c] * v[place, c]
-        ends = np.searchsorted(who, np.arange(len(may) + 1))
-        for a, b in zip(ends, ends[1:]):
-            order = np.argsort(-exact[a:b], kind="stable")[:k]
-            found.append(place[a:b][order])
-            score.append(exact[a:b][order])
+    ends = np.searchsorted(who, np.arange(len(q) + 1))
+    for a, b in zip(ends, ends[1:]):
+        order = np.argsort(-exact[a:b], kind="stable")[:k]
+        found.append(place[a:b][order])
+        score.append(exact[a:b][order])
     return found, score
 
 
+def _scale(norm: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """The ratio of the stored norms, 1 where an approximation is too short to say anything."""
+    return np.where(short * 4 > norm, norm / np.maximum(short, 1e-300), 1.0).astype(np.float32)
+
+
+def _directions(q: np.ndarray) -> np.ndarray:
+    q = q / np.abs(q).max(1, keepdims=True)
+    return q / np.linalg.norm(q, axis=1, keepdims=True)
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _encode(books: Codebooks, dim: int):  # noqa: ANN202
+def _encode(books: Codebooks, dim: int, unit: float = 1.0):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _matrix(b.column(1), dim)
-            codes, short = books.encode(x)
-            norms = np.linalg.norm(x.astype(np.float64), axis=1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(short.astype(np.float64))], ["vec_id", "v", "codes", "norm", "short"])
+            x = _matrix(b.column(1), dim).astype(np.float64) / unit
+            codes, _ = books.encode(x)
+            near = books.decode(codes).astype(np.float64)
+            norms, short = np.linalg.norm(x, axis=1), np.linalg.norm(near, axis=1)
+            scale = _scale(norms, short).astype(np.float64)
+            rest = np.linalg.norm(x - scale[:, None] * near, axis=1) + scale * books.slack(codes)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms), pa.array(short), pa.array(rest)], ["vec_id", "v", "codes", "norm", "short", "rest"])
 
     return run
 
@@ -162,22 +195,34 @@ def _pieces(uris: list[str], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]
                     yield b.column(0).to_numpy(), _matrix(b.column(1), dim).astype(np.float64)
 
 
-def _search(books: Codebooks, dim: int, uris: list[str], k: int, rerank: int):  # noqa: ANN202
+def _search(books: Codebooks, dim: int, uris: list[str], k: int, rerank: int, unit: float = 1.0):  # noqa: ANN202
     def meet(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).sort_by("vec_id").combine_chunks()
         ids, v = t["vec_id"].to_numpy(), _matrix(t["v"].combine_chunks(), dim).astype(np.float64)
         codes = np.frombuffer(b"".join(t["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        scale = (t["norm"].to_numpy() / np.maximum(t["short"].to_numpy(), 1e-30)).astype(np.float32)
-        reach = float(np.linalg.norm(v, axis=1).max())
+        norm, rest = t["norm"].to_numpy(), t["rest"].to_numpy()
+        scale, near = _scale(norm, t["short"].to_numpy()), v / unit
+        # Either sum is off by at most d roundings of the norms' product.
+        slack = 4 * (dim + 2) * np.finfo(float).eps * float(norm.max()) + 1e-300
+        rest = np.nextafter((rest + slack).astype(np.float32), np.float32(np.inf))
         for qid, q in _pieces(uris, dim):
-            est = books.estimates(q.astype(np.float32), codes, scale)
+            way = _directions(q)
+            est = books.estimates(way.astype(np.float32), codes, scale)
             lo, hi = np.searchsorted(ids, qid), np.searchsorted(ids, qid, side="right")
             for i in np.flatnonzero(lo < hi):
                 est[i, lo[i] : hi[i]] = -np.inf
-            top = shortlist(est, rerank)
-            known = inner_products(q, v[top])
+            top = shortlist(est, max(rerank, k))
+            known = inner_products(way, near[top])
             known[ids[top] == qid[:, None]] = -np.inf
-            found, score = best(q, v, reach, known, lo, hi, k)
+            least = -np.partition(-known, k - 1, axis=1)[:, k - 1] if known.shape[1] >= k else np.full(len(q), -np.inf)
+            least = np.nextafter((least - slack).astype(np.float32), np.float32(-np.inf))
+            found, score = [], []
+            for at in range(0, len(q), 32):  # bounds the pairs held at once where many rows tie
+                who, place = survivors(est[at : at + 32], rest, least[at : at + 32])
+                own = (place >= lo[at + who]) & (place < hi[at + who])
+                places, scores = best(q[at : at + 32], v, who[~own], place[~own], k)
+                found += places
+                score += scores
             who = np.repeat(qid, [x.size for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(ids[np.concatenate(found)]), pa.array(np.concatenate(score))], ["query_id", "vec_id", "score"])
 
@@ -216,12 +261,14 @@ def nearest(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = K, re
     shown = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()["v"]
     if not len(shown):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    books = fit(np.stack(list(shown)))
+    size = rows.agg(F.max(F.array_max(F.transform("v", F.abs))).alias("top"), F.count(F.lit(1)).alias("n")).first()
+    unit = float(2.0 ** np.floor(np.log2(size["top"])))
+    books = fit(np.stack(list(shown)).astype(np.float64) / unit)
     asked = stored(rows.filter(queries), "queries")
     uris = [u if "://" in u or not u.startswith("file:") else "file://" + u[5:] for u in asked.inputFiles()]
-    n_blocks = max(2 * spark.sparkContext.defaultParallelism, -(-rows.count() // BLOCK))
-    index = stored(rows.repartition(n_blocks).mapInArrow(_encode(books, dim), f"vec_id long, {rows.schema['v'].simpleString().replace(':', ' ')}, codes binary, norm double, short double"), "vector-index")
-    found = index.mapInArrow(_search(books, dim, uris, k, rerank), "query_id long, vec_id long, score double")
+    n_blocks = max(2 * spark.sparkContext.defaultParallelism, -(-size["n"] // BLOCK))
+    index = stored(rows.repartition(n_blocks).mapInArrow(_encode(books, dim, unit), f"vec_id long, {rows.schema['v'].simpleString().replace(':', ' ')}, codes binary, norm double, short double, rest double"), "vector-index")
+    found = index.mapInArrow(_search(books, dim, uris, k, rerank, unit), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,8 +1,11 @@
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from rasterloom.llm import vector_search
 from rasterloom.llm.vector_search import BLOCK, RERANK, Codebooks, _encode, _search, fit, nearest, op5_nearest_vectors, shortlist
 
 
@@ -87,3 +90,55 @@ def test_doubles_keep_their_digits(spark):
     got = nearest(df).filter("query_id = 0").orderBy("rank").collect()
     want = sorted(((sum(a * b for a, b in zip(rows[0][1], v)), i) for i, v in rows if i != 0), key=lambda x: (-x[0], x[1]))[:20]
     assert [(r.score, r.vec_id) for r in got] == want
+
+
+def test_codes_decide_what_is_scored(tmp_path, monkeypatch):
+    """Fewer rows are scored the better the codes are; codes that say nothing leave all of them, and the same result."""
+    x = np.random.default_rng(3).normal(size=(4096, 64)).astype(np.float32)
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(4096)), pa.array(list(x), pa.list_(pa.float32()))], ["vec_id", "v"])
+    pq.write_table(pa.Table.from_batches([rows]).filter(pa.array(np.arange(4096) % 64 == 0)), tmp_path / "q.parquet")
+    scored, real = [], vector_search.best
+
+    def counted(q, v, who, place, k):
+        scored.append(who.size)
+        return real(q, v, who, place, k)
+
+    monkeypatch.setattr(vector_search, "best", counted)
+    books = fit(x, rounds=3)
+    share, results = [], []
+    for b in (books, replace(books, words=books.words[:8]), replace(books, words=np.zeros_like(books.words))):
+        scored.clear()
+        out = [list(zip(*(c.to_pylist() for c in r.columns))) for r in _search(b, 64, [f"file://{tmp_path}/q.parquet"], 20, RERANK)(_encode(b, 64)([rows]))]
+        results.append(sorted(sum(out, [])))
+        share.append(sum(scored) / (64 * 4095))
+    assert results[0] == results[1] == results[2]
+    assert share[0] < 0.2 < share[1] and share[2] > 0.99, share
+
+
+def test_estimates_stay_within_their_bound():
+    rng = np.random.default_rng(4)
+    x, q = rng.normal(size=(500, 24)) * rng.lognormal(size=(500, 1)), rng.normal(size=(40, 24))
+    for stages in (1, 12):
+        books = fit(x[:200], stages, 16)
+        t = next(_encode(books, 24)([pa.RecordBatch.from_arrays([pa.array(np.arange(500)), pa.array(list(x), pa.list_(pa.float64()))], ["vec_id", "v"])]))
+        codes = np.frombuffer(b"".join(t["codes"].to_pylist()), np.uint8).reshape(500, -1)
+        way = vector_search._directions(q)
+        est = books.estimates(way.astype(np.float32), codes, vector_search._scale(t["norm"].to_numpy(), t["short"].to_numpy()))
+        assert (np.abs(est - way @ x.T) <= t["rest"].to_numpy()).all()
+
+
+def test_doubles_beyond_floats(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(c) for c in rng.normal(size=4) * 10.0 ** (150 if k % 3 else -60)]) for k in range(100)]
+    got = {}
+    with np.errstate(all="raise", under="ignore"):
+        for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for i, v in rows[::20]:
+        want = []
+        for j, w in rows:
+            s = 0.0
+            for a, b in zip(v, w):
+                s += a * b
+            want.append((-s, j))
+        assert got[i] == [(j, -s) for s, j in sorted(x for x in want if x[1] != i)][:20]
