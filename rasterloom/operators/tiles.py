@@ -154,7 +154,8 @@ def neighbourhoods(tiles: DataFrame, halo: int, kernel: Kernel, schema: str, pad
             for t in b.to_pylist():
                 own = next(p for p in t["pieces"] if p["own"])
                 x, r, c = assembled(t["pieces"])
-                if max(own["h"], own["w"]) < halo and (len(t["pieces"]) > 1):
+                # A tile at the raster's end may be smaller: nothing lies beyond it.
+                if any(own[n] < halo and min(p[k] for p in t["pieces"]) < own[k] < max(p[k] for p in t["pieces"]) for k, n in (("r", "h"), ("c", "w"))):
                     raise ValueError(f"a halo of {halo} is wider than a tile of {own['h']} x {own['w']} with neighbours")
                 if t["fill"] is not None:
                     x = np.where(np.isnan(x), t["fill"], x)

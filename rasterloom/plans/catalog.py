@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pixels import rounded_to
-from ..operators import adjust, blocks, consensus, diagnostics, graph, mosaic, overlap, overviews, quality, refine, register, render, seams, spectral, stencil, tiles
+from ..operators import adjust, blocks, consensus, diagnostics, graph, mosaic, overlap, overviews, quality, refine, regions, register, render, seams, spectral, stencil, tiles
 from ..sources import virtual as vr
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1146,3 +1146,43 @@ def independent_grid(spark, d):
 def spline_field(spark, d):
     c = pd.DataFrame([(x, y, x / 40, -y / 60) for x in (2.0, 9.0, 20.0) for y in (3.0, 14.0, 27.0)], columns=["x", "y", "rdx", "rdy"])
     return rounded(register.field(vr.grid(spark, d).select("scene_id", "row", "col"), c, 0.1))
+
+
+#: A field made of the grid's values, with holes, a hull and a corner without data; the same as SQL, up to each cell's region.
+_SPIKES = f"""WITH RECURSIVE {GRID},
+    fd AS (SELECT scene_id, row, col, coalesce(v, 0) AS dx, row * CAST(0.01 AS DOUBLE) AS dy, (5 * row + col) % 13 <> 0 AS ok, row BETWEEN 5 AND 22 AND col BETWEEN 4 AND 18 AS inside, row < 3 AND col < 2 AS gone FROM grid),
+    st AS (SELECT *, (coalesce(lead(dx) OVER r, dx) - coalesce(lag(dx) OVER r, dx)) / CASE WHEN col IN (0, 23) THEN 1 ELSE 2 END AS xx, (coalesce(lead(dx) OVER c, dx) - coalesce(lag(dx) OVER c, dx)) / CASE WHEN row IN (0, 29) THEN 1 ELSE 2 END AS xy,
+      (coalesce(lead(dy) OVER r, dy) - coalesce(lag(dy) OVER r, dy)) / CASE WHEN col IN (0, 23) THEN 1 ELSE 2 END AS yx, (coalesce(lead(dy) OVER c, dy) - coalesce(lag(dy) OVER c, dy)) / CASE WHEN row IN (0, 29) THEN 1 ELSE 2 END AS yy
+      FROM fd WINDOW r AS (PARTITION BY scene_id, row ORDER BY col), c AS (PARTITION BY scene_id, col ORDER BY row)),
+    gr AS (SELECT *, sqrt(xx * xx + xy * xy + yx * yx + yy * yy) AS g FROM st),
+    ce AS (SELECT scene_id, median(g) AS med, quantile_cont(g, 0.9) AS high FROM gr WHERE ok GROUP BY scene_id),
+    li AS (SELECT scene_id, greatest(med + median(abs(g - med)), high, CAST(0.05 AS DOUBLE)) AS lim, high FROM gr JOIN ce USING (scene_id) WHERE ok GROUP BY scene_id, med, high),
+    sp AS (SELECT gr.* FROM gr JOIN li USING (scene_id) WHERE ok AND g >= lim),
+    rim AS (SELECT DISTINCT a.scene_id, a.row, a.col FROM fd a JOIN fd b ON a.scene_id = b.scene_id AND a.inside AND NOT b.inside AND (a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col) <= 4),
+    tn AS (SELECT s.scene_id, s.row, s.col, sqrt(min((s.row - f.row) * (s.row - f.row) + (s.col - f.col) * (s.col - f.col))) AS d FROM sp s JOIN fd f ON f.scene_id = s.scene_id AND f.gone GROUP BY ALL),
+    th AS (SELECT s.scene_id, s.row, s.col, sqrt(min((s.row - f.row) * (s.row - f.row) + (s.col - f.col) * (s.col - f.col))) AS d FROM sp s JOIN rim f ON f.scene_id = s.scene_id GROUP BY ALL),
+    rc AS (SELECT scene_id, row, col, row AS r0, col AS c0 FROM sp UNION SELECT s.scene_id, s.row, s.col, r0, c0 FROM rc JOIN sp s ON s.scene_id = rc.scene_id AND abs(s.row - rc.row) + abs(s.col - rc.col) = 1),
+    rg AS (SELECT scene_id, row, col, min(CAST(scene_id AS BIGINT) * 281474976710656 + r0 * 16777216 + c0) AS region FROM rc GROUP BY scene_id, row, col),
+    oo AS (SELECT s.*, CASE WHEN tn.d <= 5 THEN tn.d END AS to_nodata, CASE WHEN th.d <= 3 THEN th.d END AS to_hull, CAST(least(s.row, s.col, 29 - s.row, 23 - s.col) AS INT) AS to_edge, region FROM sp s JOIN rg USING (scene_id, row, col) LEFT JOIN tn USING (scene_id, row, col) LEFT JOIN th USING (scene_id, row, col)),
+    kk AS (SELECT *, CASE WHEN to_nodata IS NOT NULL THEN 'nodata' WHEN to_hull IS NOT NULL THEN 'hull' WHEN to_edge <= 2 THEN 'edge' ELSE 'internal' END AS kind FROM oo)"""
+
+
+def _spikes(spark: SparkSession, d: str) -> DataFrame:
+    g = vr.grid(spark, d)
+    row, col = F.col("row"), F.col("col")
+    layer = lambda v: tiles.cut(g.withColumn("v", v.cast("double")), TILE)
+    inside = row.between(5, 22) & col.between(4, 18)
+    return regions.displacement_spikes(layer(F.coalesce("v", F.lit(0.0))), layer(row * 0.01), layer((5 * row + col) % 13 != 0), layer(inside), layer((row < 3) & (col < 2)), 1.0, 0.9, band=2, near_nodata=5, near_hull=3, near_edge=2)
+
+
+@query(f"{_SPIKES} SELECT scene_id, row, col, round(dx, 6) + 0.0 AS dx, round(dy, 6) + 0.0 AS dy, round(g, 6) + 0.0 AS g, round(to_nodata, 6) + 0.0 AS to_nodata, round(to_hull, 6) + 0.0 AS to_hull, to_edge, kind, region FROM kk")
+def displacement_spikes(spark, d):
+    return rounded(_spikes(spark, d))
+
+
+@query(
+    f"""{_SPIKES} SELECT scene_id, region, count(*) AS n, min(row) AS r0, min(col) AS c0, max(row) AS r1, max(col) AS c1, round(avg(row), 6) + 0.0 AS mid_row, round(avg(col), 6) + 0.0 AS mid_col, round(max(g), 6) + 0.0 AS max_g, round(avg(g), 6) + 0.0 AS mean_g,
+    round(min(to_nodata), 6) + 0.0 AS to_nodata, round(min(to_hull), 6) + 0.0 AS to_hull, min(to_edge) AS to_edge, count(*) FILTER (kind = 'nodata') AS nodata, count(*) FILTER (kind = 'hull') AS hull, count(*) FILTER (kind = 'edge') AS edge, count(*) FILTER (kind = 'internal') AS internal FROM kk GROUP BY scene_id, region"""
+)
+def spike_regions(spark, d):
+    return rounded(regions.spike_regions(_spikes(spark, d)))
