@@ -34,7 +34,8 @@ def detect(scenes: DataFrame, min_pixels: int = 100, cell: float = 1000.0) -> Da
     met = i.join(j, ["gx", "gy"]).filter((F.col("i_scene_id") < F.col("j_scene_id")) & geo.overlaps("i_", "j_"))
     met = met.filter((F.floor(box["l"] / cell) == F.col("gx")) & (F.floor(box["bt"] / cell) == F.col("gy")))
     windows = {f"{p}_{k}": w for p in "ij" for k, w in geo.window_of(f"{p}_", box).items()}
-    out = met.select(F.col("i_scene_id").alias("i"), F.col("j_scene_id").alias("j"), *[w.alias(k) for k, w in windows.items()])
+    # All windows in one generator: merged into the join and cut down to some columns, their shared terms came out as 0 in generated code.
+    out = met.select(F.col("i_scene_id").alias("i"), F.col("j_scene_id").alias("j"), F.inline(F.array(F.struct(*[w.alias(k) for k, w in windows.items()]))))
     return out.withColumn("px", ((F.col("i_r1") - F.col("i_r0")) * (F.col("i_c1") - F.col("i_c0"))).cast("long")).filter(F.col("px") >= min_pixels)
 
 
