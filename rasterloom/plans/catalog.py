@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.pixels import rounded_to
-from ..operators import adjust, blocks, consensus, diagnostics, graph, mosaic, overlap, overviews, quality, refine, regions, register, render, seams, spectral, stencil, tiles
+from ..operators import adjust, blocks, consensus, diagnostics, graph, mosaic, overlap, overviews, quality, refine, regions, register, render, seamreport, seams, spectral, stencil, tiles
 from ..sources import virtual as vr
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -451,6 +451,43 @@ def seam_feather_sweep(spark, d):
     return rounded(seams.feathered(a, b, s, [2, 4, 8]).groupBy("width").agg(F.avg("v").alias("mean"), F.count(F.lit(1)).alias("n")))
 
 
+_JOINTS = """jt AS (SELECT p.i, p.j, bd.b AS band, a.row AS r, a.gcol - p.lo AS c, p.hi - p.lo AS n, (p.hi - p.lo) // 2 AS sc, a.gcol - p.lo - (p.hi - p.lo) // 2 AS d, CASE bd.b WHEN 0 THEN a.v ELSE a.v * a.v / 100 + a.row END AS vi, CASE bd.b WHEN 0 THEN b.v ELSE b.v * b.v / 100 + b.row END AS vj
+      FROM pairs p JOIN grid a ON a.scene_id = p.i AND a.gcol >= p.lo AND a.gcol < p.hi JOIN grid b ON b.scene_id = p.j AND b.row = a.row AND b.gcol = a.gcol CROSS JOIN (SELECT unnest([0, 1]) AS b) bd)"""
+
+
+def _two_bands(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All overlaps' aligned pixels of the grid's values and of a second band made of them, and the overlaps."""
+    g = vr.grid(spark, d)
+    both = g.unionByName(g.withColumns({"band": F.lit(1), "v": F.col("v") * F.col("v") / 100 + F.col("row")}))
+    o = _overlaps(spark, d)
+    return tiles.joint_pixels(tiles.joint(tiles.cut(both, TILE), o, TILE)), o
+
+
+@query(
+    f"""{_JOINTS}, pr AS (SELECT i, j, band, r, CASE WHEN sc >= 3 AND sc + 3 < n THEN abs(avg(vi) FILTER (d >= -3 AND d < 0) - avg(vj) FILTER (d >= 0 AND d < 3)) END AS jump, max(vi) FILTER (d = -1) AS a0, max(vi) FILTER (d = 0) AS a1, max(vj) FILTER (d = 0) AS b0, max(vj) FILTER (d = 1) AS b1 FROM jt GROUP BY i, j, band, r, sc, n),
+    fl AS (SELECT *, coalesce(vi, avg(vi) OVER (PARTITION BY i, j, band)) AS f FROM jt),
+    gg AS (SELECT *, abs(lead(f) OVER w - lag(f) OVER w) / 2 AS g FROM fl WINDOW w AS (PARTITION BY i, j, band, r ORDER BY c)),
+    lw AS (SELECT *, g < CAST(0.1 AS DOUBLE) * max(g) OVER (PARTITION BY i, j, band, r) AS low FROM gg WHERE g IS NOT NULL AND abs(d) <= n // 2),
+    tr AS (SELECT i, j, band, coalesce(min(d) FILTER (low AND d >= 0), max(d) + 1) - coalesce(max(d) FILTER (low AND d < 0), min(d) - 1) - 1 AS x FROM lw GROUP BY i, j, band, r),
+    al AS (SELECT i, j, band, 'jump' AS measure, jump AS x FROM pr UNION ALL SELECT i, j, band, 'gap', abs(abs(a1 - a0) - abs(b1 - b0)) FROM pr UNION ALL SELECT i, j, band, 'transition', x FROM tr
+      UNION ALL SELECT i, j, NULL, 'colour', CASE WHEN count(a0) = 2 AND count(b1) = 2 AND count(a0 - b1) = 2 THEN sqrt(sum((a0 - b1) * (a0 - b1))) END FROM pr GROUP BY i, j, r)
+    SELECT i, j, band, measure, round(avg(x), 6) + 0.0 AS mean, round(quantile_cont(x, 0.5), 6) + 0.0 AS median, round(quantile_cont(x, 0.95), 6) + 0.0 AS p95, round(max(x), 6) + 0.0 AS greatest, count(x) AS n FROM al WHERE x IS NOT NULL GROUP BY i, j, band, measure""",
+    GRID,
+)
+def seam_reports(spark, d):
+    """Every overlap and band."""
+    return rounded(seamreport.reports(*_two_bands(spark, d), 3))
+
+
+@query(
+    f"""{_JOINTS}, w AS (SELECT unnest([2, 4, 8]) AS width), f AS (SELECT i, j, band, width, least(1.0, greatest(0.0, 0.5 + d / (2.0 * width))) AS wb, vi, vj FROM jt CROSS JOIN w), b AS (SELECT *, coalesce((1 - wb) * vi + wb * vj, vi, vj) AS v FROM f)
+    SELECT i, j, band, width, round(avg(v), 6) + 0.0 AS mean, round(stddev_pop(v), 6) + 0.0 AS sd, count(v) AS n FROM b GROUP BY i, j, band, width""",
+    GRID,
+)
+def seam_sweeps(spark, d):
+    return rounded(seamreport.sweep(*_two_bands(spark, d), [2, 4, 8]))
+
+
 # -- diagnostics
 
 

@@ -21,8 +21,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.pixels import last_int
-from ..operators import adjust, diagnostics, graph, mosaic, overlap, quality, refine, register, render, seams, spectral, stencil, tiles
+from ..functions.pixels import kept, last_int
+from ..operators import adjust, diagnostics, graph, mosaic, overlap, quality, refine, register, render, seamreport, spectral, stencil, tiles
 from ..operators.mosaic import canvas
 from ..sources import geotiff, sinks, tiffsource
 from . import config as cfg
@@ -216,30 +216,29 @@ def diagnose(spark: SparkSession, c: cfg.Config, a: argparse.Namespace) -> dict:
 
 
 def seam(spark: SparkSession, c: cfg.Config, a: argparse.Namespace) -> dict:
-    px, head, _ = scan(spark, c, 2)
-    o = overlap.detect(head, c.min_overlap)
-    both = overlap.joint(px.filter("band = 0"), o).filter("i = 0 AND j = 1")
-    one, two = (both.select(F.lit(0).alias("band"), F.col("r").alias("row"), F.col("c").alias("col"), F.col(v).alias("v")) for v in ("vi", "vj"))
-    n = o.filter("i = 0 AND j = 1").select((F.col("i_c1") - F.col("i_c0")).alias("n")).first()["n"]
-    line = seams.middle(one, n)
-    reports = {"jump": seams.reported(seams.jump(one, two, line, 10, n), "jump"), "gradient": seams.reported(seams.gradient_break(one, two, line), "gap"), "colour": seams.reported(seams.colour_distance(one, two, line), "distance")}
-    filled = stencil.filled_with_mean(one.withColumn("scene_id", F.lit(0)))
-    reports["transition"] = seams.reported(seams.transition_width(filled.withColumn("v", F.col("f")), line), "width")
-    reports["length"] = seams.length(one.join(line, "row").withColumn("on", F.col("col") == F.col("sc")))
-    both_sides = one.withColumn("scene_id", F.lit(0)).unionByName(two.withColumn("scene_id", F.lit(1)))
+    """Quality along the middle seams of all overlaps, in every band, and what feathering them costs in texture."""
+    px, head, _ = scan(spark, c)
+    o = kept(overlap.detect(head, c.min_overlap))
+    both = tiles.joint_pixels(tiles.joint(tiles.cut(px), o, tiles.SIZE)).persist(StorageLevel.MEMORY_AND_DISK)
+    lines = seamreport.middles(o)
+    tables = {"seams": seamreport.reports(both, o), "length": lines.select("i", "j", F.col("rows").cast("double").alias("length"))}
+    side = lambda k, v: both.select("i", "j", F.lit(k).alias("side"), "band", F.col("r").alias("row"), F.col("c").alias("col"), F.col(v).alias("v"))
+    sides = side("i", "vi").unionByName(side("j", "vj"))
     for kind in ("tenengrad", "laplacian"):
-        reports[f"sharpness_{kind}"] = stencil.sharpness(both_sides, kind)
-    blends = seams.feathered(one, two, line, c.mosaic.feather_widths)
-    reports["sweep"] = blends.groupBy("width").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.count("v").alias("n"))
-    losses = None
-    for w in c.mosaic.feather_widths:
-        mixed = blends.filter(F.col("width") == w).select(F.lit(0).alias("scene_id"), F.lit(0).alias("band"), "row", "col", "v")
-        zone = one.join(line, "row").filter(F.abs(F.col("col") - F.col("sc")) <= w).select(F.lit(0).alias("scene_id"), "row", "col")
-        lost = stencil.texture_loss(one.withColumn("scene_id", F.lit(0)), mixed, zone).withColumn("width", F.lit(w))
-        losses = lost if losses is None else losses.unionByName(lost)
-    if losses is not None:
-        reports["texture_loss"] = losses
-    sinks.metrics_csv(reports, c.output_dir)
+        tables[f"sharpness_{kind}"] = stencil.sharpness(sides, kind, ("i", "j", "side", "band"))
+    if c.mosaic.feather_widths:
+        widths = c.mosaic.feather_widths
+        tables["sweep"] = seamreport.sweep(both, o, widths)
+        # An overlap and width as a scene of its own.
+        as_scene = lambda i, j, k: (F.col(i) * len(c.scenes) + F.col(j)) * len(widths) + k
+        place = F.array_position(F.array(*map(F.lit, widths)), F.col("width")).cast("int") - 1
+        mixed = seamreport.blended(both, lines, widths).select(as_scene("i", "j", place).alias("scene_id"), "band", F.col("r").alias("row"), F.col("c").alias("col"), "v", "d", "width")
+        plain = both.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(widths) - 1)))).select(as_scene("i", "j", F.col("k")).alias("scene_id"), "band", F.col("r").alias("row"), F.col("c").alias("col"), F.col("vi").alias("v"))
+        zone = mixed.filter("band = 0 AND abs(d) <= width").select("scene_id", "row", "col")
+        lost, pair, k = stencil.texture_loss(plain, mixed.drop("d", "width"), zone), F.floor(F.col("scene_id") / len(widths)), F.col("scene_id") % len(widths)
+        tables["texture_loss"] = lost.select(F.floor(pair / len(c.scenes)).cast("int").alias("i"), (pair % len(c.scenes)).cast("int").alias("j"), "band", F.get(F.array(*map(F.lit, widths)), k.cast("int")).alias("width"), "loss")
+    sinks.metrics_csv(tables, c.output_dir)
+    both.unpersist()
     return {"status": "ok"}
 
 
