@@ -4,6 +4,7 @@ A cell of level k is the mean of the valid pixels in a square of 2^k pixels' sid
 number, so it is the mean of the pixels themselves whatever level it was made from.  Tiles of an even
 size halve by themselves; four halves make a tile of the next level, by one shuffle of a quarter of the
 level's bytes (twice that with the counts).  Levels are kept, so every preview and stretch reads the one it needs.
+Where tiles are made from a row each and hold whole cells of a level, cells() makes that level in the tasks that make the tiles.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pixels import kept
-from .tiles import BOX, KEY, SIZE, values
+from .tiles import BOX, KEY, SIZE, Made, made_pixels, values
 from .tiles import stored as as_bytes
 
 LEVEL = "scene_id int, band int, tr int, tc int, r0 int, c0 int, h int, w int, v binary, n binary"
@@ -78,6 +79,26 @@ def pyramid(tiles: DataFrame, levels: int, size: int = SIZE) -> list[DataFrame]:
     return out
 
 
+def _cells(side: int):  # noqa: ANN202
+    def kernel(x: np.ndarray) -> np.ndarray:
+        k, n = len(x), x.shape[1] // side
+        parts = (k, n, side, n, side)
+        ok = ~np.isnan(x)
+        count = ok.reshape(parts).sum(axis=(2, 4))
+        mean = np.where(ok, x, 0.0).reshape(parts).sum(axis=(2, 4)) / np.where(count > 0, count, 1)
+        return np.where(count > 0, mean, np.nan)
+
+    return kernel
+
+
+def cells(raster: Made, level: int) -> DataFrame:
+    """scene_id, band, row, col, v of one level, null where invalid, from tiles that hold whole cells: nothing is shuffled but the tiles' rows."""
+    side = 2**level
+    if raster.size % side:
+        raise ValueError(f"tiles of {raster.size} hold no whole cells of {side}")
+    return made_pixels(raster, _cells(side), raster.size // side)
+
+
 def level_for(rows: int, cols: int, most: int) -> int:
     """The first level whose longer side has at most so many cells."""
     k = 0

@@ -76,25 +76,6 @@ def broad(spark: SparkSession, sf_dir: str) -> tiles.Made:
     return tiles.Made(dense.select(F.lit(0).alias("scene_id"), F.lit(0).alias("band"), "tr", "tc", "q"), ("q",), _broad_values, BROAD)
 
 
-def broad_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles (operators/tiles.py) of one scene: suppliers down, months and odd and even line numbers across; a tile without lines is invalid."""
-    lines = table(spark, sf_dir, "lineitem")
-    across = ((F.month("l_shipdate") - 1) * 2 + F.col("l_linenumber") % 2).cast("int")
-    cells = lines.groupBy((F.col("l_suppkey") - 1).cast("int").alias("tr"), across.alias("tc")).agg(F.avg("l_quantity").alias("q"))
-    down = lines.agg(F.max("l_suppkey").cast("int").alias("n")).select(F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("tr"))
-    dense = down.select("tr", F.explode(F.sequence(F.lit(0), F.lit(BROAD_COLS - 1))).alias("tc")).join(cells, ["tr", "tc"], "left")
-    dense = dense.repartition(4 * spark.sparkContext.defaultParallelism, "tr", "tc")  # few bytes each, but 32 KB once they are tiles
-    side, zero = F.lit(BROAD), F.lit(0)
-    seeds = dense.select(zero.alias("scene_id"), zero.alias("band"), "tr", "tc", (F.col("tr") * BROAD).alias("r0"), (F.col("tc") * BROAD).alias("c0"), side.alias("h"), side.alias("w"), F.lit(b"").alias("v"), "q")
-
-    def values(t: dict) -> np.ndarray:
-        r, c = np.mgrid[t["r0"] : t["r0"] + BROAD, t["c0"] : t["c0"] + BROAD]
-        x = np.nan if t["q"] is None else t["q"] + (7 * r + 3 * c) % 11
-        return np.where((5 * r + c) % 97 == 0, np.nan, x)
-
-    return tiles.mapped(seeds, values, "q")
-
-
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pixel_id, label, o (before), n (after)."""
     x = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pixel_id"), "label", F.transform("embedding", lambda v: v.cast("double")).alias("o"))
